@@ -1,0 +1,23 @@
+"""Size-checked broadcast.
+
+Spark's AQE already re-plans a sort-merge join into a broadcast join when a
+side's *runtime* size is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``.
+This helper is for the few sides whose size is bounded by construction but
+which Spark cannot estimate before running (aggregates, windows): it counts at
+most ``max_rows + 1`` rows and broadcasts only if the bound holds; otherwise the
+ordinary shuffle join is kept.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    """Return ``broadcast(df)`` if ``df`` has at most ``max_rows`` rows, else ``df``.
+
+    Runs one small job (``limit(max_rows + 1).count()``).
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
