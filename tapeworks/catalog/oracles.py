@@ -2,10 +2,36 @@
 
 from __future__ import annotations
 
-from .sql_common import OHLCV_CTE, features_sql, present_sql
+from .sql_common import NEWS_CTE, OHLCV_CTE, features_sql, predictions_cte, present_sql, recent_news_sql
 
 ORACLES: dict[str, str] = {}
 
 ORACLES["ds_1_feature_panel"] = present_sql(
     f"with {OHLCV_CTE}, {features_sql()} select * from features", ["ticker", "date", "rapid_move"]
 )
+
+_CTX = "f.ret_1d, f.ret_5d, f.volatility_20d, f.future_ret_1d, f.future_ret_5d, f.future_ret_20d"
+
+ORACLES["join_4_asof_backward"] = present_sql(
+    f"""with {OHLCV_CTE}, {features_sql()}, {NEWS_CTE}
+    select n.doc_id, n.ticker, n.published_at, f.date as asof_date, {_CTX}
+    from news n asof left join features f
+      on n.ticker = f.ticker and cast(n.published_at as date) >= f.date""",
+    ["doc_id", "ticker", "published_at", "asof_date"],
+)
+
+ORACLES["join_6_asof_forward"] = present_sql(
+    f"""with {OHLCV_CTE}, {predictions_cte()}
+    select p.prediction_id, p.ticker, p.target_date,
+           case when o.date < p.target_date + 7 then o.date end as actual_date,
+           case when o.date < p.target_date + 7 then o.close end as actual_close
+    from predictions p asof left join ohlcv o on p.ticker = o.ticker and p.target_date <= o.date""",
+    ["prediction_id", "ticker", "target_date", "actual_date"],
+)
+
+ORACLES["join_7_trailing_news"] = f"""with {NEWS_CTE}, {recent_news_sql(
+    "select distinct ticker, cast(published_at as date) as date from news", "a.ticker, a.date", "date", 3, 7, 220)}"""
+
+ORACLES["join_8_serving_news"] = f"""with {NEWS_CTE}, {predictions_cte()}, {recent_news_sql(
+    "select prediction_id, ticker, as_of_date from predictions", "a.prediction_id, a.ticker, a.as_of_date",
+    "as_of_date", 4, 7, 400)}"""

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as txt
+from ..operators import asof
 from ..plans import features as feat
 from ..sources import tables as tb
 
@@ -47,3 +49,71 @@ def features_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("ds_1_feature_panel")
 def ds_1(spark, sf_dir):
     return features_panel(spark, sf_dir)
+
+
+# ---------------------------------------------------------------- as-of joins
+CONTEXT_COLUMNS = ["ret_1d", "ret_5d", "volatility_20d", "future_ret_1d", "future_ret_5d", "future_ret_20d"]
+
+
+@register("join_4_asof_backward")
+def join_4(spark, sf_dir):
+    """Each article -> latest feature row with date <= its UTC day."""
+    feats = features_panel(spark, sf_dir)
+    nws = tb.news(spark, sf_dir).select("doc_id", "ticker", "published_at")
+    out = asof.asof_backward(
+        nws, feats.withColumn("asof_date", F.col("date")), ["ticker"], F.col("published_at"), "date",
+        ["asof_date", *CONTEXT_COLUMNS],
+    )
+    return out.select("doc_id", "ticker", "published_at", "asof_date", *CONTEXT_COLUMNS)
+
+
+@register("join_6_asof_forward")
+def join_6(spark, sf_dir):
+    """Each prediction -> first bar with date >= target_date and < target_date + 7."""
+    preds = tb.predictions(spark, sf_dir).select("prediction_id", "ticker", "target_date")
+    bars = tb.ohlcv(spark, sf_dir).select("ticker", "date", "close")
+    out = asof.asof_forward(
+        preds, bars, ["ticker"], F.col("target_date"), "date", ["close"], tolerance_days=7, matched_day_col="actual_date"
+    )
+    return out.select("prediction_id", "ticker", "target_date", "actual_date", F.col("close").alias("actual_close"))
+
+
+def _recent_news(spark, sf_dir, anchors, anchor_day, n, lookback, body_chars):
+    items = tb.news(spark, sf_dir).select(
+        "ticker",
+        F.to_date("published_at").alias("pday"),
+        "published_at",
+        "url",
+        txt.py_strip(F.col("title")).alias("title"),
+        txt.py_strip(F.col("source")).alias("source"),
+        F.substring(txt.py_strip(F.col("body")), 1, body_chars).alias("body_excerpt"),
+    )
+    return asof.trailing_top_n(
+        anchors, items, ["ticker"], anchor_day, "pday",
+        order=[("pday", False), ("published_at", False), ("url", True)],
+        payload=["url", "title", "source", "body_excerpt"], n=n, lookback_days=lookback, out_col="recent_news",
+    )
+
+
+def _flatten_news(df):
+    return df.select(
+        *[c for c in df.columns if c != "recent_news"],
+        F.size("recent_news").alias("n_items"),
+        F.array_join(F.transform("recent_news", lambda s: s["url"]), " ").alias("item_urls"),
+        F.array_join(F.transform("recent_news", lambda s: s["title"]), "\n").alias("item_titles"),
+        F.array_join(F.transform("recent_news", lambda s: s["body_excerpt"]), "\n").alias("item_excerpts"),
+    )
+
+
+@register("join_7_trailing_news")
+def join_7(spark, sf_dir):
+    """Per (ticker, news day): up to 3 newest articles of the last 7 days, body cut to 220."""
+    anchors = tb.news(spark, sf_dir).select("ticker", F.to_date("published_at").alias("date")).distinct()
+    return _flatten_news(_recent_news(spark, sf_dir, anchors, "date", 3, 7, 220))
+
+
+@register("join_8_serving_news")
+def join_8(spark, sf_dir):
+    """Per prediction: up to 4 newest articles in [as_of - 7, as_of], body cut to 400."""
+    anchors = tb.predictions(spark, sf_dir).select("prediction_id", "ticker", "as_of_date")
+    return _flatten_news(_recent_news(spark, sf_dir, anchors, "as_of_date", 4, 7, 400))

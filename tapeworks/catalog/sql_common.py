@@ -109,3 +109,65 @@ def present_sql(sql: str, keep: list[str], digits: int = 6) -> str:
         f"select round(columns(lambda c: c not in ({names})), {digits}), "
         f"columns(lambda c: c in ({names})) from ({sql}) as _q"
     )
+
+
+def strip_sql(x: str) -> str:
+    """Python ``str.strip()`` in DuckDB (same character class as the Spark side)."""
+    from ..functions.text import WS_CLASS
+
+    return f"regexp_replace(coalesce(cast({x} as varchar), ''), '^{WS_CLASS}+|{WS_CLASS}+$', '', 'g')"
+
+
+def predictions_cte(horizon_days: int = 5) -> str:
+    from ..functions.dates import bday_offset_sql
+
+    pr = "((((o_orderkey * 7919) % 2001) - 1000)::double / 10000.0::double)"
+    sc = "((o_orderkey % 100)::double / 100.0::double)"
+    label = (f"case when o_orderkey % 50 = 0 then null when {sc} >= 0.75::double then 'high' "
+             f"when {sc} >= 0.6::double then 'medium' when {sc} >= 0.45::double then 'medium-low' else 'low' end")
+    return f"""
+predictions as (
+  select cast(o_orderkey as varchar) as prediction_id,
+         'Brand#' || cast(o_custkey % 25 + 1 as varchar) as ticker,
+         cast(o_orderdate as date) as as_of_date,
+         '{horizon_days}d' as horizon,
+         {bday_offset_sql('cast(o_orderdate as date)', horizon_days)} as target_date,
+         o_totalprice as current_close,
+         {pr} as predicted_return,
+         o_totalprice * (1.0::double + {pr}) as predicted_close,
+         o_totalprice * (1.0::double + {pr} - 0.05::double) as bear_case,
+         o_totalprice * (1.0::double + {pr} + 0.05::double) as bull_case,
+         {sc} as confidence_score,
+         {label} as confidence,
+         'synthetic' as model_name, 'v0' as model_version
+  from orders
+)"""
+
+
+def recent_news_sql(anchors: str, anchor_cols: str, anchor_day: str, n: int, lookback: int, body_chars: int) -> str:
+    """DuckDB text of the trailing top-n news operator, flattened like the Spark side."""
+    return f"""
+items as (
+  select ticker, cast(published_at as date) as pday, published_at, url,
+         {strip_sql('title')} as title, {strip_sql('source')} as source,
+         substring({strip_sql('body')}, 1, {body_chars}) as body_excerpt
+  from news
+),
+anchors as ({anchors}),
+cand as (
+  select a.ticker, a.{anchor_day} as aday, i.url, i.title, i.body_excerpt,
+         row_number() over (partition by a.ticker, a.{anchor_day}
+                            order by i.pday desc, i.published_at desc, i.url asc) as r
+  from (select distinct ticker, {anchor_day} from anchors) a
+  join items i on a.ticker = i.ticker and i.pday between a.{anchor_day} - {lookback} and a.{anchor_day}
+),
+packed as (
+  select ticker, aday, cast(count(*) as integer) as n_items,
+         string_agg(url, ' ' order by r) as item_urls,
+         string_agg(title, chr(10) order by r) as item_titles,
+         string_agg(body_excerpt, chr(10) order by r) as item_excerpts
+  from cand where r <= {n} group by ticker, aday
+)
+select {anchor_cols}, coalesce(p.n_items, 0) as n_items, coalesce(p.item_urls, '') as item_urls,
+       coalesce(p.item_titles, '') as item_titles, coalesce(p.item_excerpts, '') as item_excerpts
+from anchors a left join packed p on a.ticker = p.ticker and a.{anchor_day} = p.aday"""
