@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from .sql_common import NEWS_CTE, OHLCV_CTE, features_sql, predictions_cte, present_sql, recent_news_sql
+from .sql_common import (
+    DAILY_AGG_SQL, NEWS_CTE, OHLCV_CTE, features_sql, heuristic_events_sql, predictions_cte, present_sql, recent_news_sql,
+)
 
 ORACLES: dict[str, str] = {}
 
@@ -35,3 +37,35 @@ ORACLES["join_7_trailing_news"] = f"""with {NEWS_CTE}, {recent_news_sql(
 ORACLES["join_8_serving_news"] = f"""with {NEWS_CTE}, {predictions_cte()}, {recent_news_sql(
     "select prediction_id, ticker, as_of_date from predictions", "a.prediction_id, a.ticker, a.as_of_date",
     "as_of_date", 4, 7, 400)}"""
+
+_EV = f"with {NEWS_CTE}, {heuristic_events_sql()}"
+ORACLES["ds_2_heuristic_payload"] = present_sql(
+    f"""{_EV} select doc_id,
+      case when raw_score > 0.15::double then 'positive' when raw_score < -0.15::double then 'negative'
+           else 'neutral' end as sentiment,
+      round(raw_score, 4) as sentiment_score, catalyst_type,
+      array_to_string(risk_flags, ',') as risk_flags, likely_horizon
+    from payloads""",
+    ["doc_id", "sentiment", "catalyst_type", "risk_flags", "likely_horizon"],
+)
+_EVKEEP = ["ticker", "date", "earnings_count", "guidance_count", "ai_count", "lawsuit_count", "analyst_count",
+           "regulatory_count", "risk_flag_count"]
+ORACLES["ds_3_article_events"] = present_sql(f"{_EV} select * from events", ["doc_id", *_EVKEEP])
+ORACLES["agg_1_daily_events"] = present_sql(
+    f"{_EV}, daily as ({DAILY_AGG_SQL}) select ticker, date, {', '.join(f'cast({c} as bigint) as {c}' if c in _EVKEEP else c for c in ['news_count','earnings_count','guidance_count','ai_count','lawsuit_count','analyst_count','regulatory_count','risk_flag_count'])}, "
+    "avg_sentiment_stub, company_specific_score, macro_relevance_score, event_confidence_score, "
+    "max_positive_sentiment_stub, novelty_score, materiality_score, max_negative_sentiment_stub from daily",
+    _EVKEEP,
+)
+_NF = ["news_count", "avg_sentiment_stub", "max_positive_sentiment_stub", "max_negative_sentiment_stub",
+       "earnings_count", "guidance_count", "ai_count", "lawsuit_count", "analyst_count", "regulatory_count",
+       "company_specific_score", "macro_relevance_score", "novelty_score", "materiality_score",
+       "event_confidence_score", "risk_flag_count"]
+ORACLES["join_3_dense_news_features"] = present_sql(
+    f"""{_EV}, {OHLCV_CTE}, daily as ({DAILY_AGG_SQL}),
+    keys as (select distinct ticker, date from ohlcv)
+    select k.ticker, k.date, {', '.join(f'coalesce(cast(d.{c} as double), 0.0) as {c}' for c in _NF)}
+    from keys k left join daily d on k.ticker = d.ticker and k.date = d.date""",
+    ["ticker", "date"],
+)
+ORACLES["agg_9_distinct_panel_keys"] = f"with {OHLCV_CTE} select distinct ticker, date from ohlcv"

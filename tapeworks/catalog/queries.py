@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions import text as txt
 from ..operators import asof
 from ..plans import features as feat
+from ..plans import news_events as ne
 from ..sources import tables as tb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +118,43 @@ def join_8(spark, sf_dir):
     """Per prediction: up to 4 newest articles in [as_of - 7, as_of], body cut to 400."""
     anchors = tb.predictions(spark, sf_dir).select("prediction_id", "ticker", "as_of_date")
     return _flatten_news(_recent_news(spark, sf_dir, anchors, "as_of_date", 4, 7, 400))
+
+
+# ------------------------------------------------------------ news -> events
+def news_events(spark, sf_dir):
+    return ne.article_events(tb.news(spark, sf_dir))
+
+
+@register("ds_2_heuristic_payload")
+def ds_2(spark, sf_dir):
+    """Rule-based payload per article, flattened."""
+    n = tb.news(spark, sf_dir)
+    p = ne.heuristic_payload(ne.article_text(F.col("title"), F.col("body")))
+    return n.select("doc_id", p.alias("p")).select(
+        "doc_id", "p.sentiment", "p.sentiment_score", "p.catalyst_type",
+        F.array_join("p.risk_flags", ",").alias("risk_flags"), "p.likely_horizon",
+    )
+
+
+@register("ds_3_article_events")
+def ds_3(spark, sf_dir):
+    """Per-article feature rows (DS-3) keyed by doc_id."""
+    n = tb.news(spark, sf_dir)
+    rows = ne.article_events(n.withColumn("dedupe_key", F.col("doc_id")))
+    return rows.withColumnRenamed("dedupe_key", "doc_id")
+
+
+@register("agg_1_daily_events")
+def agg_1(spark, sf_dir):
+    return ne.daily_events(news_events(spark, sf_dir))
+
+
+@register("join_3_dense_news_features")
+def join_3(spark, sf_dir):
+    keys = tb.ohlcv(spark, sf_dir).select("ticker", "date")
+    return ne.dense_news_features(keys, ne.daily_events(news_events(spark, sf_dir)))
+
+
+@register("agg_9_distinct_panel_keys")
+def agg_9(spark, sf_dir):
+    return tb.ohlcv(spark, sf_dir).select("ticker", "date").distinct()

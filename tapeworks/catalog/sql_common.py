@@ -2,7 +2,7 @@
 
 OHLCV_CTE = """
 ohlcv as (
-  select p_brand as ticker, cast(l_shipdate as date) as date,
+  select upper(p_brand) as ticker, cast(l_shipdate as date) as date,
          first(l_extendedprice order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as open,
          max(l_extendedprice) as high, min(l_extendedprice) as low,
          last(l_extendedprice order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as close,
@@ -13,7 +13,7 @@ ohlcv as (
 
 NEWS_CTE = """
 news as (
-  select 'Brand#' || cast(doc_id % 25 + 1 as varchar) as ticker,
+  select 'BRAND#' || cast(doc_id % 25 + 1 as varchar) as ticker,
          timestamp '1995-01-02 00:00:00' + to_days(cast((doc_id * 7919) % 2400 as integer))
            + to_seconds(cast((doc_id * 104729) % 86400 as integer)) as published_at,
          substring(text, 1, 80) as title, text as body, source,
@@ -32,7 +32,7 @@ def rel(num: str, den: str) -> str:
     return f"({num} / nullif({den}, 0) - 1)"
 
 
-def features_sql(roles=("Brand#1", "Brand#2")) -> str:
+def features_sql(roles=("BRAND#1", "BRAND#2")) -> str:
     """DuckDB text of DS-1 over the ``ohlcv`` CTE (as a CTE named ``features``)."""
     q, s = roles
     rets = ",\n    ".join(f"{rel('close', f'lag(close, {n}) over w')} as ret_{n}d" for n in (1, 3, 5, 10, 20, 60))
@@ -128,7 +128,7 @@ def predictions_cte(horizon_days: int = 5) -> str:
     return f"""
 predictions as (
   select cast(o_orderkey as varchar) as prediction_id,
-         'Brand#' || cast(o_custkey % 25 + 1 as varchar) as ticker,
+         'BRAND#' || cast(o_custkey % 25 + 1 as varchar) as ticker,
          cast(o_orderdate as date) as as_of_date,
          '{horizon_days}d' as horizon,
          {bday_offset_sql('cast(o_orderdate as date)', horizon_days)} as target_date,
@@ -171,3 +171,71 @@ packed as (
 select {anchor_cols}, coalesce(p.n_items, 0) as n_items, coalesce(p.item_urls, '') as item_urls,
        coalesce(p.item_titles, '') as item_titles, coalesce(p.item_excerpts, '') as item_excerpts
 from anchors a left join packed p on a.ticker = p.ticker and a.{anchor_day} = p.aday"""
+
+
+def any_sql(low: str, words) -> str:
+    return "(" + " or ".join(f"contains({low}, '{w}')" for w in words) + ")"
+
+
+def count_sql(low: str, words) -> str:
+    return "(" + " + ".join(f"cast(contains({low}, '{w}') as integer)" for w in dict.fromkeys(words)) + ")"
+
+
+def catalyst_sql(low: str, topics: dict, default: str = "general_news") -> str:
+    whens = " ".join(f"when {any_sql(low, ws)} then '{t}'" for t, ws in topics.items())
+    return f"(case {whens} else '{default}' end)"
+
+
+def heuristic_events_sql() -> str:
+    """DuckDB text of DS-2/DS-3 over ``news`` as CTEs ``payloads`` and ``events``."""
+    from ..functions import lexicons as lx
+
+    low = "low"
+    p, n = count_sql(low, lx.POSITIVE_WORDS), count_sql(low, lx.NEGATIVE_WORDS)
+    topic_cols = ",\n    ".join(f"cast({any_sql(low, ws)} as bigint) as {t}_count" for t, ws in lx.TOPIC_KEYWORDS.items())
+    return f"""
+texts as (
+  select doc_id, upper(ticker) as ticker, cast(published_at as date) as date,
+         {strip_sql("coalesce(title, '') || ' ' || coalesce(body, '')")} as text
+  from news
+),
+scored as (
+  select *, {p} as p, {n} as n from (select *, lower(text) as low from texts)
+),
+payloads as (
+  select doc_id, ticker, date, text, low,
+    case when p + n = 0 then 0.0::double else (p - n)::double / (p + n)::double end as raw_score,
+    {catalyst_sql(low, lx.TOPIC_KEYWORDS)} as catalyst_type,
+    list_filter([case when {any_sql(low, lx.LEGAL_FLAG_WORDS)} then 'legal_or_regulatory' end,
+                 case when contains(low, 'guidance') and {any_sql(low, lx.GUIDANCE_CUT_WORDS)} then 'guidance_cut' end],
+                lambda x: x is not null) as risk_flags,
+    case when {any_sql(low, lx.LONG_HORIZON_WORDS)} then '5_20_trading_days' else '1_5_trading_days' end as likely_horizon
+  from scored
+),
+events as (
+  select doc_id, ticker, date,
+    1.0::double as news_count,
+    round(raw_score, 4) as avg_sentiment_stub,
+    greatest(round(raw_score, 4), 0.0::double) as max_positive_sentiment_stub,
+    least(round(raw_score, 4), 0.0::double) as max_negative_sentiment_stub,
+    1.0::double as company_specific_score,
+    0.0::double as macro_relevance_score,
+    0.55::double as novelty_score,
+    least(1.0::double, abs(round(raw_score, 4)) * 0.5::double + 0.35::double * 0.5::double) as materiality_score,
+    0.35::double as event_confidence_score,
+    cast(len(risk_flags) as bigint) as risk_flag_count,
+    {topic_cols}
+  from payloads
+)"""
+
+
+DAILY_AGG_SQL = """
+  select ticker, date,
+    sum(news_count) as news_count, sum(earnings_count) as earnings_count, sum(guidance_count) as guidance_count,
+    sum(ai_count) as ai_count, sum(lawsuit_count) as lawsuit_count, sum(analyst_count) as analyst_count,
+    sum(regulatory_count) as regulatory_count, sum(risk_flag_count) as risk_flag_count,
+    avg(avg_sentiment_stub) as avg_sentiment_stub, avg(company_specific_score) as company_specific_score,
+    avg(macro_relevance_score) as macro_relevance_score, avg(event_confidence_score) as event_confidence_score,
+    max(max_positive_sentiment_stub) as max_positive_sentiment_stub, max(novelty_score) as novelty_score,
+    max(materiality_score) as materiality_score, min(max_negative_sentiment_stub) as max_negative_sentiment_stub
+  from events group by ticker, date"""

@@ -3,6 +3,8 @@
 The driver's TPC-H-like tables stand in for the reference's inputs:
 
 * ``ohlcv``: one daily bar per (brand, ship date) from ``lineitem x part``.
+  Tickers are upper-cased brands (``BRAND#7``): the engine's convention, as in
+  the reference, is upper-case tickers, and news rows are upper-cased too.
 * ``news``: one article per ``documents`` row, ticker and time derived from
   ``doc_id``.
 * ``universe``: distinct brands; brands 1 and 2 play the two benchmarks.
@@ -28,7 +30,7 @@ TABLES = (
 ).split()
 
 # Benchmark roles in the driver data (QQQ-like and SPY-like tickers).
-BENCHMARK_ROLES = {"qqq": "Brand#1", "spy": "Brand#2"}
+BENCHMARK_ROLES = {"qqq": "BRAND#1", "spy": "BRAND#2"}
 N_BRANDS = 25
 
 
@@ -55,7 +57,7 @@ def ohlcv(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     return (
         li.join(part, li.l_partkey == part.p_partkey)
-        .groupBy(F.col("p_brand").alias("ticker"), F.to_date("l_shipdate").alias("date"))
+        .groupBy(F.upper("p_brand").alias("ticker"), F.to_date("l_shipdate").alias("date"))
         .agg(
             F.min_by("l_extendedprice", k).alias("open"),
             F.max("l_extendedprice").alias("high"),
@@ -77,7 +79,7 @@ def coerce_ohlcv(raw: DataFrame) -> DataFrame:
 
 
 def _doc_ticker(doc_id: Column) -> Column:
-    return F.concat(F.lit("Brand#"), ((doc_id % N_BRANDS) + 1).cast("string"))
+    return F.concat(F.lit("BRAND#"), ((doc_id % N_BRANDS) + 1).cast("string"))
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +105,7 @@ def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_brand").distinct()
     num = F.regexp_extract("p_brand", r"#(\d+)$", 1).cast("int")
     return p.select(
-        F.col("p_brand").alias("ticker"),
+        F.upper("p_brand").alias("ticker"),
         F.concat(F.lit("cat"), (num % 4).cast("string")).alias("category"),
         num.isin(1, 2).cast("int").alias("is_benchmark"),
     )
@@ -117,7 +119,7 @@ def predictions(spark: SparkSession, sf_dir: str, horizon_days: int = 5) -> Data
     as_of = F.to_date("o_orderdate")
     return o.select(
         F.col("o_orderkey").cast("string").alias("prediction_id"),
-        F.concat(F.lit("Brand#"), ((F.col("o_custkey") % N_BRANDS) + 1).cast("string")).alias("ticker"),
+        F.concat(F.lit("BRAND#"), ((F.col("o_custkey") % N_BRANDS) + 1).cast("string")).alias("ticker"),
         as_of.alias("as_of_date"),
         F.lit(f"{horizon_days}d").alias("horizon"),
         bday_offset(as_of, horizon_days).alias("target_date"),
