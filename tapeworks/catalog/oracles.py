@@ -69,3 +69,153 @@ ORACLES["join_3_dense_news_features"] = present_sql(
     ["ticker", "date"],
 )
 ORACLES["agg_9_distinct_panel_keys"] = f"with {OHLCV_CTE} select distinct ticker, date from ohlcv"
+
+# ------------------------------------------------------------- evaluation
+from ..schemas import PRICE_FEATURE_COLUMNS  # noqa: E402
+from .queries import AS_OF, MODELS  # noqa: E402
+from .sql_common import model_frame_sql, scored_sql  # noqa: E402
+
+_MF = f"with {OHLCV_CTE}, {features_sql()}, {model_frame_sql()}"
+ORACLES["prj_3_model_frame"] = present_sql(
+    f"{_MF} select ticker, date, close, future_ret_5d, {', '.join(PRICE_FEATURE_COLUMNS)} from model_frame",
+    ["ticker", "date"],
+)
+ORACLES["prj_5_split_and_weights"] = present_sql(
+    f"""{_MF} select ticker, date, split,
+      greatest(0.2::double, least(1.0::double,
+        pow(0.5::double, greatest(date_diff('day', date, (select max(date) from model_frame)), 0)::double / 180.0::double)))
+        as weight
+    from model_frame""",
+    ["ticker", "date", "split"],
+)
+_SC = f"{_MF}, {scored_sql(MODELS)}"
+ORACLES["ml_2_linear_scores"] = present_sql(
+    f"{_SC} select model_name, model_version, ticker, date, split, prediction from scored",
+    ["model_name", "model_version", "ticker", "date", "split"],
+)
+ORACLES["agg_5_regression_metrics"] = present_sql(
+    f"""{_SC},
+    ranked as (
+      select model_name, model_version, split, future_ret_5d as y, prediction as p,
+        row_number() over (partition by model_name, model_version, split order by prediction, ticker, date) as rk,
+        count(*) over (partition by model_name, model_version, split) as cnt
+      from scored
+    )
+    select model_name, model_version, split, count(*) as n,
+      avg(abs(y - p)) as mae, sqrt(avg((y - p) * (y - p))) as rmse,
+      case when count(*) * var_pop(y) > 0 then 1.0::double - sum((y - p) * (y - p)) / (count(*) * var_pop(y))
+           when sum((y - p) * (y - p)) = 0 then 1.0::double else 0.0::double end as r2,
+      avg(case when sign(y) = sign(p) then 1.0::double else 0.0::double end) as direction_accuracy,
+      avg(case when rk > cnt - greatest(1, floor(cnt * 0.1::double)) then y end) as top_decile_avg_forward_return,
+      avg(case when rk <= greatest(1, floor(cnt * 0.1::double)) then y end) as bottom_decile_avg_forward_return
+    from ranked group by model_name, model_version, split""",
+    ["model_name", "model_version", "split", "n"],
+)
+ORACLES["agg_8_training_window"] = (
+    f"{_MF} select split, min(date) as start_date, max(date) as end_date, count(*) as rows from model_frame group by split"
+)
+ORACLES["agg_7_rebalance_dates"] = (
+    f"{_MF} select cast(date_trunc('week', date) as date) as week, min(date) as date from model_frame "
+    "where ticker not in ('BRAND#1', 'BRAND#2') group by 1"
+)
+_BT = f"""{_SC},
+working as (select * from scored where ticker not in ('BRAND#1', 'BRAND#2') and future_ret_5d is not null),
+rebal as (select min(date) as date from working group by date_trunc('week', date)),
+picks as (
+  select * from (
+    select w.*, row_number() over (partition by model_name, model_version, w.date
+                                   order by prediction desc, ticker asc) as rn
+    from working w join rebal r on w.date = r.date) where rn <= 5
+),
+per as (
+  select model_name, model_version, date, avg(future_ret_5d) - 0.001::double as portfolio_return,
+         string_agg(ticker, ',' order by rn) as tickers
+  from picks group by model_name, model_version, date
+),
+periods as (
+  select p.model_name, p.model_version, p.date, p.portfolio_return,
+         case when b.ticker is not null then b.future_ret_5d else 0.0::double end as benchmark_return, p.tickers
+  from per p left join (select * from scored where ticker = 'BRAND#1') b
+    on p.model_name = b.model_name and p.model_version = b.model_version and p.date = b.date
+),
+curve0 as (
+  select *,
+    product(1.0::double + portfolio_return) over w as cumulative,
+    product(1.0::double + benchmark_return) over w as benchmark_cumulative
+  from periods
+  window w as (partition by model_name, model_version order by date rows between unbounded preceding and current row)
+),
+curve as (
+  select *, max(cumulative) over (partition by model_name, model_version order by date
+                                  rows between unbounded preceding and current row) as running_peak
+  from curve0
+)"""
+ORACLES["ds_13_backtest_periods"] = present_sql(
+    f"{_BT} select *, cumulative / running_peak - 1.0::double as drawdown from curve",
+    ["model_name", "model_version", "date", "tickers"],
+)
+ORACLES["ds_13_backtest_summary"] = present_sql(
+    f"""{_BT} select model_name, model_version, count(*) as periods,
+      arg_max(cumulative, date) - 1.0::double as total_return,
+      arg_max(benchmark_cumulative, date) - 1.0::double as benchmark_total_return,
+      case when stddev_pop(portfolio_return) > 0
+           then avg(portfolio_return) / stddev_pop(portfolio_return) * sqrt(52.0::double) else 0.0::double end
+        as sharpe_like,
+      abs(min(cumulative / running_peak - 1.0::double)) as max_drawdown
+    from curve group by model_name, model_version""",
+    ["model_name", "model_version", "periods"],
+)
+_OC = f"""with {OHLCV_CTE}, {predictions_cte()},
+todo as (select * from predictions where target_date < date '{AS_OF}'),
+hit as (
+  select t.*, case when o.date < t.target_date + 7 then o.close end as actual_close
+  from todo t asof left join ohlcv o on t.ticker = o.ticker and t.target_date <= o.date
+),
+outcomes as (
+  select prediction_id, actual_close, actual_close / nullif(current_close, 0) - 1.0::double as actual_return,
+    abs(actual_close - predicted_close) as absolute_error,
+    abs((actual_close / nullif(current_close, 0) - 1.0::double) - predicted_return) as return_error,
+    cast(sign(actual_close / nullif(current_close, 0) - 1.0::double) = sign(predicted_return) as integer)
+      as direction_correct,
+    cast(bear_case <= actual_close and actual_close <= bull_case as integer) as within_prediction_range,
+    timestamp '{AS_OF} 00:00:00' as scored_at
+  from hit where actual_close is not null
+)"""
+ORACLES["ds_11_outcomes"] = present_sql(
+    f"{_OC} select * from outcomes", ["prediction_id", "direction_correct", "within_prediction_range", "scored_at"]
+)
+ORACLES["ds_12_scorecard"] = present_sql(
+    f"""{_OC},
+    s as (
+      select p.ticker, coalesce(p.confidence, 'unknown') as confidence_bucket, p.prediction_id, o.absolute_error,
+             o.direction_correct, o.within_prediction_range, p.predicted_return, o.actual_return,
+             p.predicted_close, o.actual_close
+      from predictions p join outcomes o on p.prediction_id = o.prediction_id
+      where o.actual_close is not null and o.actual_return is not null
+    ),
+    g as (
+      select 'overall' as section, null::varchar as key, count(prediction_id)::double as predictions,
+        avg(absolute_error) as mae, sqrt(avg((predicted_close - actual_close) * (predicted_close - actual_close))) as rmse,
+        avg(direction_correct::double) as direction_accuracy, avg(within_prediction_range::double) as range_coverage,
+        avg(predicted_return) as avg_predicted_return, avg(actual_return) as avg_actual_return from s
+      union all
+      select 'ticker', ticker, count(prediction_id)::double, avg(absolute_error), null, avg(direction_correct::double),
+        null, null, avg(actual_return) from s group by ticker
+      union all
+      select 'confidence_bucket', confidence_bucket, count(prediction_id)::double, avg(absolute_error), null,
+        avg(direction_correct::double), null, null, avg(actual_return) from s group by confidence_bucket
+    )
+    select section, key, metric, value from (
+      select section, key, 'mae' as metric, mae as value from g where section = 'overall'
+      union all select section, key, 'rmse', rmse from g where section = 'overall'
+      union all select section, key, 'direction_accuracy', direction_accuracy from g where section = 'overall'
+      union all select section, key, 'range_coverage', range_coverage from g where section = 'overall'
+      union all select section, key, 'avg_predicted_return', avg_predicted_return from g where section = 'overall'
+      union all select section, key, 'avg_actual_return', avg_actual_return from g where section = 'overall'
+      union all select section, key, 'predictions', predictions from g where section <> 'overall'
+      union all select section, key, 'mae', mae from g where section <> 'overall'
+      union all select section, key, 'direction_accuracy', direction_accuracy from g where section <> 'overall'
+      union all select section, key, 'avg_actual_return', avg_actual_return from g where section <> 'overall'
+    )""",
+    ["section", "key", "metric"],
+)

@@ -15,7 +15,9 @@ from pyspark.sql import types as T
 from ..functions import text as txt
 from ..operators import asof
 from ..plans import features as feat
+from ..plans import evaluation as ev
 from ..plans import news_events as ne
+from ..plans import outcomes as oc
 from ..sources import tables as tb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +160,106 @@ def join_3(spark, sf_dir):
 @register("agg_9_distinct_panel_keys")
 def agg_9(spark, sf_dir):
     return tb.ohlcv(spark, sf_dir).select("ticker", "date").distinct()
+
+
+# ------------------------------------------------------------- evaluation
+# Split bounds for the driver data (bars run 1995-01 .. 2001-11).
+DRIVER_SPLIT = ("2000-01-01", "2000-12-31", "2001-01-01")
+# Two fixed linear scorers standing in for a production and a candidate model.
+MODEL_A = {"ret_5d": 0.3, "volatility_20d": -0.2, "close_vs_ma20": 0.1}
+MODEL_B = {"ret_20d": 0.2, "volume_z20": 0.01, "stock_minus_qqq_ret_5d": 0.3}
+MODELS = [("linear_a", "v1", MODEL_A), ("linear_b", "v2", MODEL_B)]
+AS_OF = "2002-01-01"
+
+
+def model_frame(spark, sf_dir):
+    from ..schemas import PRICE_FEATURE_COLUMNS
+
+    feats = features_panel(spark, sf_dir)
+    return ev.prepare_model_frame(feats, PRICE_FEATURE_COLUMNS, "future_ret_5d")
+
+
+def scored_panel(spark, sf_dir, models=MODELS):
+    from functools import reduce
+
+    frame = model_frame(spark, sf_dir).withColumn("split", ev.split_column(F.col("date"), DRIVER_SPLIT))
+    parts = [
+        frame.select(
+            F.lit(name).alias("model_name"), F.lit(ver).alias("model_version"), "*",
+            ev.linear_score(coefs).alias("prediction"),
+        )
+        for name, ver, coefs in models
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@register("prj_3_model_frame")
+def prj_3(spark, sf_dir):
+    from ..schemas import PRICE_FEATURE_COLUMNS
+
+    return model_frame(spark, sf_dir).select("ticker", "date", "close", "future_ret_5d", *PRICE_FEATURE_COLUMNS)
+
+
+@register("prj_5_split_and_weights")
+def prj_5(spark, sf_dir):
+    frame = model_frame(spark, sf_dir).select("ticker", "date")
+    frame = frame.withColumn("split", ev.split_column(F.col("date"), DRIVER_SPLIT))
+    return frame.withColumn("weight", ev.recency_weight(frame, 180))
+
+
+@register("ml_2_linear_scores")
+def ml_2(spark, sf_dir):
+    return scored_panel(spark, sf_dir).select("model_name", "model_version", "ticker", "date", "split", "prediction")
+
+
+@register("agg_5_regression_metrics")
+def agg_5(spark, sf_dir):
+    return ev.regression_metrics(scored_panel(spark, sf_dir), ["model_name", "model_version", "split"])
+
+
+@register("agg_8_training_window")
+def agg_8(spark, sf_dir):
+    frame = model_frame(spark, sf_dir).withColumn("split", ev.split_column(F.col("date"), DRIVER_SPLIT))
+    return ev.training_window(frame, ["split"])
+
+
+@register("agg_7_rebalance_dates")
+def agg_7(spark, sf_dir):
+    from ..plans.backtest import rebalance_dates
+
+    frame = model_frame(spark, sf_dir).filter(~F.col("ticker").isin(*tb.BENCHMARK_ROLES.values()))
+    return rebalance_dates(frame)
+
+
+def backtest(spark, sf_dir):
+    from ..plans.backtest import run_weekly_backtest
+
+    scored = scored_panel(spark, sf_dir)
+    return run_weekly_backtest(scored, tb.BENCHMARK_ROLES["qqq"], list(tb.BENCHMARK_ROLES.values()))
+
+
+@register("ds_13_backtest_periods")
+def ds_13_periods(spark, sf_dir):
+    return backtest(spark, sf_dir)[0]
+
+
+@register("ds_13_backtest_summary")
+def ds_13_summary(spark, sf_dir):
+    return backtest(spark, sf_dir)[1]
+
+
+def outcomes(spark, sf_dir):
+    preds = tb.predictions(spark, sf_dir)
+    return oc.score_outcomes(
+        preds, tb.ohlcv(spark, sf_dir), F.lit(AS_OF).cast("date"), F.lit(AS_OF + " 00:00:00").cast("timestamp")
+    )
+
+
+@register("ds_11_outcomes")
+def ds_11(spark, sf_dir):
+    return outcomes(spark, sf_dir)
+
+
+@register("ds_12_scorecard")
+def ds_12(spark, sf_dir):
+    return oc.scorecard(oc.scored_predictions(tb.predictions(spark, sf_dir), outcomes(spark, sf_dir)))

@@ -239,3 +239,38 @@ DAILY_AGG_SQL = """
     max(max_positive_sentiment_stub) as max_positive_sentiment_stub, max(novelty_score) as novelty_score,
     max(materiality_score) as materiality_score, min(max_negative_sentiment_stub) as max_negative_sentiment_stub
   from events group by ticker, date"""
+
+
+DRIVER_SPLIT_SQL = ("2000-01-01", "2000-12-31", "2001-01-01")
+
+
+def model_frame_sql() -> str:
+    """``model_frame``: prepared DS-1 rows (CTE over ``features``)."""
+    from ..schemas import PRICE_FEATURE_COLUMNS
+
+    feats = ", ".join(f"coalesce({c}, 0.0::double) as {c}" for c in PRICE_FEATURE_COLUMNS)
+    v0, v1, t0 = DRIVER_SPLIT_SQL
+    return f"""
+model_frame as (
+  select ticker, date, close, future_ret_5d, {feats},
+    case when date < date '{v0}' then 'train'
+         when date >= date '{v0}' and date <= date '{v1}' then 'validation'
+         when date >= date '{t0}' then 'test' end as split
+  from features
+  where ticker is not null and date is not null and close is not null and future_ret_5d is not null
+)"""
+
+
+def score_sql(coefs: dict) -> str:
+    out = "0.0::double"
+    for c, w in coefs.items():
+        out = f"({out} + {float(w)!r}::double * coalesce({c}, 0.0::double))"
+    return out
+
+
+def scored_sql(models) -> str:
+    parts = " union all ".join(
+        f"select '{n}' as model_name, '{v}' as model_version, *, {score_sql(c)} as prediction from model_frame"
+        for n, v, c in models
+    )
+    return f"scored as ({parts})"
