@@ -219,3 +219,147 @@ ORACLES["ds_12_scorecard"] = present_sql(
     )""",
     ["section", "key", "metric"],
 )
+
+# ------------------------------------------------------ promotion, serving
+from ..functions.dates import bday_offset_sql  # noqa: E402
+from ..schemas import NEWS_FEATURE_COLUMNS, PRIOR_FEATURE_COLUMNS  # noqa: E402
+from .queries import MODEL_A  # noqa: E402
+from .sql_common import score_sql  # noqa: E402
+
+_METRICS_BODY = """
+  select model_name, model_version, count(*) as n,
+    avg(abs(y - p)) as mae, sqrt(avg((y - p) * (y - p))) as rmse,
+    case when count(*) * var_pop(y) > 0 then 1.0::double - sum((y - p) * (y - p)) / (count(*) * var_pop(y))
+         when sum((y - p) * (y - p)) = 0 then 1.0::double else 0.0::double end as r2,
+    avg(case when sign(y) = sign(p) then 1.0::double else 0.0::double end) as direction_accuracy,
+    avg(case when rk > cnt - greatest(1, floor(cnt * 0.1::double)) then y end) as top_decile_avg_forward_return,
+    avg(case when rk <= greatest(1, floor(cnt * 0.1::double)) then y end) as bottom_decile_avg_forward_return
+  from (
+    select model_name, model_version, future_ret_5d as y, prediction as p,
+      row_number() over (partition by model_name, model_version order by prediction, ticker, date) as rk,
+      count(*) over (partition by model_name, model_version) as cnt
+    from scored where split = 'validation')
+  group by model_name, model_version"""
+
+_BT_SUMMARY_BODY = """
+  select model_name, model_version, count(*) as periods,
+    arg_max(cumulative, date) - 1.0::double as total_return,
+    arg_max(benchmark_cumulative, date) - 1.0::double as benchmark_total_return,
+    case when stddev_pop(portfolio_return) > 0
+         then avg(portfolio_return) / stddev_pop(portfolio_return) * sqrt(52.0::double) else 0.0::double end
+      as sharpe_like,
+    abs(min(cumulative / running_peak - 1.0::double)) as max_drawdown
+  from curve group by model_name, model_version"""
+
+_EVAL = f"""{_BT},
+roles as (select * from (values ('production', 'linear_a', 'v1'), ('candidate', 'linear_b', 'v2'))
+          as t(role, model_name, model_version)),
+metrics as ({_METRICS_BODY}),
+bt as ({_BT_SUMMARY_BODY}),
+evaluated as (
+  select r.role, r.model_name, r.model_version, m.n, m.mae, m.rmse, m.r2, m.direction_accuracy,
+         m.top_decile_avg_forward_return, m.bottom_decile_avg_forward_return,
+         b.periods, b.total_return, b.benchmark_total_return, b.sharpe_like, b.max_drawdown
+  from roles r
+  left join metrics m on r.model_name = m.model_name and r.model_version = m.model_version
+  left join bt b on r.model_name = b.model_name and r.model_version = b.model_version
+)"""
+ORACLES["ds_14_candidate_evaluation"] = present_sql(
+    f"{_EVAL} select * from evaluated", ["role", "model_name", "model_version", "n", "periods"]
+)
+_SIDE_COLS = ["model_name", "model_version", "mae", "rmse", "r2", "direction_accuracy",
+              "top_decile_avg_forward_return", "bottom_decile_avg_forward_return", "periods", "total_return",
+              "benchmark_total_return", "sharpe_like", "max_drawdown"]
+_SIDE = ", ".join(
+    f"max(case when role = '{r}' then {c} end) as {r}_{c}" for r in ("candidate", "production") for c in _SIDE_COLS
+)
+ORACLES["join_14_side_by_side"] = present_sql(
+    f"{_EVAL} select {_SIDE} from evaluated",
+    [f"{r}_{c}" for r in ("candidate", "production") for c in ("model_name", "model_version", "periods")],
+)
+ORACLES["ds_15_promotion_gate"] = f"""{_EVAL}, side as (select {_SIDE} from evaluated),
+g as (select *, coalesce(
+    candidate_direction_accuracy >= production_direction_accuracy
+    and candidate_rmse <= production_rmse * 1.02::double
+    and candidate_top_decile_avg_forward_return > production_top_decile_avg_forward_return
+    and candidate_total_return > production_total_return
+    and candidate_max_drawdown <= production_max_drawdown * 1.10::double, false) as passed from side)
+select 'ensemble' as model_name, candidate_model_version as model_version, 'promotion_check' as run_type,
+       cast(passed as integer) as promoted, passed from g"""
+
+_PRIORS = f"""
+pr0 as (
+  select ticker, date, close,
+    ln(close / nullif(lag(close) over w, 0)) as lr,
+    row_number() over w as rn, count(*) over (partition by ticker) as cnt
+  from ohlcv where close is not null window w as (partition by ticker order by date)
+),
+pr1 as (
+  select *, coalesce(avg(lr) over w60, 0.0::double) as mu, coalesce(stddev_samp(lr) over w60, 0.0::double) as sd
+  from pr0 window w60 as (partition by ticker order by date rows between 59 preceding and current row)
+),
+pr2 as (
+  select ticker, date, cnt, rn >= 120 and (rn - 120) % 5 = 0 as anchor,
+    exp(mu * 5.0::double - 1.2815515655446004::double * sd * sqrt(5.0::double)) as lo,
+    exp(mu * 5.0::double + 1.2815515655446004::double * sd * sqrt(5.0::double)) as hi, mu
+  from pr1
+),
+pr3 as (
+  select ticker, date,
+    case when anchor then exp(mu * 1.0::double) - 1.0::double end as chronos_pred_ret_1d,
+    case when anchor then exp(mu * 5.0::double) - 1.0::double end as chronos_pred_ret_5d,
+    case when anchor then exp(mu * 20.0::double) - 1.0::double end as chronos_pred_ret_20d,
+    case when anchor then lo - 1.0::double end as chronos_bear_ret_5d,
+    case when anchor then hi - 1.0::double end as chronos_bull_ret_5d,
+    case when anchor then greatest(0.15::double, least(0.95::double, 1.0::double - abs(hi - lo))) end
+      as chronos_confidence_score
+  from pr2 where cnt >= 120
+),
+priors as (
+  select * from (
+    select ticker, date, {', '.join(f'last_value({c} ignore nulls) over w as {c}' for c in PRIOR_FEATURE_COLUMNS)}
+    from pr3 window w as (partition by ticker order by date rows between unbounded preceding and current row))
+  where chronos_pred_ret_5d is not null
+)"""
+ORACLES["ml_3_drift_priors"] = present_sql(f"with {OHLCV_CTE}, {_PRIORS} select * from priors", ["ticker", "date"])
+ORACLES["win_12_forecast_anchors"] = f"""with {OHLCV_CTE}
+select ticker, date, close from (
+  select ticker, date, close, row_number() over (partition by ticker order by date) as rn from ohlcv)
+where rn >= 120 and (rn - 120) % 5 = 0"""
+ORACLES["win_11_business_day_regrid"] = f"""with {OHLCV_CTE},
+a as (select ticker, date, close, max(date) over (partition by ticker) as last,
+             row_number() over (partition by ticker order by date desc) as k from ohlcv),
+b as (select *, case when isodow(last) >= 6 then last - cast(isodow(last) - 5 as integer) else last end as e from a)
+select ticker, date, close,
+  cast(e - cast((k - 1) + 2 * floor((4 - (isodow(e) - 1) + (k - 1)) / 5) as integer) as date) as timestamp
+from b"""
+ORACLES["win_7_latest_rows"] = present_sql(
+    f"""with {OHLCV_CTE}, {features_sql()}
+    select ticker, date, close, ret_5d, volatility_20d from features where close is not null
+    qualify row_number() over (partition by ticker order by date desc) = 1""",
+    ["ticker", "date"],
+)
+ORACLES["top_4_recent_predictions"] = present_sql(
+    f"""with {predictions_cte()}
+    select prediction_id, ticker, as_of_date, predicted_return from predictions
+    qualify row_number() over (partition by ticker order by cast(as_of_date as timestamp) desc, prediction_id) <= 25""",
+    ["prediction_id", "ticker", "as_of_date"],
+)
+ORACLES["ds_10_prior_only_predictions"] = present_sql(
+    f"""with {OHLCV_CTE}, {features_sql()}, {_PRIORS},
+    latest as (select ticker, date, close from features where close is not null
+               qualify row_number() over (partition by ticker order by date desc) = 1),
+    j as (select l.ticker, l.date as as_of_date, l.close, p.date as pday, p.* exclude (ticker, date)
+          from latest l asof left join priors p on l.ticker = p.ticker and l.date >= p.date),
+    d as (select *, list_transform(list_slice(list_reverse(list_sort([
+      {', '.join(f"{{'s': abs(coalesce({c}, 0.0::double)), 'i': -{i}, 'name': '{c}', 'v': coalesce({c}, 0.0::double)}}" for i, c in enumerate(PRIOR_FEATURE_COLUMNS))}
+    ])), 1, 5), lambda x: x.name || '=' || printf('%.4f', x.v)) as drv from j)
+    select ticker, as_of_date, close as current_close,
+      case when pday is not null then coalesce(chronos_pred_ret_5d, 0.0::double) end as t1_predicted_return,
+      case when pday is not null then close * (1.0::double + coalesce(chronos_pred_ret_5d, 0.0::double)) end
+        as t1_expected_close,
+      case when pday is not null then array_to_string(drv, ';') end as t1_drivers,
+      case when pday is null then 'No prior features available for ticker ' || ticker end as error
+    from d""",
+    ["ticker", "as_of_date", "t1_drivers", "error"],
+)

@@ -263,3 +263,108 @@ def ds_11(spark, sf_dir):
 @register("ds_12_scorecard")
 def ds_12(spark, sf_dir):
     return oc.scorecard(oc.scored_predictions(tb.predictions(spark, sf_dir), outcomes(spark, sf_dir)))
+
+
+# ------------------------------------------------------ promotion, serving
+def roles_table(spark):
+    """Which scorer plays which role (a two-row parameter table)."""
+    return spark.createDataFrame(
+        [("production", MODELS[0][0], MODELS[0][1]), ("candidate", MODELS[1][0], MODELS[1][1])],
+        "role string, model_name string, model_version string",
+    )
+
+
+def evaluation(spark, sf_dir):
+    from ..plans import promote as pm
+
+    return pm.evaluate_models(
+        scored_panel(spark, sf_dir), roles_table(spark), tb.BENCHMARK_ROLES["qqq"], list(tb.BENCHMARK_ROLES.values())
+    )
+
+
+@register("ds_14_candidate_evaluation")
+def ds_14(spark, sf_dir):
+    return evaluation(spark, sf_dir)
+
+
+@register("ds_15_promotion_gate")
+def ds_15(spark, sf_dir):
+    from ..plans import promote as pm
+
+    side = pm.side_by_side(evaluation(spark, sf_dir))
+    return pm.promotion_decision(side, "ensemble", F.lit(AS_OF + " 00:00:00").cast("timestamp")).select(
+        "model_name", "model_version", "run_type", "promoted", "passed"
+    )
+
+
+@register("join_14_side_by_side")
+def join_14(spark, sf_dir):
+    from ..plans import promote as pm
+
+    return pm.side_by_side(evaluation(spark, sf_dir))
+
+
+def priors(spark, sf_dir):
+    from ..plans.forecast import drift_forecast
+
+    return drift_forecast(tb.ohlcv(spark, sf_dir), min_history=120, step=5, lookback=60)
+
+
+@register("ml_3_drift_priors")
+def ml_3(spark, sf_dir):
+    return priors(spark, sf_dir)
+
+
+@register("win_12_forecast_anchors")
+def win_12(spark, sf_dir):
+    from ..operators.windows import panel_window, strided_anchors
+
+    return strided_anchors(tb.ohlcv(spark, sf_dir).select("ticker", "date", "close"), panel_window(), 120, 5)
+
+
+@register("win_11_business_day_regrid")
+def win_11(spark, sf_dir):
+    from ..plans.forecast import business_day_regrid
+
+    return business_day_regrid(tb.ohlcv(spark, sf_dir).select("ticker", "date", "close"))
+
+
+@register("win_7_latest_rows")
+def win_7(spark, sf_dir):
+    from ..plans.predict import latest_rows
+
+    return latest_rows(features_panel(spark, sf_dir).select("ticker", "date", "close", "ret_5d", "volatility_20d"))
+
+
+def dense_news(spark, sf_dir):
+    keys = tb.ohlcv(spark, sf_dir).select("ticker", "date")
+    return ne.dense_news_features(keys, ne.daily_events(news_events(spark, sf_dir)))
+
+
+@register("ds_9_predictions")
+def ds_9(spark, sf_dir):
+    from ..plans.predict import predict_all
+
+    feats = features_panel(spark, sf_dir)
+    out = predict_all(feats, dense_news(spark, sf_dir), priors(spark, sf_dir), ev.linear_score(MODEL_A))
+    return out.select(
+        *[c for c in out.columns if c not in ("main_drivers", "risk_flags")],
+        F.array_join("main_drivers", ";").alias("main_drivers"),
+        F.array_join("risk_flags", ";").alias("risk_flags"),
+    )
+
+
+@register("ds_10_prior_only_predictions")
+def ds_10(spark, sf_dir):
+    from ..plans.predict import predict_prior_only
+
+    out = predict_prior_only(features_panel(spark, sf_dir), priors(spark, sf_dir))
+    return out.withColumn("t1_drivers", F.array_join("t1_drivers", ";"))
+
+
+@register("top_4_recent_predictions")
+def top_4(spark, sf_dir):
+    from ..plans.predict import recent_predictions
+
+    preds = tb.predictions(spark, sf_dir).withColumn("created_at", F.col("as_of_date").cast("timestamp"))
+    return recent_predictions(preds, 25).select("prediction_id", "ticker", "as_of_date", "predicted_return")
