@@ -363,3 +363,70 @@ ORACLES["ds_10_prior_only_predictions"] = present_sql(
     from d""",
     ["ticker", "as_of_date", "t1_drivers", "error"],
 )
+
+_PRICE = ", ".join(f"l.{c}" for c in PRICE_FEATURE_COLUMNS)
+_DRV_COLS = PRICE_FEATURE_COLUMNS + PRIOR_FEATURE_COLUMNS + NEWS_FEATURE_COLUMNS
+_DRV = ", ".join(
+    f"{{'s': abs(coalesce({c}, 0.0::double)), 'i': -{i}, 'name': '{c}', 'v': coalesce({c}, 0.0::double)}}"
+    for i, c in enumerate(_DRV_COLS)
+)
+_VER = "t1=t1;n1=n1;ensemble=ensemble;adjuster=disabled"
+ORACLES["ds_9_predictions"] = present_sql(
+    f"""with {OHLCV_CTE}, {features_sql()}, {_PRIORS}, {NEWS_CTE}, {heuristic_events_sql()},
+    daily as ({DAILY_AGG_SQL}),
+    nf as (
+      select k.ticker, k.date, {', '.join(f'coalesce(cast(d.{c} as double), 0.0) as {c}' for c in NEWS_FEATURE_COLUMNS)}
+      from (select distinct ticker, date from ohlcv) k left join daily d on k.ticker = d.ticker and k.date = d.date
+    ),
+    latest as (select * from features where close is not null
+               qualify row_number() over (partition by ticker order by date desc) = 1),
+    j1 as (select l.ticker, l.date as as_of_date, l.close, l.rapid_move, {_PRICE}, n.date as news_day,
+                  {', '.join(f'n.{c}' for c in NEWS_FEATURE_COLUMNS)}
+           from latest l asof left join nf n on l.ticker = n.ticker and l.date >= n.date),
+    j2 as (select j1.*, p.date as prior_day, {', '.join(f'p.{c}' for c in PRIOR_FEATURE_COLUMNS)}
+           from j1 asof left join priors p on j1.ticker = p.ticker and j1.as_of_date >= p.date),
+    x as (select * replace ({', '.join(f'coalesce({c}, 0.0::double) as {c}' for c in NEWS_FEATURE_COLUMNS + PRIOR_FEATURE_COLUMNS)}),
+             prior_day is not null as has_prior
+          from j2),
+    y as (select *, {score_sql(MODEL_A)} as baseline,
+             coalesce(nullif(volatility_20d, 0.0::double), 0.02::double) as vol,
+             news_count = 0.0::double as missing_news from x),
+    z as (select *, baseline + 0::double / 10000.0::double as pred from y),
+    s0 as (select *, round(greatest(0.2::double, least(0.95::double,
+        0.62::double
+        - (case when vol > 0.05::double then 0.18::double when vol > 0.03::double then 0.08::double else 0.0::double end)
+        - (case when missing_news then 0.08::double else 0.0::double end)
+        - (case when abs(pred) < 0.005::double then 0.08::double else 0.0::double end)
+        + (case when sign(chronos_pred_ret_5d) = sign(pred) and abs(chronos_pred_ret_5d - pred) < 0.01::double
+                then 0.08::double else 0.0::double end))), 4) as sc0 from z),
+    s1 as (select *, round(greatest(0.2::double, least(0.95::double, sc0 - 0.03::double)), 4) as sc from s0),
+    d as (select *, list_transform(list_slice(list_reverse(list_sort([{_DRV}])), 1, 5),
+                                   lambda q: q.name || '=' || printf('%.4f', q.v)) as drv from s1),
+    out as (
+      select sha256(concat_ws('|', ticker, cast(as_of_date as varchar), '5d', '{_VER}')) as prediction_id,
+        ticker, as_of_date, '5d' as target_horizon, {bday_offset_sql('as_of_date', 5)} as target_date,
+        round(close, 4) as current_close, round(close * (1.0::double + baseline), 4) as baseline_expected_close,
+        round(baseline, 6) as baseline_predicted_return, 0 as adjustment_bps,
+        round(close * (1.0::double + pred), 4) as expected_close, round(pred, 6) as predicted_return,
+        round(close * (1.0::double + pred - greatest(vol, 0.015::double)), 4) as bear_case,
+        round(close * (1.0::double + pred + greatest(vol, 0.015::double)), 4) as bull_case,
+        case when sc >= 0.75::double then 'high' when sc >= 0.6::double then 'medium'
+             when sc >= 0.45::double then 'medium-low' else 'low' end as confidence,
+        sc as confidence_score,
+        array_to_string(drv, ';') as main_drivers,
+        array_to_string(list_filter([
+          case when missing_news then 'missing_news_features' end,
+          case when vol > 0.05::double then 'high_volatility' end,
+          case when rapid_move = 1 then 'recent_rapid_move' end,
+          case when abs(baseline) > 0.08::double then 'large_baseline_move' end,
+          case when abs(pred) > 0.08::double then 'large_adjusted_move' end], lambda f: f is not null), ';') as risk_flags,
+        'No adjustment applied.' as reasoning,
+        case when not has_prior then 'No prior features available for ticker ' || ticker || ' as of '
+             || cast(as_of_date as varchar) end as error
+      from d
+    )
+    select ticker, error, case when error is null then columns(lambda c: c not in ('ticker', 'error')) end
+    from out""",
+    ["prediction_id", "ticker", "as_of_date", "target_horizon", "target_date", "adjustment_bps", "confidence",
+     "main_drivers", "risk_flags", "reasoning", "error"],
+)

@@ -143,7 +143,17 @@ def predict_all(
         flags.alias("risk_flags"),
         F.coalesce(F.col("_rationale"), F.lit("No adjustment applied.")).alias("reasoning"),
         F.lit(None).cast("string").alias("error"),
+        F.col("_has_prior").alias("_has_prior_out"),
     )
+    if priors is not None:
+        err = F.when(~F.col("_has_prior_out"), F.concat(
+            F.lit("No prior features available for ticker "), F.col("ticker"), F.lit(" as of "),
+            F.col("as_of_date").cast("string")))
+        out = out.withColumn("error", err)
+        out = out.select(*[
+            F.col(c) if c in ("ticker", "error") else F.when(F.col("error").isNull(), F.col(c)).alias(c)
+            for c in out.columns if c != "_has_prior_out"
+        ])
     if tickers is not None:
         missing = tickers.select("ticker").join(out.select("ticker"), "ticker", "left_anti")
         err = missing.select(
