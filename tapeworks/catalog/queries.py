@@ -368,3 +368,81 @@ def top_4(spark, sf_dir):
 
     preds = tb.predictions(spark, sf_dir).withColumn("created_at", F.col("as_of_date").cast("timestamp"))
     return recent_predictions(preds, 25).select("prediction_id", "ticker", "as_of_date", "predicted_return")
+
+
+# ------------------------------------------------------------- training sets
+def _arr(df, cols, sep=";"):
+    return df.select(*[F.array_join(c, sep).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+@register("ds_5_outcome_labelled_set")
+def ds_5(spark, sf_dir):
+    from ..plans.trainsets import outcome_labelled
+
+    out = outcome_labelled(tb.news(spark, sf_dir), features_panel(spark, sf_dir))
+    return _arr(out, ["risk_flags"])
+
+
+@register("ds_6_weak_supervision_set")
+def ds_6(spark, sf_dir):
+    from ..plans.trainsets import weak_supervision
+
+    return _arr(weak_supervision(tb.news(spark, sf_dir)), ["risk_flags"])
+
+
+def merged_frame(spark, sf_dir, with_priors=True):
+    from ..plans.trainsets import training_frame
+
+    return training_frame(features_panel(spark, sf_dir), priors(spark, sf_dir) if with_priors else None,
+                          dense_news(spark, sf_dir))
+
+
+@register("join_2_training_frame")
+def join_2(spark, sf_dir):
+    from ..schemas import NEWS_FEATURE_COLUMNS, PRIOR_FEATURE_COLUMNS
+
+    return merged_frame(spark, sf_dir).select("ticker", "date", "close", "ret_5d", *PRIOR_FEATURE_COLUMNS,
+                                              *NEWS_FEATURE_COLUMNS)
+
+
+@register("join_11_source_sets")
+def join_11(spark, sf_dir):
+    from ..plans.trainsets import source_sets
+
+    return _arr(source_sets(tb.news(spark, sf_dir)), ["sources_seen"], ",")
+
+
+@register("ds_7_planner_set")
+def ds_7(spark, sf_dir):
+    from ..plans.trainsets import planner_rows, source_sets, tail_rows, training_frame
+
+    frame = training_frame(features_panel(spark, sf_dir), None, dense_news(spark, sf_dir))
+    frame = frame.select(*[F.coalesce(F.col(f.name), F.lit(0.0)).alias(f.name) if f.dataType.typeName() == "double"
+                           else F.col(f.name) for f in frame.schema.fields])
+    out = planner_rows(tail_rows(frame, 4000), source_sets(tb.news(spark, sf_dir)))
+    return _arr(out, ["triggers", "suggested_sources"])
+
+
+@register("top_2_tail_rows")
+def top_2(spark, sf_dir):
+    from ..plans.trainsets import tail_rows
+
+    return tail_rows(features_panel(spark, sf_dir).select("ticker", "date", "close"), 4000)
+
+
+@register("ds_8_adjuster_set")
+def ds_8(spark, sf_dir):
+    from ..plans.trainsets import adjuster_rows, recent_news_by_day, tail_rows
+    from ..schemas import merged_feature_columns
+
+    frame = ev.prepare_model_frame(merged_frame(spark, sf_dir), merged_feature_columns(), "future_ret_5d")
+    sample = tail_rows(frame, 4000)
+    out = adjuster_rows(sample, ev.linear_score(MODEL_A), recent_news_by_day(tb.news(spark, sf_dir)))
+    return _arr(out, ["cited_signals", "risk_flags"])
+
+
+@register("ds_17_sft_text")
+def ds_17(spark, sf_dir):
+    from ..plans.trainsets import sft_text, weak_supervision
+
+    return sft_text(weak_supervision(tb.news(spark, sf_dir)))

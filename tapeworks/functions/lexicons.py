@@ -39,3 +39,33 @@ OUTCOME_TOPICS = {
     "ai_demand": TOPIC_KEYWORDS["ai"],
 }
 # ---------------------------------------------------------------------------
+
+# --- fixed values: outcome-labelled set flags and novelty -------------------
+OUTCOME_LEGAL_WORDS = ["lawsuit", "litigation", "probe", "investigation"]
+OUTCOME_VALUATION_WORDS = ["valuation", "multiple"]
+OUTCOME_NOVELTY_WORDS = ["guidance", "beat", "miss", "investigation"]
+
+# --- fixed values: weak-supervision set --------------------------------------
+WEAK_POSITIVE_WORDS = ["beat", "strong", "growth", "upbeat", "surge", "win", "record", "expand", "positive"]
+WEAK_NEGATIVE_WORDS = ["miss", "weak", "cut", "drop", "decline", "lawsuit", "risk", "negative", "delay"]
+WEAK_TOPICS = {
+    "earnings": TOPIC_KEYWORDS["earnings"],
+    "guidance": TOPIC_KEYWORDS["guidance"],
+    "AI_demand": TOPIC_KEYWORDS["ai"],
+    "lawsuit": TOPIC_KEYWORDS["lawsuit"],
+    "regulatory": TOPIC_KEYWORDS["regulatory"],
+    "analyst_change": TOPIC_KEYWORDS["analyst"],
+    "product_launch": ["launch", "product"],
+}
+WEAK_SHORT_HORIZON_WORDS = ["today", "tomorrow", "this week"]
+WEAK_LONG_HORIZON_WORDS = ["quarter", "guidance", "earnings"]
+
+# --- fixed values: planner rules ---------------------------------------------
+PLANNER_BASE_SOURCES = ["public_finance_news", "company_ir", "sec_filings"]
+PLANNER_NOTES = "Generated from real market state and real ingested news availability."
+ADJUSTER_RATIONALE = (
+    "Adjust the XGBoost baseline only when recent news plausibly changes near-term return expectations."
+)
+INSTRUCTION_EXTRACT = "Extract stock-relevant trading features as valid JSON."
+INSTRUCTION_PLAN = "Generate a stock-news retrieval plan as valid JSON."
+INSTRUCTION_ADJUST = "Adjust a stock baseline forecast using fresh news context as valid JSON."
