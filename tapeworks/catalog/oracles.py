@@ -430,3 +430,124 @@ ORACLES["ds_9_predictions"] = present_sql(
     ["prediction_id", "ticker", "as_of_date", "target_horizon", "target_date", "adjustment_bps", "confidence",
      "main_drivers", "risk_flags", "reasoning", "error"],
 )
+
+# ------------------------------------------------------------- training sets
+from ..functions import lexicons as _lx  # noqa: E402
+from .sql_common import (  # noqa: E402
+    any_sql, catalyst_sql, count_sql, fixed_sql, jbool, jlist, jobject, jstr, py_float_sql, pylist_sql, pystr_sql,
+    strip_sql,
+)
+
+_CTXC = ["ret_1d", "ret_5d", "volatility_20d", "future_ret_1d", "future_ret_5d", "future_ret_20d"]
+
+
+def _pymax(a, b):
+    return f"(case when {a} is null then null when abs({b}) > abs({a}) then abs({b}) else abs({a}) end)"
+
+
+ORACLES["ds_5_outcome_labelled_set"] = present_sql(
+    f"""with {OHLCV_CTE}, {features_sql()}, {NEWS_CTE},
+    a as (
+      select n.doc_id, upper(n.ticker) as ticker, n.published_at, n.title, n.body, f.date as fdate, f.rapid_move,
+             {', '.join('f.' + c for c in _CTXC)}, f.future_ret_10d,
+             {strip_sql("coalesce(n.title, '') || chr(10) || coalesce(n.body, '')")} as text
+      from news n asof left join features f on upper(n.ticker) = f.ticker and cast(n.published_at as date) >= f.date
+    ),
+    b as (select *, lower(text) as low, fdate is not null as has_row,
+                 fdate is not null and future_ret_5d is not null as labelled from a),
+    c as (
+      select *,
+        case when labelled and future_ret_5d > 0.02::double then 'positive'
+             when labelled and future_ret_5d < -0.02::double then 'negative' else 'neutral' end as sentiment,
+        case when labelled then round(greatest(-1.0::double, least(1.0::double, future_ret_5d / 0.08::double)), 4)
+             else 0.0::double end as sentiment_score,
+        {catalyst_sql('low', _lx.OUTCOME_TOPICS)} as catalyst_type,
+        contains(upper(text), ticker) as company_specific,
+        list_sort(list_filter([
+          case when {any_sql('low', _lx.OUTCOME_LEGAL_WORDS)} then 'legal_or_regulatory' end,
+          case when {any_sql('low', _lx.OUTCOME_VALUATION_WORDS)} then 'valuation' end,
+          case when has_row and coalesce(volatility_20d, 0.0::double) > 0.05::double then 'high_volatility' end,
+          case when has_row and rapid_move = 1 then 'rapid_move' end], lambda v: v is not null)) as risk_flags,
+        case when {any_sql('low', _lx.OUTCOME_NOVELTY_WORDS)} then 'high' else 'medium' end as novelty,
+        case when has_row and {_pymax('future_ret_10d', 'future_ret_20d')} > {_pymax('future_ret_1d', 'future_ret_5d')}
+             then '5_20_trading_days' else '1_5_trading_days' end as likely_horizon,
+        round(least(0.55::double + case when labelled then least(0.25::double, abs(future_ret_5d) / 0.2::double)
+                                        else 0.0::double end, 0.9::double), 4) as confidence
+      from b
+    )
+    select doc_id, ticker, published_at, sentiment, sentiment_score, catalyst_type, company_specific,
+      array_to_string(risk_flags, ';') as risk_flags, novelty, likely_horizon, confidence,
+      '{_lx.INSTRUCTION_EXTRACT}' as instruction,
+      'Ticker: ' || ticker || chr(10) || 'Date: ' || cast(cast(published_at as date) as varchar) || chr(10)
+        || 'Headline: ' || coalesce(title, '') || chr(10) || 'Article: ' || coalesce(body, '') || chr(10)
+        || 'MarketContext: ' || case when has_row then {jobject([(c, py_float_sql(c)) for c in _CTXC])} else '{{}}' end
+        as input,
+      {jobject([("sentiment", jstr("sentiment")), ("sentiment_score", py_float_sql("sentiment_score")),
+                ("catalyst_type", jstr("catalyst_type")), ("company_specific", jbool("company_specific")),
+                ("risk_flags", jlist("risk_flags")), ("novelty", jstr("novelty")),
+                ("likely_horizon", jstr("likely_horizon")), ("confidence", py_float_sql("confidence"))])} as output
+    from c""",
+    ["doc_id", "ticker", "published_at", "sentiment", "catalyst_type", "company_specific", "risk_flags", "novelty",
+     "likely_horizon", "instruction", "input", "output"],
+)
+
+ORACLES["ds_6_weak_supervision_set"] = present_sql(
+    f"""with {NEWS_CTE},
+    a as (select doc_id, ticker, published_at, title, body,
+                 lower({strip_sql("coalesce(title, '') || chr(10) || coalesce(body, '')")}) as low from news),
+    b as (select *, {count_sql('low', _lx.WEAK_POSITIVE_WORDS)} as p, {count_sql('low', _lx.WEAK_NEGATIVE_WORDS)} as n
+          from a),
+    c as (select *, case when p + n = 0 then 0.0::double else (p - n)::double / (p + n)::double end as s from b),
+    d as (select *,
+      case when s > 0.15::double then 'positive' when s < -0.15::double then 'negative' else 'neutral' end as sentiment,
+      round(abs(s), 4) as sentiment_score,
+      {catalyst_sql('low', _lx.WEAK_TOPICS, 'general')} as catalyst_type,
+      list_filter([
+        case when s < -0.25::double then 'negative_sentiment' end,
+        case when {any_sql('low', ['lawsuit', 'litigation'])} then 'lawsuit' end,
+        case when {any_sql('low', ['regulatory', 'sec', 'antitrust'])} then 'regulatory' end,
+        case when contains(low, 'guidance') and {any_sql('low', ['cut', 'lower'])} then 'guidance_cut' end,
+        case when contains(low, 'valuation') then 'valuation' end], lambda v: v is not null) as risk_flags,
+      case when {any_sql('low', _lx.WEAK_SHORT_HORIZON_WORDS)} then '1-5_trading_days'
+           when {any_sql('low', _lx.WEAK_LONG_HORIZON_WORDS)} then '5-20_trading_days'
+           else '1-20_trading_days' end as likely_horizon
+      from c)
+    select doc_id, ticker, sentiment, sentiment_score, catalyst_type, array_to_string(risk_flags, ';') as risk_flags,
+      likely_horizon, '{_lx.INSTRUCTION_EXTRACT}' as instruction,
+      'Ticker: ' || coalesce(ticker, 'UNKNOWN') || chr(10) || 'Date: ' || strftime(published_at, '%Y-%m-%d')
+        || chr(10) || 'Headline: ' || coalesce(title, '') || chr(10) || 'Article: ' || coalesce(body, '') as input,
+      {jobject([("sentiment", jstr("sentiment")), ("sentiment_score", py_float_sql("sentiment_score")),
+                ("catalyst_type", jstr("catalyst_type")), ("company_specific", "'true'"),
+                ("risk_flags", jlist("risk_flags")), ("novelty", "'\"medium\"'"),
+                ("likely_horizon", jstr("likely_horizon")), ("confidence", "'0.58'")])} as output
+    from d""",
+    ["doc_id", "ticker", "sentiment", "catalyst_type", "risk_flags", "likely_horizon", "instruction", "input",
+     "output"],
+)
+
+_DENSE = f"""{NEWS_CTE}, {heuristic_events_sql()}, daily as ({DAILY_AGG_SQL}),
+nf as (
+  select k.ticker, k.date, {', '.join(f'coalesce(cast(d.{c} as double), 0.0) as {c}' for c in NEWS_FEATURE_COLUMNS)}
+  from (select distinct ticker, date from ohlcv) k left join daily d on k.ticker = d.ticker and k.date = d.date
+)"""
+ORACLES["join_2_training_frame"] = present_sql(
+    f"""with {OHLCV_CTE}, {features_sql()}, {_PRIORS}, {_DENSE}
+    select f.ticker, f.date, f.close, f.ret_5d, {', '.join('p.' + c for c in PRIOR_FEATURE_COLUMNS)},
+           {', '.join('n.' + c for c in NEWS_FEATURE_COLUMNS)}
+    from features f left join priors p on f.ticker = p.ticker and f.date = p.date
+    left join nf n on f.ticker = n.ticker and f.date = n.date""",
+    ["ticker", "date"],
+)
+ORACLES["join_11_source_sets"] = f"""with {NEWS_CTE}
+select upper(ticker) as ticker, cast(substring(strftime(published_at, '%Y-%m-%d'), 1, 10) as date) as date,
+       array_to_string(list_sort(list_distinct(list(lower(coalesce(source, ''))))), ',') as sources_seen
+from news group by 1, 2"""
+ORACLES["top_2_tail_rows"] = present_sql(
+    f"with {OHLCV_CTE}, {features_sql()} select ticker, date, close from features order by ticker desc, date desc "
+    "limit 4000",
+    ["ticker", "date"],
+)
+ORACLES["ds_17_sft_text"] = (
+    "select 'Instruction: ' || instruction || chr(10) || 'Input: ' || input || chr(10) || 'Output: ' || output "
+    f"as text from ({ORACLES['ds_6_weak_supervision_set']}) as _w"
+)

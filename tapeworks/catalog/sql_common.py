@@ -274,3 +274,42 @@ def scored_sql(models) -> str:
         for n, v, c in models
     )
     return f"scored as ({parts})"
+
+
+def py_float_sql(x: str, digits: int = 4) -> str:
+    return (f"coalesce(regexp_replace(regexp_replace(printf('%.{digits}f', cast({x} as double)), '0+$', ''), "
+            f"'\\.$', '.0'), 'NaN')")
+
+
+def fixed_sql(x: str, digits: int) -> str:
+    return f"coalesce(printf('%.{digits}f', cast({x} as double)), 'nan')"
+
+
+def jstr(x: str) -> str:
+    return f"('\"' || {x} || '\"')"
+
+
+def jbool(x: str) -> str:
+    return f"(case when {x} then 'true' else 'false' end)"
+
+
+def jlist(x: str) -> str:
+    return f"('[' || array_to_string(list_transform({x}, lambda v: '\"' || v || '\"'), ', ') || ']')"
+
+
+def jobject(fields) -> str:
+    parts = []
+    for i, (k, v) in enumerate(sorted(fields, key=lambda kv: kv[0])):
+        parts.append(f"'{'' if i == 0 else ', '}\"{k}\": ' || {v}")
+    return "('{' || " + " || ".join(parts) + " || '}')"
+
+
+def pystr_sql(x: str) -> str:
+    esc = (f"replace(replace(replace(replace({x}, '\\', '\\\\'), chr(10), '\\n'), chr(13), '\\r'), "
+           f"chr(9), '\\t')")
+    return (f"(case when contains({x}, '''') and not contains({x}, '\"') then '\"' || {esc} || '\"' "
+            f"else '''' || replace({esc}, '''', '\\''') || '''' end)")
+
+
+def pylist_sql(x: str) -> str:
+    return f"('[' || array_to_string(list_transform({x}, lambda v: {pystr_sql('v')}), ', ') || ']')"

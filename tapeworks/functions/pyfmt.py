@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 
 def fixed(c: Column, digits: int) -> Column:
     """``f"{x:.{digits}f}"`` (NULL -> 'nan')."""
-    return F.coalesce(F.format_string(f"%.{digits}f", c.cast("double")), F.lit("nan"))
+    x = c.cast("double")
+    return F.when(x.isNull(), F.lit("nan")).otherwise(F.format_string(f"%.{digits}f", x))
 
 
 def py_float(c: Column, digits: int = 4) -> Column:
     """repr(round(x, digits)): shortest decimal, at least one fractional digit; NULL -> 'NaN'."""
-    s = F.format_string(f"%.{digits}f", c.cast("double"))
+    x = c.cast("double")
+    s = F.format_string(f"%.{digits}f", x)
     s = F.regexp_replace(F.regexp_replace(s, "0+$", ""), r"\.$", ".0")
-    return F.coalesce(s, F.lit("NaN"))
+    return F.when(x.isNull(), F.lit("NaN")).otherwise(s)
 
 
 def json_str(c: Column) -> Column:
