@@ -551,3 +551,61 @@ ORACLES["ds_17_sft_text"] = (
     "select 'Instruction: ' || instruction || chr(10) || 'Input: ' || input || chr(10) || 'Output: ' || output "
     f"as text from ({ORACLES['ds_6_weak_supervision_set']}) as _w"
 )
+
+_TRIG = [
+    ("rapid_move = 1", "rapid_move", 0.35),
+    ("volatility_20d > 0.05::double", "high_volatility", 0.2),
+    ("news_count = 0.0::double", "missing_news", 0.2),
+    ("(abs(future_ret_1d) > 0.03::double or abs(future_ret_5d) > 0.05::double)", "large_realized_move", 0.15),
+    ("materiality_score > 0.6::double", "material_news_context", 0.1),
+    ("(earnings_count > 0 or guidance_count > 0)", "earnings_or_guidance", 0.1),
+]
+_score = "0.1::double"
+for _c, _n, _w in _TRIG:
+    _score = f"(case when {_c} then {_score} + {_w!r}::double else {_score} end)"
+_trig = "list_filter([" + ", ".join(f"case when {c} then '{n}' end" for c, n, _ in _TRIG) + "], lambda v: v is not null)"
+ORACLES["ds_7_planner_set"] = f"""with {OHLCV_CTE}, {features_sql()}, {_DENSE},
+fr as (
+  select f.ticker, f.date, coalesce(f.rapid_move, 0) as rapid_move,
+    {', '.join(f'coalesce(f.{c}, 0.0::double) as {c}' for c in ['ret_1d', 'ret_5d', 'volatility_20d', 'future_ret_1d', 'future_ret_5d'])},
+    {', '.join(f'coalesce(n.{c}, 0.0::double) as {c}' for c in NEWS_FEATURE_COLUMNS)}
+  from features f left join nf n on f.ticker = n.ticker and f.date = n.date
+  order by f.ticker desc, f.date desc limit 4000
+),
+src as (
+  select upper(ticker) as ticker, cast(strftime(published_at, '%Y-%m-%d') as date) as date,
+         list_sort(list_distinct(list(lower(coalesce(source, ''))))) as seen
+  from news group by 1, 2
+),
+a as (select fr.*, coalesce(src.seen, []::varchar[]) as seen, {_score} as score, {_trig} as triggers
+      from fr left join src on fr.ticker = src.ticker and fr.date = src.date),
+b as (select *, score >= 0.35::double as should_retrieve,
+  list_distinct_ordered as x from (select *, list_filter([
+      case when list_contains(triggers, 'earnings_or_guidance') then 'earnings_transcript' end,
+      case when contains(array_to_string(seen, ' '), 'investor') then 'company_ir' end,
+      case when list_contains(seen, 'sec') then 'sec_filings' end,
+      case when list_contains(seen, 'reuters') or list_contains(seen, 'yahoo') then 'follow_existing_public_news' end],
+      lambda v: v is not null) || ['public_finance_news', 'company_ir', 'sec_filings'] as list_distinct_ordered from a)),
+c as (select *,
+  list_filter(x, lambda v, i: list_position(x, v) = i) as srcs from b)
+select ticker, date, should_retrieve,
+  case when score >= 0.7::double then 'high' when score >= 0.45::double then 'medium' else 'low' end as urgency,
+  round(least(score, 0.95::double), 4) as urgency_score,
+  array_to_string(triggers, ';') as triggers,
+  array_to_string(case when should_retrieve then srcs else []::varchar[] end, ';') as suggested_sources,
+  '{_lx.INSTRUCTION_PLAN}' as instruction,
+  'Ticker: ' || ticker || chr(10) || 'Date: ' || cast(date as varchar) || chr(10) || 'Horizon: 5d' || chr(10)
+    || 'ret_1d: ' || {fixed_sql('ret_1d', 4)} || chr(10) || 'ret_5d: ' || {fixed_sql('ret_5d', 4)} || chr(10)
+    || 'volatility_20d: ' || {fixed_sql('volatility_20d', 4)} || chr(10)
+    || 'rapid_move: ' || cast(rapid_move as varchar) || chr(10)
+    || 'news_count: ' || {fixed_sql('news_count', 0)} || chr(10)
+    || 'materiality_score: ' || {fixed_sql('materiality_score', 4)} || chr(10)
+    || 'sources_seen: ' || {pylist_sql('seen')} as input,
+  {jobject([("should_retrieve", jbool("should_retrieve")),
+            ("urgency", "'\"' || case when score >= 0.7::double then 'high' when score >= 0.45::double then 'medium' else 'low' end || '\"'"),
+            ("urgency_score", py_float_sql("round(least(score, 0.95::double), 4)")),
+            ("triggers", jlist("triggers")),
+            ("suggested_sources", jlist("case when should_retrieve then srcs else []::varchar[] end")),
+            ("query_terms", "case when should_retrieve then '[\"' || ticker || ' stock news\", \"' || ticker || ' sec filing\", \"' || ticker || ' investor relations\"]' else '[]' end"),
+            ("notes", jstr(f"'{_lx.PLANNER_NOTES}'"))])} as output
+from c"""
