@@ -446,3 +446,78 @@ def ds_17(spark, sf_dir):
     from ..plans.trainsets import sft_text, weak_supervision
 
     return sft_text(weak_supervision(tb.news(spark, sf_dir)))
+
+
+# ------------------------------------------------------------ ingestion
+INGEST_AS_OF = "2001-12-01 00:00:00"
+INGEST_DAYS_BACK = 2000
+
+
+def _as_of():
+    return F.lit(INGEST_AS_OF).cast("timestamp")
+
+
+def _flat_items(df):
+    from ..sources.feeds import iso_utc
+
+    return df.select("payload_id", "ticker", "position", "title", "body", "source", "url",
+                     iso_utc(F.col("published_ts")).alias("published_at"))
+
+
+@register("src_7_rss_items")
+def src_7(spark, sf_dir):
+    from ..sources.feeds import parse_rss
+
+    pages = tb.table(spark, sf_dir, "pages").select("url", "html")
+    return _flat_items(parse_rss(tb.rss_payloads(spark, sf_dir), pages))
+
+
+@register("src_8_search_items")
+def src_8(spark, sf_dir):
+    from ..sources.feeds import parse_search
+
+    return _flat_items(parse_search(tb.search_payloads(spark, sf_dir), _as_of()))
+
+
+@register("src_10_vendor_results")
+def src_10(spark, sf_dir):
+    from ..sources.feeds import parse_results
+
+    return _flat_items(parse_results(tb.results_payloads(spark, sf_dir)))
+
+
+@register("str_3_strip_html")
+def str_3(spark, sf_dir):
+    from ..functions.html import strip_html
+
+    return tb.table(spark, sf_dir, "pages").select("page_id", strip_html(F.col("html")).alias("text"))
+
+
+@register("str_4_article_body")
+def str_4(spark, sf_dir):
+    from ..functions.html import article_body
+
+    return tb.table(spark, sf_dir, "pages").select("page_id", article_body(F.col("html")).alias("body"))
+
+
+def ingest_runs(spark, sf_dir):
+    """Run 1 ingests the search feed into an empty log; run 2 ingests the RSS feed
+    against run 1's keys (same articles -> duplicates)."""
+    from ..plans.ingest import ingest
+    from ..sources.feeds import parse_rss, parse_search
+
+    cutoff = F.timestamp_add("DAY", F.lit(-INGEST_DAYS_BACK), _as_of())
+    s_raw = tb.search_payloads(spark, sf_dir)
+    new1, sum1 = ingest(s_raw, parse_search(s_raw, _as_of()), None, cutoff)
+    r_raw = tb.rss_payloads(spark, sf_dir)
+    new2, sum2 = ingest(r_raw, parse_rss(r_raw), new1.select("dedupe_key"), cutoff)
+    return new1, sum1, new2, sum2
+
+
+def ds_16_rows(spark, sf_dir):
+    return ingest_runs(spark, sf_dir)[0]
+
+
+def ds_16_summary(spark, sf_dir):
+    _, s1, _, s2 = ingest_runs(spark, sf_dir)
+    return s1.withColumn("run", F.lit(1)).unionByName(s2.withColumn("run", F.lit(2)))

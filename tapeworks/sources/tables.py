@@ -133,3 +133,68 @@ def predictions(spark: SparkSession, sf_dir: str, horizon_days: int = 5) -> Data
         F.lit("synthetic").alias("model_name"),
         F.lit("v0").alias("model_version"),
     )
+
+
+# ------------------------------------------------------------ raw payloads
+def _xml_text(c: Column) -> Column:
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def _feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Article items as a vendor would list them, grouped into payloads of at most
+    four items (one payload per ticker and block of 100 doc ids)."""
+    n = news(spark, sf_dir)
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id"), F.col("url").alias("page_url"))
+    n = n.join(pages, n.doc_id == pages.page_id, "left")
+    fmt = F.col("doc_id") % 3
+    date_text = (
+        F.when(fmt == 0, F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss 'GMT'"))
+        .when(fmt == 1, F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        .otherwise(F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'+00:00'"))
+    )
+    return n.select(
+        "doc_id", "ticker", (F.col("doc_id") / 100).cast("long").alias("block"),
+        F.coalesce("page_url", "url").alias("url"), "title", "source",
+        F.substring("body", 1, 400).alias("description"), date_text.alias("date"),
+        F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss 'GMT'").alias("rfc_date"),
+    )
+
+
+def _payload_groups(items: DataFrame, item: Column) -> DataFrame:
+    grouped = items.groupBy("ticker", "block").agg(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("i")))).alias("_l"))
+    pid = F.concat(F.col("ticker"), F.lit(":"), F.col("block").cast("string"))
+    status = F.when(F.col("block") % 10 == 7, F.lit(500)).otherwise(F.lit(200))
+    return grouped.select(pid.alias("payload_id"), "ticker", status.alias("status"),
+                          F.transform("_l", lambda s: s["i"]).alias("items"),
+                          F.lit("2001-12-01 00:00:00").cast("timestamp").alias("fetched_at"))
+
+
+def search_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-8 input: ``{status_code, headers, body: "<json text>"}`` envelopes with a
+    ``news`` list; payloads of every tenth block failed (status 500)."""
+    it = _feed_items(spark, sf_dir)
+    g = _payload_groups(it, F.struct("title", "url", "source", "date", "description"))
+    body = F.to_json(F.struct(F.col("items").alias("news")))
+    env = F.to_json(F.struct(F.col("status").alias("status_code"), F.struct(F.lit("application/json").alias("content_type")).alias("headers"), body.alias("body")))
+    return g.select("payload_id", "ticker", "status", env.alias("payload"), "fetched_at")
+
+
+def rss_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-7 input: RSS XML text per payload."""
+    it = _feed_items(spark, sf_dir)
+    xml_item = F.concat(
+        F.lit("<item><title>"), _xml_text(F.col("title")), F.lit("</title><link>"), _xml_text(F.col("url")),
+        F.lit("</link><description>"), _xml_text(F.concat(F.lit("<b>"), F.col("description"), F.lit("</b>"))),
+        F.lit("</description><source>"), _xml_text(F.col("source")), F.lit("</source><pubDate>"), F.col("rfc_date"),
+        F.lit("</pubDate></item>"),
+    )
+    g = _payload_groups(it, xml_item)
+    xml = F.concat(F.lit('<rss version="2.0"><channel><title>feed</title>'), F.array_join("items", ""), F.lit("</channel></rss>"))
+    return g.select("payload_id", "ticker", "status", xml.alias("payload"), "fetched_at")
+
+
+def results_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-10 input: ``{"results": [{title, url, content, published_date}]}``."""
+    it = _feed_items(spark, sf_dir).withColumn("published_date", F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.col("date")))
+    g = _payload_groups(it, F.struct("title", "url", F.col("description").alias("content"), "published_date"))
+    return g.select("payload_id", "ticker", "status", F.to_json(F.struct(F.col("items").alias("results"))).alias("payload"), "fetched_at")
