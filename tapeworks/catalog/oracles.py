@@ -609,3 +609,6 @@ select ticker, date, should_retrieve,
             ("query_terms", "case when should_retrieve then '[\"' || ticker || ' stock news\", \"' || ticker || ' sec filing\", \"' || ticker || ' investor relations\"]' else '[]' end"),
             ("notes", jstr(f"'{_lx.PLANNER_NOTES}'"))])} as output
 from c"""
+
+# ------------------------------------------------------------- streaming
+ORACLES["str_m2_daily_events_stream"] = ORACLES["agg_1_daily_events"]

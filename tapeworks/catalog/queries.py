@@ -521,3 +521,21 @@ def ds_16_rows(spark, sf_dir):
 def ds_16_summary(spark, sf_dir):
     _, s1, _, s2 = ingest_runs(spark, sf_dir)
     return s1.withColumn("run", F.lit(1)).unionByName(s2.withColumn("run", F.lit(2)))
+
+
+# ------------------------------------------------------------- streaming
+@register("str_m2_daily_events_stream")
+def str_m2(spark, sf_dir):
+    """AGG-1 as a drained Structured Streaming job (equals the batch result)."""
+    from ..streaming.jobs import run_daily_events
+
+    return run_daily_events(spark, tb.news_stream(spark, sf_dir), watermark="36500 days")
+
+
+@register("str_m1_dedupe_stream")
+def str_m1(spark, sf_dir):
+    """News rows deduplicated within the watermark by a drained stream."""
+    from ..streaming.jobs import run_dedupe
+
+    out = run_dedupe(spark, tb.news_stream(spark, sf_dir), days_back=36500)
+    return out.select("doc_id", "ticker", "published_at", "dedupe_key")

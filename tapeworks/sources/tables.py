@@ -84,7 +84,20 @@ def _doc_ticker(doc_id: Column) -> Column:
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles: (ticker, published_at UTC, title, body, source, url)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return news_from_documents(table(spark, sf_dir, "documents"))
+
+
+def news_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same articles as a file stream over the documents table."""
+    path = os.path.join(sf_dir, "documents.parquet")
+    schema = spark.read.parquet(path).schema
+    # a file stream watches a directory: read the table file through a glob
+    stream = spark.readStream.schema(schema).option("basePath", sf_dir).parquet(os.path.join(sf_dir, "documents*.parquet"))
+    return news_from_documents(stream)
+
+
+def news_from_documents(docs: DataFrame) -> DataFrame:
+    d = docs.select("doc_id", "text", "source")
     day = ((F.col("doc_id") * 7919) % 2400).cast("int")
     sec = ((F.col("doc_id") * 104729) % 86400).cast("int")
     base = F.lit("1995-01-02 00:00:00").cast("timestamp")
