@@ -612,3 +612,4 @@ from c"""
 
 # ------------------------------------------------------------- streaming
 ORACLES["str_m2_daily_events_stream"] = ORACLES["agg_1_daily_events"]
+ORACLES["ds_4_hybrid_daily_events"] = ORACLES["agg_1_daily_events"]

@@ -539,3 +539,36 @@ def str_m1(spark, sf_dir):
 
     out = run_dedupe(spark, tb.news_stream(spark, sf_dir), days_back=36500)
     return out.select("doc_id", "ticker", "published_at", "dedupe_key")
+
+
+# ------------------------------------------------------- model responses
+def responses(spark, sf_dir):
+    """Model responses keyed by article: the rule payload as fenced JSON; every
+    tenth article's response is damaged (opening brace lost, or no JSON)."""
+    n = tb.news(spark, sf_dir)
+    p = F.to_json(ne.heuristic_payload(ne.article_text(F.col("title"), F.col("body"))))
+    fenced = F.concat(F.lit("```json\n"), p, F.lit("\n```"))
+    text = (F.when(F.col("doc_id") % 20 == 0, F.substring(p, 2, 100000))
+            .when(F.col("doc_id") % 20 == 10, F.lit("I could not extract features."))
+            .otherwise(fenced))
+    return n.withColumn("dedupe_key", F.col("doc_id").cast("string")).withColumn("response", text)
+
+
+@register("json_1_first_json_object")
+def json_1(spark, sf_dir):
+    from ..functions.payloads import extract_first_json
+
+    r = responses(spark, sf_dir).select("doc_id", "response")
+    return extract_first_json(r, "response", prefix="{").select("doc_id", "payload_json", "parse_error")
+
+
+@register("ds_4_hybrid_daily_events")
+def ds_4_hybrid(spark, sf_dir):
+    """DS-4 hybrid mode: parsed model payloads, rule fallback per article."""
+    from ..functions.payloads import extract_first_json
+
+    r = responses(spark, sf_dir)
+    parsed = extract_first_json(r.select("dedupe_key", "response"), "response", prefix="{")
+    payloads = parsed.select("dedupe_key", F.from_json("payload_json", ne.heur_type()).alias("payload"))
+    events = ne.article_events(r.drop("response"), payloads, mode="hybrid")
+    return ne.daily_events(events)
