@@ -613,3 +613,9 @@ from c"""
 # ------------------------------------------------------------- streaming
 ORACLES["str_m2_daily_events_stream"] = ORACLES["agg_1_daily_events"]
 ORACLES["ds_4_hybrid_daily_events"] = ORACLES["agg_1_daily_events"]
+ORACLES["snk_10_failed_tickers"] = f"""with {OHLCV_CTE}
+select distinct upper(p_brand) as ticker from part where upper(p_brand) not in (select ticker from ohlcv)"""
+ORACLES["src_5_universe"] = """select distinct upper(p_brand) as ticker,
+  'cat' || cast(cast(regexp_extract(p_brand, '#(\\d+)$', 1) as integer) % 4 as varchar) as category,
+  cast(cast(regexp_extract(p_brand, '#(\\d+)$', 1) as integer) in (1, 2) as integer) as is_benchmark
+from part"""

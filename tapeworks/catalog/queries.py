@@ -572,3 +572,16 @@ def ds_4_hybrid(spark, sf_dir):
     payloads = parsed.select("dedupe_key", F.from_json("payload_json", ne.heur_type()).alias("payload"))
     events = ne.article_events(r.drop("response"), payloads, mode="hybrid")
     return ne.daily_events(events)
+
+
+@register("snk_10_failed_tickers")
+def snk_10(spark, sf_dir):
+    """Universe brands without any bar (empty when every brand traded)."""
+    from ..sinks.writers import failed_tickers
+
+    return failed_tickers(tb.universe(spark, sf_dir), tb.ohlcv(spark, sf_dir))
+
+
+@register("src_5_universe")
+def src_5(spark, sf_dir):
+    return tb.universe(spark, sf_dir)
