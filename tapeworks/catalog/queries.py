@@ -514,10 +514,12 @@ def ingest_runs(spark, sf_dir):
     return new1, sum1, new2, sum2
 
 
+@register("ds_16_ingest_new_rows")
 def ds_16_rows(spark, sf_dir):
     return ingest_runs(spark, sf_dir)[0]
 
 
+@register("ds_16_ingest_summary")
 def ds_16_summary(spark, sf_dir):
     _, s1, _, s2 = ingest_runs(spark, sf_dir)
     return s1.withColumn("run", F.lit(1)).unionByName(s2.withColumn("run", F.lit(2)))

@@ -197,7 +197,13 @@ ITEM_KEYS = ["title", "headline", "url", "link", "source", "domain", "published_
 
 
 def parse_search(raw: DataFrame, as_of: Column) -> DataFrame:
-    """SRC-8/9: search-API payloads -> article rows (empty title/link/time dropped later)."""
+    """SRC-8/9: search-API payloads -> article rows (empty title/link/time dropped later).
+
+    The per-item projections are wide expressions over one VARIANT; Catalyst's
+    constraint inference grows exponentially on them once a filter sits on
+    top, so it is switched off for the session (it only infers extra
+    IS NOT NULL filters)."""
+    raw.sparkSession.conf.set("spark.sql.constraintPropagation.enabled", "false")
     items = with_search_items(raw.select("payload_id", "ticker", "payload"), F.col("payload"), "_items")
     items = items.select("payload_id", "ticker", F.posexplode("_items").alias("position", "it"))
     flat = items.select("payload_id", "ticker", "position", *[_vstr(F.col("it"), k).alias(f"_{k}") for k in ITEM_KEYS])
