@@ -180,17 +180,16 @@ def model_frame(spark, sf_dir):
 
 
 def scored_panel(spark, sf_dir, models=MODELS):
-    from functools import reduce
-
+    """Every model scores the same prepared panel in one pass: the per-model
+    predictions are exploded from an array, so the feature plan runs once."""
     frame = model_frame(spark, sf_dir).withColumn("split", ev.split_column(F.col("date"), DRIVER_SPLIT))
-    parts = [
-        frame.select(
-            F.lit(name).alias("model_name"), F.lit(ver).alias("model_version"), "*",
-            ev.linear_score(coefs).alias("prediction"),
-        )
+    per_model = F.array(*[
+        F.struct(F.lit(name).alias("model_name"), F.lit(ver).alias("model_version"),
+                 ev.linear_score(coefs).alias("prediction"))
         for name, ver, coefs in models
-    ]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    ])
+    out = frame.select("*", F.explode(per_model).alias("_m"))
+    return out.select("_m.model_name", "_m.model_version", *frame.columns, "_m.prediction")
 
 
 @register("prj_3_model_frame")
