@@ -586,3 +586,17 @@ def snk_10(spark, sf_dir):
 @register("src_5_universe")
 def src_5(spark, sf_dir):
     return tb.universe(spark, sf_dir)
+
+
+@register("ml_1_gbt_test_predictions")
+def ml_1(spark, sf_dir):
+    """ML-1: gradient-boosted regressor fit on train (+ validation for early
+    stopping, recency-weighted), scored on the untouched test split."""
+    from ..plans.models import score, train_regressor
+    from ..schemas import PRICE_FEATURE_COLUMNS
+
+    feats = features_panel(spark, sf_dir)
+    model = train_regressor(feats, PRICE_FEATURE_COLUMNS, split_bounds=DRIVER_SPLIT, max_iter=10, max_depth=4)
+    test = ev.prepare_model_frame(feats, PRICE_FEATURE_COLUMNS, "future_ret_5d").filter(
+        ev.split_column(F.col("date"), DRIVER_SPLIT) == "test")
+    return score(model, test, PRICE_FEATURE_COLUMNS).select("ticker", "date", "future_ret_5d", "prediction")
