@@ -619,3 +619,4 @@ ORACLES["src_5_universe"] = """select distinct upper(p_brand) as ticker,
   'cat' || cast(cast(regexp_extract(p_brand, '#(\\d+)$', 1) as integer) % 4 as varchar) as category,
   cast(cast(regexp_extract(p_brand, '#(\\d+)$', 1) as integer) in (1, 2) as integer) as is_benchmark
 from part"""
+ORACLES["str_m3_outcome_stream"] = ORACLES["ds_11_outcomes"]

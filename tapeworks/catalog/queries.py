@@ -600,3 +600,19 @@ def ml_1(spark, sf_dir):
     test = ev.prepare_model_frame(feats, PRICE_FEATURE_COLUMNS, "future_ret_5d").filter(
         ev.split_column(F.col("date"), DRIVER_SPLIT) == "test")
     return score(model, test, PRICE_FEATURE_COLUMNS).select("ticker", "date", "future_ret_5d", "prediction")
+
+
+@register("str_m3_outcome_stream")
+def str_m3(spark, sf_dir):
+    """DS-11 driven by a stream of trade files: each micro-batch's trades become
+    bars and score the matured predictions not scored before (drained with
+    availableNow). Assumes a day's trades land in one micro-batch."""
+    from ..streaming.jobs import run_outcome_scoring
+
+    part = tb.table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    preds = tb.predictions(spark, sf_dir)
+    out = run_outcome_scoring(
+        spark, tb.lineitem_stream(spark, sf_dir), preds, F.lit(AS_OF).cast("date"),
+        F.lit(AS_OF + " 00:00:00").cast("timestamp"), bars_fn=lambda batch: tb.bars_from_lineitem(batch, part),
+    )
+    return out

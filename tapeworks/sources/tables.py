@@ -66,6 +66,18 @@ def ohlcv(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate"
     ))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    return bars_from_lineitem(li, part)
+
+
+def lineitem_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lineitem table as a file stream (trades landing as files)."""
+    path = os.path.join(sf_dir, "lineitem.parquet")
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("basePath", sf_dir).parquet(os.path.join(sf_dir, "lineitem*.parquet"))
+
+
+def bars_from_lineitem(li: DataFrame, part: DataFrame) -> DataFrame:
+    """Daily bars from trade lines (see :func:`ohlcv`)."""
     k = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     return (
         li.join(part, li.l_partkey == part.p_partkey)

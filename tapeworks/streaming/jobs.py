@@ -85,23 +85,30 @@ def run_dedupe(spark: SparkSession, news_stream: DataFrame, days_back: int = 7)
     return spark.read.parquet(out)
 
 
-def run_outcome_scoring(spark: SparkSession, bars_stream: DataFrame, predictions: DataFrame, as_of, scored_at) -> DataFrame:
+def run_outcome_scoring(spark: SparkSession, bars_stream: DataFrame, predictions: DataFrame, as_of, scored_at,
+                        bars_fn=None) -> DataFrame:
     """STR-M3: on every micro-batch of new bars, score the matured predictions
     that are not scored yet (DS-11) and append the outcomes."""
     from ..plans.outcomes import score_outcomes
 
     out, ckpt = _paths(spark, "outcomes")
-    state = {"seen": None}
+
+    def stored() -> DataFrame | None:
+        # read what earlier batches (or an earlier run of this query) appended, so a
+        # restarted job never scores a prediction twice
+        try:
+            return spark.read.parquet(out)
+        except Exception:  # noqa: BLE001 - no outcomes written yet
+            return None
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        prev = spark.read.parquet(out) if state["seen"] else None
+        bars = bars_fn(batch) if bars_fn is not None else batch
         # bars arrive in date order: a prediction is scored by the first batch that
         # holds a bar at or after its target date, and never again (anti-join)
-        new = score_outcomes(predictions, batch, as_of, scored_at, outcomes=prev)
+        new = score_outcomes(predictions, bars, as_of, scored_at, outcomes=stored())
         new.write.mode("append").parquet(out)
-        state["seen"] = True
 
     q = (bars_stream.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out) if state["seen"] else None
+    return stored()
