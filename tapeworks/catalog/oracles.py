@@ -620,3 +620,9 @@ ORACLES["src_5_universe"] = """select distinct upper(p_brand) as ticker,
   cast(cast(regexp_extract(p_brand, '#(\\d+)$', 1) as integer) in (1, 2) as integer) as is_benchmark
 from part"""
 ORACLES["str_m3_outcome_stream"] = ORACLES["ds_11_outcomes"]
+ORACLES["join_10_category_lookup"] = present_sql(
+    f"""with {OHLCV_CTE}, u as ({ORACLES['src_5_universe']})
+    select o.ticker, o.date, o.close, coalesce(u.category, 'unknown') as category
+    from ohlcv o left join u on o.ticker = u.ticker""",
+    ["ticker", "date", "category"],
+)

@@ -616,3 +616,15 @@ def str_m3(spark, sf_dir):
         F.lit(AS_OF + " 00:00:00").cast("timestamp"), bars_fn=lambda batch: tb.bars_from_lineitem(batch, part),
     )
     return out
+
+
+@register("join_10_category_lookup")
+def join_10(spark, sf_dir):
+    """Bars with their universe category ('unknown' when the ticker is not listed)."""
+    uni = tb.universe(spark, sf_dir)
+    bars = tb.ohlcv(spark, sf_dir).select("ticker", "date", "close")
+    from ..operators.broadcast import checked_broadcast
+
+    # one row per ticker: broadcast only if the universe is within the checked bound
+    out = bars.join(checked_broadcast(uni.select("ticker", "category"), 1_000_000), "ticker", "left")
+    return out.withColumn("category", F.coalesce("category", F.lit("unknown")))

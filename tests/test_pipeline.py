@@ -81,3 +81,15 @@ def test_backtest_sign_kept(spark):
 def test_prediction_known_answer(spark):
     # baseline .02 + 30 bps -> .023 (the reference's prediction contract)
     assert 0.02 + 30 / 10000.0 == pytest.approx(0.023)
+
+
+def test_landing_readers(spark, tmp_path):
+    from tapeworks.sources.landing import load_optional_parquet, normalise_vendor_prices
+
+    empty = load_optional_parquet(spark, str(tmp_path / "missing.parquet"), ["a", "b"])
+    assert empty.count() == 0 and empty.columns == ["ticker", "date", "a", "b"]
+    raw = spark.createDataFrame([("2024-01-02", 10.0, 11.0, 9.0, 10.0, 5.0, 100.0), ("2024-01-03", None, 1.0, 1.0, 1.0, 1.0, 1.0)],
+                                "Date string, Open double, High double, Low double, Close double, `Adj Close` double, Volume double")
+    out = normalise_vendor_prices(raw, "aapl").collect()
+    assert len(out) == 1 and out[0].ticker == "AAPL" and out[0].close == 5.0 and out[0].open == 5.0
+    assert out[0].volume == 100.0 and out[0].category == "unknown"
