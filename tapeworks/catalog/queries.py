@@ -36,9 +36,15 @@ def present(df: DataFrame, digits: int = PRESENT_DIGITS) -> DataFrame:
     )
 
 
+def _run(fn, spark, sf_dir):
+    # article days and timestamps are defined in UTC (as in the reference)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return present(fn(spark, sf_dir))
+
+
 def register(name: str):
     def deco(fn):
-        QUERIES[name] = lambda spark, sf_dir: present(fn(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: _run(fn, spark, sf_dir)
         QUERIES[name].__doc__ = fn.__doc__
         return fn
 
