@@ -79,3 +79,26 @@ def load_bundle(path: str) -> tuple[PipelineModel, dict]:
     spark = SparkSession.builder.getOrCreate()
     meta = json.loads(spark.read.text(f"{path}/metadata").first()[0])
     return PipelineModel.load(f"{path}/model"), meta
+
+
+def retrain_candidate(
+    bars: DataFrame,
+    news: DataFrame,
+    roles: dict,
+    feature_columns: Sequence[str],
+    split_bounds: Sequence[str] = ("2025-07-01", "2025-12-31", "2026-01-01"),
+    max_iter: int = 50,
+) -> tuple[PipelineModel, DataFrame]:
+    """ML-4: features (DS-1) -> prior forecasts (ML-3) -> daily news events
+    (DS-4, AGG-1, JOIN-3) -> training frame (JOIN-2) -> fitted regressor (ML-1).
+    Returns the model and the training frame it was fitted on (lazy)."""
+    from .features import build_features
+    from .forecast import drift_forecast
+    from .news_events import article_events, daily_events, dense_news_features
+    from .trainsets import training_frame
+
+    feats = build_features(bars, roles)
+    priors = drift_forecast(bars)
+    dense = dense_news_features(bars.select("ticker", "date"), daily_events(article_events(news)))
+    frame = training_frame(feats, priors, dense)
+    return train_regressor(frame, feature_columns, split_bounds=split_bounds, max_iter=max_iter), frame
