@@ -29,7 +29,7 @@ def local_session(app: str = "tapeworks", cores: str | int = "*", shuffle_partit
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("TAPEWORKS_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("TAPEWORKS_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for key, value in REQUIRED_CONF.items():
@@ -41,14 +41,25 @@ def local_session(app: str = "tapeworks", cores: str | int = "*", shuffle_partit
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint directory; set a scratch one only if unset.
+    """Return the folder for checkpoints and written intermediate tables.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is kept
-    as is. Only local runs (tests) get a fresh temporary folder.
+    A cluster names a shared folder in ``spark.checkpoint.dir`` or has called
+    ``SparkContext.setCheckpointDir``; either is kept as it is. Only a session
+    in local mode without one (tests, the bench) gets a scratch folder; a
+    cluster session without one is an error, because executors do not see the
+    driver's temporary folder.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="tapeworks-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
-    return current
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir()
+    if named:
+        if not current:
+            sc.setCheckpointDir(named)
+        return named
+    if current:
+        return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    scratch = tempfile.mkdtemp(prefix="tapeworks-ckpt-")
+    sc.setCheckpointDir(scratch)
+    return scratch
