@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, pieces, quality, token_files, warc
+from . import exact_dedup, langid, line_dedup, minhash, mixing, pieces, quality, token_files, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,18 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_table(table(spark, sf_dir, "documents"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -49,11 +61,13 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_exact_dedup, op8_language_id, op9_warc, op10_token_files)
+    f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_exact_dedup, op4_line_dedup, op5_mixing, op6_minhash, op8_language_id, op9_warc, op10_token_files)
 }
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op4_line_dedup": line_dedup.ORACLE,
+    "op5_mixing": mixing.ORACLE,
     "op9_warc": warc.ORACLE,
 }
