@@ -15,7 +15,8 @@ set and is linked with nothing; texts with fewer words than a shingle have one
 shingle of all their words; rows that share an id share their component's
 verdict row by row; a null id is no component's smallest id (a component of
 null ids has a null id and keeps its rows); an empty table gives an empty
-result. Other columns are not read.
+result. Columns named ``_n_id`` and ``_n_key`` are refused by ``one_of_each``;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import bitmaps, hashing
 from .chunks import slices
-from .common import stored
+from .common import NOT_BLANK, stored
 from .components import components
 
 
@@ -101,7 +102,7 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, s: Near) -> np.ndarray:
 
 
 def _sketch(docs: DataFrame, s: Near) -> DataFrame:
-    """(id, n_shingles, node, signature); the node is a 64-bit hash of the whole set, null without one."""
+    """(id, text_key, n_shingles, node, signature); the node is a 64-bit hash of the whole set, null without one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,10 +114,10 @@ def _sketch(docs: DataFrame, s: Near) -> DataFrame:
                     node[some] = hashing.mix(np.add.reduceat(hashing.mix(flat + np.uint64(77)), (np.cumsum(sizes) - sizes)[some]) + sizes[some].astype(np.uint64))
                     sig[some] = [row.tobytes() for row in signatures(flat, sizes, s)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(node.view(np.int64), mask=~some), pa.array(sig, pa.binary())], ["id", "n_shingles", "node", "sig"]
+                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(sizes), pa.array(node.view(np.int64), mask=~some), pa.array(sig, pa.binary())], ["id", "text_key", "n_shingles", "node", "sig"]
                 )
 
-    return docs.mapInArrow(run, "id long, n_shingles long, node long, sig binary")
+    return docs.withColumn("key", F.xxhash64("text")).mapInArrow(run, "id long, text_key long, n_shingles long, node long, sig binary")
 
 
 def _bands(nodes: DataFrame, s: Near) -> DataFrame:
@@ -184,9 +185,8 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, s: Near) -> Data
     return stored(joined.select("u", "v"), "links")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: Near = Near()) -> DataFrame:
-    """One row per document: id, n_shingles, component_id, kept."""
-    s = near
+def members(docs: DataFrame, id_col: str, text_col: str, s: Near) -> DataFrame:
+    """One row per document: (id, text_key, n_shingles, c); c names the component, null without words."""
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = stored(_sketch(slim, s), "sketch")
     worded = sketch.filter("node is not null")
@@ -212,8 +212,26 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more = stored(across.join(stars, ["u", "v"], "left_anti"), "across")
     if not more.isEmpty():
         labels = components(links.unionByName(_links(more, nodes, slim, s)))
-    member = sketch.select("id", "n_shingles", "node").filter("node is not null").join(labels, "node", "left").select("id", "n_shingles", label.alias("c"))
-    member = stored(member, "members")
-    least = stored(member.groupBy("c").agg(F.min("id").alias("component_id")), "least-ids")
-    found = member.join(least, "c").select("id", "n_shingles", "component_id").unionByName(sketch.filter("node is null").select("id", "n_shingles", F.col("id").alias("component_id")))
-    return found.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    named = worded.select("id", "text_key", "n_shingles", "node").join(labels, "node", "left").select("id", "text_key", "n_shingles", label.alias("c"))
+    return stored(named.unionByName(sketch.filter("node is null").select("id", "text_key", "n_shingles", F.lit(None).cast("long").alias("c"))), "members")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: Near = Near()) -> DataFrame:
+    """One row per document: id, n_shingles, component_id, kept."""
+    found = members(docs, id_col, text_col, near)
+    linked = found.filter("c is not null")
+    least = stored(linked.groupBy("c").agg(F.min("id").alias("component_id")), "least-ids")
+    rows = linked.join(least, "c").select("id", "n_shingles", "component_id").unionByName(found.filter("c is null").select("id", "n_shingles", F.col("id").alias("component_id")))
+    return rows.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: Near = Near()) -> DataFrame:
+    """The input's columns, one row of each component: that with the smallest id (and, of equal
+    ids, the smallest text hash; of equal rows any one). Rows without words all stay."""
+    found = members(docs, id_col, text_col, near).filter("c is not null")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key")).alias("first")
+    keep = stored(found.groupBy("c").agg(first).select(F.col("first.id").alias("_n_id"), F.col("first.text_key").alias("_n_key")), "kept-ids")
+    worded = F.coalesce(F.col(text_col).rlike(NOT_BLANK), F.lit(False))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_n_id")) & (F.xxhash64(text_col) == F.col("_n_key"))
+    kept = docs.filter(worded).join(keep, same).dropDuplicates(["_n_id", "_n_key"]).select(*docs.columns)
+    return kept.unionByName(docs.filter(~worded))

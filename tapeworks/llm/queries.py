@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, line_dedup, minhash, mixing, pieces, quality, token_files, warc
+from . import exact_dedup, langid, line_dedup, minhash, mixing, pieces, quality, suffix_dedup, token_files, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.cut_table(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -61,7 +65,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_exact_dedup, op4_line_dedup, op5_mixing, op6_minhash, op8_language_id, op9_warc, op10_token_files)
+    f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_exact_dedup, op4_line_dedup, op5_mixing, op6_minhash, op7_suffix_array, op8_language_id, op9_warc, op10_token_files)
 }
 
 ORACLES: dict[str, str] = {
