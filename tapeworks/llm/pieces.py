@@ -33,6 +33,9 @@ from . import chunks
 
 MARKER = "▁"
 LONG_WORD = 192
+#: Words that a worker keeps the ids of, and text it segments at once: a few 100 MB in all.
+CACHED_WORDS = 300_000
+SLICE_BYTES = 3 << 20
 UNKNOWN_COST = 10.0
 ROOT = 1
 
@@ -115,16 +118,16 @@ def load(path: str) -> Vocabulary:
 
 
 class Unigram:
-    def __init__(self, vocabulary: Vocabulary, cached_words: int = 400_000):
+    def __init__(self, vocabulary: Vocabulary, cached_words: int = CACHED_WORDS):
         self.v = vocabulary
         known = self.v.value[self.v.value >= 0]
         self.unknown_score = float(self.v.scores[known].min()) - UNKNOWN_COST if len(known) else -UNKNOWN_COST
+        self.has_bytes = bool((vocabulary.byte_ids >= 0).all())
         self.memo = chunks.Memo(self.encode_words, cached_words)
 
     def _fallback(self, data: np.ndarray, at: int, size: int) -> list[int]:
         """Ids, in order, of a character that no piece covers."""
-        own = self.v.byte_ids[data[at : at + size]]
-        return own.tolist() if (own >= 0).all() else [self.v.unknown]
+        return self.v.byte_ids[data[at : at + size]].tolist() if self.has_bytes else [self.v.unknown]
 
     def one(self, word: bytes) -> tuple[list[int], float]:
         """Viterbi over one word, place by place: the plain form, used for very long words."""
@@ -167,10 +170,11 @@ class Unigram:
         v = self.v
         raw = [w.replace(" ", MARKER).encode() for w in words]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-        ids: list = [None] * len(raw)
-        score = np.zeros(len(raw))
-        for i in np.flatnonzero(sizes > LONG_WORD):
-            ids[i], score[i] = self.one(raw[i])
+        score, counts = np.zeros(len(raw)), np.zeros(len(raw), np.int64)
+        long: dict[int, list[int]] = {}
+        for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+            long[i], score[i] = self.one(raw[i])
+            counts[i] = len(long[i])
         order = np.flatnonzero(sizes <= LONG_WORD)
         order = order[np.argsort(-sizes[order], kind="stable")]
         if len(order):
@@ -218,20 +222,23 @@ class Unigram:
                 word = word[at[word] > 0]
             of = np.concatenate([s[0] for s in steps])
             which, start, end = (np.concatenate([s[k] for s in steps]) for k in (1, 2, 3))
-            rank = np.lexsort((start, of))
+            rank = np.argsort(of * (LONG_WORD + 1) + start)
             of, which, start, end = of[rank], which[rank], start[rank], end[rank]
-            first = np.append(np.searchsorted(of, np.arange(len(order))), len(of))
-            lost = np.flatnonzero(which < 0)
-            flat = which.tolist()
-            for k in lost:
-                flat[k] = self._fallback(data, int(off[of[k]] + start[k]), int(end[k] - start[k]))
-            odd = np.zeros(len(order), bool)
-            odd[of[lost]] = True
-            for k, i in enumerate(order):
-                own = flat[first[k] : first[k + 1]]
-                ids[i] = own if not odd[k] else [x for y in own for x in (y if isinstance(y, list) else [y])]
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((x for own in ids for x in own), np.uint32, int(counts.sum())), counts, score
+            lost = which < 0
+            n = np.where(lost & self.has_bytes, end - start, 1)
+            which = np.repeat(np.where(lost, self.v.unknown, which), n)
+            if self.has_bytes and lost.any():
+                which[np.repeat(lost, n)] = self.v.byte_ids[data[chunks.ranges(off[of[lost]] + start[lost], n[lost])]]
+            own = np.bincount(of, weights=n, minlength=len(order)).astype(np.int64)
+            counts[order] = own
+            begin = np.zeros(len(raw), np.int64)
+            begin[order] = np.cumsum(own) - own
+        else:
+            which, begin = np.zeros(0, np.int64), np.zeros(len(raw), np.int64)
+        for i, own_ids in long.items():
+            begin[i] = len(which)
+            which = np.append(which, own_ids)
+        return which[chunks.ranges(begin, counts)].astype(np.uint32), counts, score
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts, ids of each text, score of each text.
@@ -290,7 +297,23 @@ def _extended(df: DataFrame, added: list[tuple[str, T.DataType]]) -> T.StructTyp
     return T.StructType([*df.schema.fields, *(T.StructField(n, k) for n, k in added)])
 
 
-def encode(docs: DataFrame, model: str, text_col: str = "text", cached_words: int = 400_000) -> DataFrame:
+def _spare(v: Vocabulary) -> np.ndarray:
+    """Which ids are byte pieces or the unknown one."""
+    out = np.zeros(len(v.pieces) + 1, bool)
+    out[v.byte_ids[v.byte_ids >= 0]] = out[v.unknown] = True
+    return out
+
+
+def _encoded(unigram: Unigram, texts: pa.Array, spare: np.ndarray) -> tuple[list[pa.Array], np.ndarray, np.ndarray]:
+    """The four columns that encoding adds, all ids, and where each text's begin."""
+    ids, sizes, score = unigram.encode(texts)
+    offsets = np.append(0, np.cumsum(sizes))
+    lost = np.diff(np.append(0, np.cumsum(spare[ids]))[offsets])
+    lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
+    return [lists, pa.array(sizes), pa.array(lost), pa.array(score)], ids, offsets
+
+
+def encode(docs: DataFrame, model: str, text_col: str = "text", cached_words: int = CACHED_WORDS) -> DataFrame:
     """Add piece_ids, n_pieces, n_fallback (byte and unknown ids) and piece_score.
 
     The trie is built once on the driver and sent to the workers; its size is
@@ -299,20 +322,15 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", cached_words: in
     v = load(model)
     sent = docs.sparkSession.sparkContext.broadcast(v)
     schema = _extended(docs, [("piece_ids", T.ArrayType(T.IntegerType())), ("n_pieces", T.LongType()), ("n_fallback", T.LongType()), ("piece_score", T.DoubleType())])
-    spare = np.zeros(len(v.pieces) + 1, bool)
-    spare[v.byte_ids[v.byte_ids >= 0]] = spare[v.unknown] = True
+    spare = _spare(v)
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unigram = _worker(model, sent, cached_words)
         for batch in batches:
-            for a, b in chunks.slices(batch.column(place)):
+            for a, b in chunks.slices(batch.column(place), SLICE_BYTES):
                 part = batch.slice(a, b - a)
-                ids, sizes, score = unigram.encode(part.column(place))
-                offsets = np.append(0, np.cumsum(sizes))
-                lost = np.diff(np.append(0, np.cumsum(spare[ids]))[offsets])
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(sizes), pa.array(lost), pa.array(score)], [*part.schema.names, "piece_ids", "n_pieces", "n_fallback", "piece_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *_encoded(unigram, part.column(place), spare)[0]], schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -332,9 +350,26 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "piece_ids") -> DataFr
     return encoded.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, model: str, id_cols: list[str], text_col: str = "text") -> DataFrame:
-    """Encode, decode, and say whether the text came back (null and empty: true)."""
+def round_trip(docs: DataFrame, model: str, id_cols: list[str], text_col: str = "text", cached_words: int = CACHED_WORDS) -> DataFrame:
+    """Encode, decode, and say whether the text came back (null and empty: true).
+
+    Both in one pass, so that a task holds one worker and texts do not travel twice.
+    """
+    v = load(model)
+    sent = docs.sparkSession.sparkContext.broadcast(v)
     slim = docs.select(*id_cols, F.col(text_col).alias("text"))
-    back = decode(encode(slim, model), model)
-    same = F.col("decoded_text") == F.coalesce(F.translate("text", MARKER, " "), F.lit(""))
-    return back.select(*id_cols, "piece_ids", "n_pieces", "n_fallback", "piece_score", same.alias("round_trip"))
+    added = [("piece_ids", T.ArrayType(T.IntegerType())), ("n_pieces", T.LongType()), ("n_fallback", T.LongType()), ("piece_score", T.DoubleType()), ("round_trip", T.BooleanType())]
+    schema = _extended(slim.drop("text"), added)
+    spare = _spare(v)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unigram = _worker(model, sent, cached_words)
+        for batch in batches:
+            for a, b in chunks.slices(batch.column(len(id_cols)), SLICE_BYTES):
+                part = batch.slice(a, b - a)
+                columns, ids, offsets = _encoded(unigram, part.column(len(id_cols)), spare)
+                texts = part.column(len(id_cols))
+                back = (unigram.decode(ids[x:y].tolist()) == (texts[k].as_py() or "").replace(MARKER, " ") for k, (x, y) in enumerate(zip(offsets[:-1], offsets[1:])))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(id_cols)], *columns, pa.array(back, pa.bool_())], schema.names)
+
+    return slim.mapInArrow(run, schema)
