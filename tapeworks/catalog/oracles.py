@@ -426,7 +426,8 @@ ORACLES["ds_9_predictions"] = present_sql(
       from d
     )
     select ticker, error, case when error is null then columns(lambda c: c not in ('ticker', 'error')) end
-    from out""",
+    from (select * from out where ticker not in ('BRAND#1', 'BRAND#2')
+          union all by name select 'BRAND#99' as ticker, 'No features found for ticker BRAND#99' as error)""",
     ["prediction_id", "ticker", "as_of_date", "target_horizon", "target_date", "adjustment_bps", "confidence",
      "main_drivers", "risk_flags", "reasoning", "error"],
 )
@@ -570,7 +571,6 @@ fr as (
     {', '.join(f'coalesce(f.{c}, 0.0::double) as {c}' for c in ['ret_1d', 'ret_5d', 'volatility_20d', 'future_ret_1d', 'future_ret_5d'])},
     {', '.join(f'coalesce(n.{c}, 0.0::double) as {c}' for c in NEWS_FEATURE_COLUMNS)}
   from features f left join nf n on f.ticker = n.ticker and f.date = n.date
-  order by f.ticker desc, f.date desc limit 4000
 ),
 src as (
   select upper(ticker) as ticker, cast(strftime(published_at, '%Y-%m-%d') as date) as date,
@@ -612,7 +612,26 @@ from c"""
 
 # ------------------------------------------------------------- streaming
 ORACLES["str_m2_daily_events_stream"] = ORACLES["agg_1_daily_events"]
-ORACLES["ds_4_hybrid_daily_events"] = ORACLES["agg_1_daily_events"]
+_MODEL = heuristic_events_sql().replace(
+    "1.0::double as company_specific_score,", "case when hybrid and doc_id % 3 = 0 then 0.0::double else 1.0::double end as company_specific_score,"
+).replace("0.0::double as macro_relevance_score,", "case when hybrid and doc_id % 3 = 0 then 1.0::double else 0.0::double end as macro_relevance_score,").replace(
+    "0.35::double * 0.5::double", "case when hybrid then 0.8::double else 0.35::double end * 0.5::double"
+).replace("0.35::double as event_confidence_score", "case when hybrid then 0.8::double else 0.35::double end as event_confidence_score").replace(
+    "from payloads\n", "from (select *, doc_id % 20 <> 10 as hybrid from payloads)\n"
+)
+ORACLES["ds_4_hybrid_daily_events"] = ORACLES["agg_1_daily_events"].replace(heuristic_events_sql(), _MODEL)
+ORACLES["json_1_first_json_object"] = present_sql(
+    f"""{_EV} select doc_id, case when doc_id % 20 = 10 then 'no JSON object' end as parse_error,
+      columns(lambda c: c not in ('doc_id', 'ok')), from (
+      select doc_id, doc_id % 20 <> 10 as ok,
+        case when ok then case when raw_score > 0.15::double then 'positive' when raw_score < -0.15::double then 'negative' else 'neutral' end end as sentiment,
+        case when ok then round(raw_score, 4) end as sentiment_score, case when ok then catalyst_type end as catalyst_type,
+        case when ok then doc_id % 3 <> 0 end as company_specific, case when ok then array_to_string(risk_flags, ',') end as risk_flags,
+        case when ok then likely_horizon end as likely_horizon, case when ok then 0.8::double end as confidence
+      from payloads)""",
+    ["doc_id", "parse_error", "sentiment", "catalyst_type", "company_specific", "risk_flags", "likely_horizon"],
+)
+ORACLES["str_m1_dedupe_stream"] = f"with {NEWS_CTE} select doc_id, upper(ticker) as ticker, published_at from news"
 ORACLES["snk_10_failed_tickers"] = f"""with {OHLCV_CTE}
 select distinct upper(p_brand) as ticker from part where upper(p_brand) not in (select ticker from ohlcv)"""
 ORACLES["src_5_universe"] = """select distinct upper(p_brand) as ticker,

@@ -351,7 +351,9 @@ def ds_9(spark, sf_dir):
     from ..plans.predict import predict_all
 
     feats = features_panel(spark, sf_dir)
-    out = predict_all(feats, dense_news(spark, sf_dir), priors(spark, sf_dir), ev.linear_score(MODEL_A))
+    # the serving universe: what is no benchmark, and a listed ticker that never traded
+    tickers = tb.universe(spark, sf_dir).filter("is_benchmark = 0").select("ticker").union(spark.sql("select 'BRAND#99'"))
+    out = predict_all(feats, dense_news(spark, sf_dir), priors(spark, sf_dir), ev.linear_score(MODEL_A), tickers=tickers)
     return out.select(
         *[c for c in out.columns if c not in ("main_drivers", "risk_flags")],
         F.array_join("main_drivers", ";").alias("main_drivers"),
@@ -419,12 +421,12 @@ def join_11(spark, sf_dir):
 
 @register("ds_7_planner_set")
 def ds_7(spark, sf_dir):
-    from ..plans.trainsets import planner_rows, source_sets, tail_rows, training_frame
+    from ..plans.trainsets import planner_rows, source_sets, training_frame
 
     frame = training_frame(features_panel(spark, sf_dir), None, dense_news(spark, sf_dir))
     frame = frame.select(*[F.coalesce(F.col(f.name), F.lit(0.0)).alias(f.name) if f.dataType.typeName() == "double"
                            else F.col(f.name) for f in frame.schema.fields])
-    out = planner_rows(tail_rows(frame, 4000), source_sets(tb.news(spark, sf_dir)))
+    out = planner_rows(frame, source_sets(tb.news(spark, sf_dir)))
     return _arr(out, ["triggers", "suggested_sources"])
 
 
@@ -437,12 +439,11 @@ def top_2(spark, sf_dir):
 
 @register("ds_8_adjuster_set")
 def ds_8(spark, sf_dir):
-    from ..plans.trainsets import adjuster_rows, recent_news_by_day, tail_rows
+    from ..plans.trainsets import adjuster_rows, recent_news_by_day
     from ..schemas import merged_feature_columns
 
     frame = ev.prepare_model_frame(merged_frame(spark, sf_dir), merged_feature_columns(), "future_ret_5d")
-    sample = tail_rows(frame, 4000)
-    out = adjuster_rows(sample, ev.linear_score(MODEL_A), recent_news_by_day(tb.news(spark, sf_dir)))
+    out = adjuster_rows(frame, ev.linear_score(MODEL_A), recent_news_by_day(tb.news(spark, sf_dir)))
     return _arr(out, ["cited_signals", "risk_flags"])
 
 
@@ -509,13 +510,13 @@ def ingest_runs(spark, sf_dir):
     """Run 1 ingests the search feed into an empty log; run 2 ingests the RSS feed
     against run 1's keys (same articles -> duplicates)."""
     from ..plans.ingest import ingest
-    from ..sources.feeds import parse_rss, parse_search
+    from ..sources.feeds import parse_rss, parse_search, rss_errors, search_errors
 
     cutoff = F.timestamp_add("DAY", F.lit(-INGEST_DAYS_BACK), _as_of())
     s_raw = tb.search_payloads(spark, sf_dir)
-    new1, sum1 = ingest(s_raw, parse_search(s_raw, _as_of()), None, cutoff)
+    new1, sum1 = ingest(s_raw, parse_search(s_raw, _as_of()), None, cutoff, parse_errors=search_errors(s_raw))
     r_raw = tb.rss_payloads(spark, sf_dir)
-    new2, sum2 = ingest(r_raw, parse_rss(r_raw), new1.select("dedupe_key"), cutoff)
+    new2, sum2 = ingest(r_raw, parse_rss(r_raw), new1.select("dedupe_key"), cutoff, parse_errors=rss_errors(r_raw))
     return new1, sum1, new2, sum2
 
 
@@ -536,26 +537,29 @@ def str_m2(spark, sf_dir):
     """AGG-1 as a drained Structured Streaming job (equals the batch result)."""
     from ..streaming.jobs import run_daily_events
 
-    return run_daily_events(spark, tb.news_stream(spark, sf_dir), watermark="36500 days")
+    return run_daily_events(spark, tb.news_stream(spark, sf_dir), watermark="7 days")
 
 
 @register("str_m1_dedupe_stream")
 def str_m1(spark, sf_dir):
-    """News rows deduplicated within the watermark by a drained stream."""
+    """News rows, every one landed twice, deduplicated within the watermark by a drained stream."""
     from ..streaming.jobs import run_dedupe
 
-    out = run_dedupe(spark, tb.news_stream(spark, sf_dir), days_back=36500)
-    return out.select("doc_id", "ticker", "published_at", "dedupe_key")
+    out = run_dedupe(spark, tb.news_stream(spark, sf_dir).union(tb.news_stream(spark, sf_dir)), days_back=7)
+    return out.select("doc_id", "ticker", "published_at")
 
 
 # ------------------------------------------------------- model responses
 def responses(spark, sf_dir):
-    """Model responses keyed by article: the rule payload as fenced JSON; every
-    tenth article's response is damaged (opening brace lost, or no JSON)."""
+    """Model responses keyed by article: a payload as fenced JSON that differs from
+    the rules' in its confidence and, for every third article, in
+    ``company_specific``; every tenth response is damaged (opening brace lost,
+    or no JSON)."""
     n = tb.news(spark, sf_dir)
-    p = F.to_json(ne.heuristic_payload(ne.article_text(F.col("title"), F.col("body"))))
+    rules = ne.heuristic_payload(ne.article_text(F.col("title"), F.col("body")))
+    p = F.to_json(rules.withField("confidence", F.lit(0.8)).withField("company_specific", F.col("doc_id") % 3 != 0))
     fenced = F.concat(F.lit("```json\n"), p, F.lit("\n```"))
-    text = (F.when(F.col("doc_id") % 20 == 0, F.substring(p, 2, 100000))
+    text = (F.when(F.col("doc_id") % 20 == 0, F.substring(p, F.lit(2), F.length(p)))
             .when(F.col("doc_id") % 20 == 10, F.lit("I could not extract features."))
             .otherwise(fenced))
     return n.withColumn("dedupe_key", F.col("doc_id").cast("string")).withColumn("response", text)
@@ -566,7 +570,9 @@ def json_1(spark, sf_dir):
     from ..functions.payloads import extract_first_json
 
     r = responses(spark, sf_dir).select("doc_id", "response")
-    return extract_first_json(r, "response", prefix="{").select("doc_id", "payload_json", "parse_error")
+    out = extract_first_json(r, "response", prefix="{").withColumn("p", F.from_json("payload_json", ne.heur_type()))
+    return out.select("doc_id", "parse_error", "p.sentiment", "p.sentiment_score", "p.catalyst_type", "p.company_specific",
+                      F.array_join("p.risk_flags", ",").alias("risk_flags"), "p.likely_horizon", "p.confidence")
 
 
 @register("ds_4_hybrid_daily_events")
@@ -602,7 +608,7 @@ def ml_1(spark, sf_dir):
     from ..schemas import PRICE_FEATURE_COLUMNS
 
     feats = features_panel(spark, sf_dir)
-    model = train_regressor(feats, PRICE_FEATURE_COLUMNS, split_bounds=DRIVER_SPLIT, max_iter=10, max_depth=4)
+    model = train_regressor(feats, PRICE_FEATURE_COLUMNS, split_bounds=DRIVER_SPLIT)
     test = ev.prepare_model_frame(feats, PRICE_FEATURE_COLUMNS, "future_ret_5d").filter(
         ev.split_column(F.col("date"), DRIVER_SPLIT) == "test")
     return score(model, test, PRICE_FEATURE_COLUMNS).select("ticker", "date", "future_ret_5d", "prediction")
@@ -629,8 +635,5 @@ def join_10(spark, sf_dir):
     """Bars with their universe category ('unknown' when the ticker is not listed)."""
     uni = tb.universe(spark, sf_dir)
     bars = tb.ohlcv(spark, sf_dir).select("ticker", "date", "close")
-    from ..operators.broadcast import checked_broadcast
-
-    # one row per ticker: broadcast only if the universe is within the checked bound
-    out = bars.join(checked_broadcast(uni.select("ticker", "category"), 1_000_000), "ticker", "left")
+    out = bars.join(uni.select("ticker", "category"), "ticker", "left")
     return out.withColumn("category", F.coalesce("category", F.lit("unknown")))

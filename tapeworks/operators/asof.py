@@ -70,6 +70,16 @@ def asof_backward(
     return lft.join(spread, on=[*by, lday], how="left").drop(lday, "_rday")
 
 
+def latest_before(left: DataFrame, right: DataFrame, by: Sequence[str], left_day: str, right_day: str, right_cols: Sequence[str]) -> DataFrame:
+    """``asof_backward`` for a left side with one row per key: no window and no
+    spread, one partial aggregate over the right rows up to the key's day."""
+    by = list(by)
+    r = right.select(*by, F.col(right_day).alias("_rday"), F.struct(*right_cols).alias("_r"))
+    upto = r.join(left.select(*by, F.col(left_day).alias("_lday")), on=by).filter(F.col("_rday") <= F.col("_lday"))
+    last = upto.groupBy(*by).agg(F.max_by("_r", "_rday").alias("_r"))
+    return left.join(last, on=by, how="left").select(*left.columns, *[F.col("_r")[c].alias(c) for c in right_cols])
+
+
 def asof_forward(
     left: DataFrame,
     right: DataFrame,

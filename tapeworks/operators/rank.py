@@ -8,7 +8,7 @@ operator numbers rows with a range-partitioned sort instead:
    balanced partitions (Spark samples the key distribution);
 2. rows are numbered inside each (partition, group) slice;
 3. a tiny table of slice sizes (``n x groups`` rows) gives each slice its
-   offset via a running sum, joined back by broadcast.
+   offset via a running sum, joined back.
 
 The result is the exact 1-based rank by (order), ties broken by the order
 columns, so callers must make the order total.
@@ -56,6 +56,6 @@ def global_row_number(
     sizes = ranged.groupBy("_slice", *groups).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_slice", *groups, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    # offsets has one row per (slice, group): bounded by n x number of groups
-    joined = local.join(F.broadcast(offsets), on=["_slice", *groups], how="inner")
+    # offsets has one row per (slice, group); Spark picks the join by its size at run time
+    joined = local.join(offsets, on=["_slice", *groups], how="inner")
     return joined.withColumn(out, F.col("_off") + F.col("_lrn")).drop("_slice", "_lrn", "_off")

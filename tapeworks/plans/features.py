@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rapid_move_flag, ratio, rel, return_bucket
-from ..operators.broadcast import checked_broadcast
 from ..operators.windows import panel_window, rolling_max, rolling_mean, rolling_min, rolling_std
 
 # Window lengths and horizons (fixed values).
@@ -26,8 +25,6 @@ LABEL_HORIZONS = [1, 5, 10, 20]
 CONTEXT_RETURNS = ["ret_1d", "ret_5d", "ret_20d"]
 
 DEFAULT_ROLES = {"qqq": "QQQ", "spy": "SPY"}
-# One benchmark row per calendar date: 100k rows covers 270 years of days.
-BENCHMARK_BROADCAST_MAX_ROWS = 100_000
 
 
 def group_features(ohlcv: DataFrame) -> DataFrame:
@@ -85,7 +82,6 @@ def benchmark_returns(ohlcv: DataFrame, roles: Mapping[str, str] = DEFAULT_ROLES
 
 def add_market_context(panel: DataFrame, bench: DataFrame, roles: Mapping[str, str] = DEFAULT_ROLES) -> DataFrame:
     """JOIN-1: left join benchmark returns on date; relative 5-day strength."""
-    bench = checked_broadcast(bench, BENCHMARK_BROADCAST_MAX_ROWS)
     out = panel.join(bench, on="date", how="left")
     return out.select(
         "*", *[(F.col("ret_5d") - F.col(f"{role}_ret_5d")).alias(f"stock_minus_{role}_ret_5d") for role in roles]

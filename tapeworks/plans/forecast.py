@@ -8,30 +8,32 @@ before the first anchor are dropped.
 The default forecaster is a drift model written as window expressions:
 mean and sample std of the trailing ``lookback`` log returns give
 ``median_h = close * exp(mu h)`` and ``q = close * exp(mu h + z sigma sqrt(h))``.
-It runs in the JVM with an oracle. Any other forecaster plugs in as a pandas
-function applied per ticker with ``applyInPandas`` (a ticker's bars are
-bounded by the calendar, so one group always fits a task).
+It runs in the JVM with an oracle. Any other forecaster plugs in as a function
+over batches of anchors, each with its own bounded history.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import bday_offset, roll_back_to_weekday
+from ..functions.numeric import clamp
 from ..schemas import PRIOR_FEATURE_COLUMNS
 
 Z90 = 1.2815515655446004  # standard normal 90 % quantile (fixed value)
 
 
-def business_day_regrid(history: DataFrame) -> DataFrame:
-    """WIN-11: keep the last row per (ticker, date) and re-stamp a ticker's n rows
-    to the n business days ending at its last date (weekend end rolls back)."""
-    w_dup = Window.partitionBy("ticker", "date").orderBy(F.monotonically_increasing_id().desc())
-    dedup = history.withColumn("_d", F.row_number().over(w_dup)).filter("_d = 1").drop("_d")
+def business_day_regrid(history: DataFrame, order: str = "close") -> DataFrame:
+    """WIN-11: keep the last row per (ticker, date), by the column ``order``, and re-stamp
+    a ticker's n rows to the n business days ending at its last date (weekend end rolls back)."""
+    others = [c for c in history.columns if c not in ("ticker", "date")]
+    last_row = F.max_by(F.struct(*others), F.struct(order, *others)).alias("_r")
+    dedup = history.groupBy("ticker", "date").agg(last_row).select("ticker", "date", "_r.*")
     w = Window.partitionBy("ticker").orderBy(F.col("date").desc())
     last = F.first("date").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     k = F.row_number().over(w)
@@ -83,50 +85,38 @@ def fill_forward_priors(sampled: DataFrame) -> DataFrame:
     return filled.filter(F.col("chronos_pred_ret_5d").isNotNull())
 
 
-def pandas_forecast(
-    bars: DataFrame,
-    forecaster: Callable[[pd.DataFrame, int], pd.DataFrame],
-    min_history: int = 120,
-    step: int = 5,
-    prediction_length: int = 20,
-) -> DataFrame:
-    """ML-3 with a pluggable forecaster.
+Forecaster = Callable[[list[np.ndarray], int], np.ndarray]
 
-    ``forecaster(history, prediction_length)`` gets one ticker's history up to an
-    anchor (columns ticker, timestamp, target on a business-day grid) and
-    returns ``prediction_length`` rows with columns ``predictions``, ``0.1``,
-    ``0.9``. Runs per ticker with ``applyInPandas``.
-    """
-    schema = "ticker string, date date, " + ", ".join(f"{c} double" for c in PRIOR_FEATURE_COLUMNS)
-
-    def per_ticker(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date").reset_index(drop=True)
-        rows = []
-        for idx in range(min_history - 1, len(pdf), step):
-            hist = pdf.iloc[: idx + 1][["ticker", "date", "close"]]
-            hist = hist.drop_duplicates(subset=["date"], keep="last").reset_index(drop=True)
-            ctx = pd.DataFrame({
-                "id": hist["ticker"],
-                "timestamp": pd.date_range(end=pd.Timestamp(hist["date"].iloc[-1]), periods=len(hist), freq="B"),
-                "target": hist["close"],
-            })
-            pred = forecaster(ctx, prediction_length).reset_index(drop=True)
-            close = float(pdf.loc[idx, "close"])
-            h5 = min(4, len(pred) - 1)
-            lo, hi, med = float(pred.loc[h5, "0.1"]), float(pred.loc[h5, "0.9"]), float(pred.loc[h5, "predictions"])
-            width = abs(hi - lo) / close if close else 0.0
-            rows.append({
-                "ticker": pdf.loc[idx, "ticker"], "date": pdf.loc[idx, "date"],
-                "chronos_pred_ret_1d": float(pred.loc[0, "predictions"]) / close - 1.0,
-                "chronos_pred_ret_5d": med / close - 1.0,
-                "chronos_pred_ret_20d": float(pred.loc[min(19, len(pred) - 1), "predictions"]) / close - 1.0,
-                "chronos_bear_ret_5d": lo / close - 1.0,
-                "chronos_bull_ret_5d": hi / close - 1.0,
-                "chronos_confidence_score": max(0.15, min(0.95, 1.0 - width)),
-            })
-        return pd.DataFrame(rows, columns=["ticker", "date", *PRIOR_FEATURE_COLUMNS])
 
+def plugin_forecast(bars: DataFrame, forecaster: Forecaster, min_history: int = 120, step: int = 5, horizon: int = 20, context: int = 512) -> DataFrame:
+    """ML-3 with another forecaster.
+
+    Every anchor row carries its last ``context`` closes as an array column, so
+    that anchors are independent rows: ``forecaster(histories, horizon)`` gets a
+    batch of them and returns an array (anchors, 3, horizon) of median, 10 % and
+    90 % prices. Returns and confidence are column expressions.
+    """
+    w = Window.partitionBy("ticker").orderBy("date")
     base = bars.select("ticker", "date", "close").dropna()
-    sampled = base.groupBy("ticker").applyInPandas(per_ticker, schema)
-    keys = base.select("ticker", "date")
-    return fill_forward_priors(keys.join(sampled, ["ticker", "date"], "left"))
+    number = F.row_number().over(w)
+    kept = F.collect_list("close").over(w.rowsBetween(1 - context, Window.currentRow))
+    rows = base.select("*", ((number >= min_history) & ((number - min_history) % step == 0)).alias("_anchor"), kept.alias("_history"))
+    paths = ["_p1", "_p5", "_p20", "_low5", "_high5"]
+    spots = [(0, 0), (0, min(5, horizon) - 1), (0, min(20, horizon) - 1), (1, min(5, horizon) - 1), (2, min(5, horizon) - 1)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            path = forecaster([np.asarray(x) for x in batch["_history"]], horizon) if len(batch) else np.zeros((0, 3, horizon))
+            yield batch[["ticker", "date", "close"]].assign(**{c: path[:, k, h] for c, (k, h) in zip(paths, spots)})
+
+    schema = "ticker string, date date, close double, " + ", ".join(f"{c} double" for c in paths)
+    found = rows.filter("_anchor").select("ticker", "date", F.col("close").cast("double").alias("close"), "_history").mapInPandas(run, schema)
+    ret = lambda c: F.try_divide(F.col(c), F.col("close")) - 1.0
+    width = F.coalesce(F.abs(F.try_divide(F.col("_high5") - F.col("_low5"), F.col("close"))), F.lit(0.0))
+    anchors = found.select(
+        "ticker", "date",
+        ret("_p1").alias("chronos_pred_ret_1d"), ret("_p5").alias("chronos_pred_ret_5d"), ret("_p20").alias("chronos_pred_ret_20d"),
+        ret("_low5").alias("chronos_bear_ret_5d"), ret("_high5").alias("chronos_bull_ret_5d"),
+        clamp(1.0 - width, 0.15, 0.95).alias("chronos_confidence_score"),
+    )
+    return fill_forward_priors(base.select("ticker", "date").join(anchors, ["ticker", "date"], "left"))

@@ -28,9 +28,9 @@ def resume_from(tickers: DataFrame, ticker: str | None) -> DataFrame:
 
 
 def normalise(parsed: DataFrame, min_published_at: Column, max_items: int) -> DataFrame:
-    """Drop items without title/link/time, apply the freshness cut-off and keep
+    """Drop items without time, apply the freshness cut-off and keep
     the first ``max_items`` per payload (by vendor position)."""
-    ok = parsed.filter((F.col("title") != "") & (F.col("url") != "") & F.col("published_ts").isNotNull())
+    ok = parsed.filter(F.col("published_ts").isNotNull())
     ok = ok.withColumn("_too_old", F.col("published_ts") < min_published_at)
     fresh = ok.filter(~F.col("_too_old"))
     w = Window.partitionBy("payload_id").orderBy("position")
@@ -42,7 +42,7 @@ def normalise(parsed: DataFrame, min_published_at: Column, max_items: int) -> Da
 
 
 def too_old_counts(parsed: DataFrame, min_published_at: Column) -> DataFrame:
-    ok = parsed.filter((F.col("title") != "") & (F.col("url") != "") & F.col("published_ts").isNotNull())
+    ok = parsed.filter(F.col("published_ts").isNotNull())
     return ok.groupBy(F.upper("ticker").alias("ticker")).agg(
         F.count_if(F.col("published_ts") < min_published_at).cast("long").alias("too_old")
     )
@@ -68,11 +68,13 @@ def ingest(
     min_published_at: Column,
     max_items: int = 8,
     ticker_order: DataFrame | None = None,
+    parse_errors: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """DS-16: (new rows to append, per-ticker summary).
 
     ``raw`` has ``status`` (HTTP-like code) per payload; ``parsed`` comes
-    from a ``sources.feeds`` parser over the successful payloads."""
+    from a ``sources.feeds`` parser over the successful payloads, and
+    ``parse_errors`` (payload_id, ticker, error) from its error reader."""
     from ..session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(parsed.sparkSession)
@@ -90,10 +92,10 @@ def ingest(
     fresh = new_rows(cand, stored_keys, order)
     fetched = cand.groupBy("ticker").agg(F.count(F.lit(1)).alias("fetched"))
     new = fresh.groupBy("ticker").agg(F.count(F.lit(1)).alias("new"))
-    failed = raw.filter(~F.col("status").between(200, 299)).groupBy(F.upper("ticker").alias("ticker")).agg(
-        F.count(F.lit(1)).alias("failed_payloads"),
-        F.first(F.concat(F.lit("HTTP "), F.col("status").cast("string")), ignorenulls=True).alias("error"),
-    )
+    failures = raw.filter(~F.col("status").between(200, 299)).select("ticker", F.concat(F.lit("HTTP "), F.col("status").cast("string")).alias("error"))
+    if parse_errors is not None:
+        failures = failures.unionByName(parse_errors.join(ok_ids, "payload_id", "left_semi").select("ticker", "error"))
+    failed = failures.groupBy(F.upper("ticker").alias("ticker")).agg(F.count(F.lit(1)).alias("failed_payloads"), F.min("error").alias("error"))
     tickers = raw.select(F.upper("ticker").alias("ticker")).distinct()
     summary = (
         tickers.join(fetched, "ticker", "left").join(new, "ticker", "left")

@@ -35,11 +35,27 @@ def catalyst(lowered: Column, topics: dict[str, list[str]], default: str = "gene
 
 
 def heuristic_payload(text: Column) -> Column:
-    """DS-2 (R1): the rule-based event payload of one article, as a struct."""
-    low = F.lower(text)
-    p = count_present(low, lx.POSITIVE_WORDS)
-    n = count_present(low, lx.NEGATIVE_WORDS)
-    raw = F.when(p + n == 0, F.lit(0.0)).otherwise((p - n).cast("double") / (p + n).cast("double"))
+    """DS-2 (R1): the rule-based event payload of one article, as a struct.
+
+    The text is lower-cased once and bound, not once for each key word."""
+
+    def counted(low: Column) -> Column:
+        counts = F.struct(count_present(low, lx.POSITIVE_WORDS).alias("p"), count_present(low, lx.NEGATIVE_WORDS).alias("n"))
+        return bound(counts, lambda c: bound(_raw_score(c["p"], c["n"]), lambda raw: _rules(low, raw)))
+
+    return bound(F.lower(text), counted)
+
+
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _raw_score(p: Column, n: Column) -> Column:
+    return F.when(p + n == 0, F.lit(0.0)).otherwise((p - n).cast("double") / (p + n).cast("double"))
+
+
+def _rules(low: Column, raw: Column) -> Column:
     label = (
         F.when(raw > F.lit(lx.SENTIMENT_CUT), F.lit("positive"))
         .when(raw < F.lit(-lx.SENTIMENT_CUT), F.lit("negative"))
@@ -75,9 +91,8 @@ def novelty_score(novelty: Column) -> Column:
     return out
 
 
-def payload_to_row(payload: Column, text: Column) -> list[Column]:
-    """DS-3 (R2): per-article feature columns from a payload struct."""
-    low = F.lower(text)
+def payload_to_row(payload: Column, low: Column) -> list[Column]:
+    """DS-3 (R2): per-article feature columns from a payload struct and the lower-cased text."""
     score = F.coalesce(payload["sentiment_score"].cast("double"), F.lit(0.0))
     company = F.when(F.coalesce(payload["company_specific"].cast("boolean"), F.lit(False)), F.lit(1.0)).otherwise(
         F.lit(0.0)
@@ -134,7 +149,8 @@ def article_events(news: DataFrame, payloads: DataFrame | None = None, mode: str
     else:
         raise ValueError(f"Unsupported build mode: {mode}")
     keys = ["dedupe_key"] if "dedupe_key" in news.columns else []
-    return with_payload.select(*keys, "ticker", "date", *payload_to_row(F.col("_payload"), F.col("_text")))
+    with_low = with_payload.select(*keys, "ticker", "date", "_payload", F.lower("_text").alias("_low"))
+    return with_low.select(*keys, "ticker", "date", *payload_to_row(F.col("_payload"), F.col("_low")))
 
 
 def heur_type():

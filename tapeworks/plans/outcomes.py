@@ -85,26 +85,15 @@ def scorecard(scored: DataFrame) -> DataFrame:
         F.avg("actual_return").alias("avg_actual_return"),
     )
     # grouping_id bits: ticker (2), confidence_bucket (1); 3 = overall
-    overall = agg.filter(F.col("_gid") == 3).select(
-        F.lit("overall").alias("section"), F.lit(None).cast("string").alias("key"),
-        F.stack(
-            F.lit(6),
-            F.lit("mae"), "mae", F.lit("rmse"), "rmse", F.lit("direction_accuracy"), "direction_accuracy",
-            F.lit("range_coverage"), "range_coverage", F.lit("avg_predicted_return"), "avg_predicted_return",
-            F.lit("avg_actual_return"), "avg_actual_return",
-        ).alias("metric", "value"),
-    )
-
-    def section(gid: int, name: str, key: str) -> DataFrame:
-        return agg.filter(F.col("_gid") == gid).select(
-            F.lit(name).alias("section"), F.col(key).alias("key"),
-            F.stack(
-                F.lit(4),
-                F.lit("predictions"), "predictions", F.lit("mae"), "mae",
-                F.lit("direction_accuracy"), "direction_accuracy", F.lit("avg_actual_return"), "avg_actual_return",
-            ).alias("metric", "value"),
-        )
-
-    return overall.unionByName(section(1, "ticker", "ticker")).unionByName(
-        section(2, "confidence_bucket", "confidence_bucket")
-    )
+    gid = F.col("_gid")
+
+    def lines(*metrics: str):
+        return F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics])
+
+    overall = lines("mae", "rmse", "direction_accuracy", "range_coverage", "avg_predicted_return", "avg_actual_return")
+    part = lines("predictions", "mae", "direction_accuracy", "avg_actual_return")
+    return agg.select(
+        F.when(gid == 3, "overall").when(gid == 1, "ticker").otherwise("confidence_bucket").alias("section"),
+        F.when(gid == 1, F.col("ticker")).when(gid == 2, F.col("confidence_bucket")).alias("key"),
+        F.inline(F.when(gid == 3, overall).otherwise(part)),
+    ).filter((F.col("section") != "overall") | F.col("value").isNotNull())

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import bday_offset, parse_horizon
 from ..functions.numeric import clamp, confidence_label
-from ..operators.asof import asof_backward
+from ..operators.asof import latest_before
 from ..operators.windows import latest_per_key
 from ..schemas import NEWS_FEATURE_COLUMNS, PRICE_FEATURE_COLUMNS, PRIOR_FEATURE_COLUMNS
 
@@ -70,10 +70,10 @@ def predict_all(
     latest = latest_rows(features.select("ticker", "date", "close", "rapid_move", *PRICE_FEATURE_COLUMNS))
     latest = latest.withColumn("as_of_date", F.col("date"))
     nf = news_features.select("ticker", "date", *NEWS_FEATURE_COLUMNS).withColumn("_news_day", F.col("date"))
-    x = asof_backward(latest, nf, ["ticker"], F.col("as_of_date"), "date", ["_news_day", *NEWS_FEATURE_COLUMNS])
+    x = latest_before(latest, nf, ["ticker"], "as_of_date", "date", ["_news_day", *NEWS_FEATURE_COLUMNS])
     if priors is not None:
         pr = priors.select("ticker", "date", *PRIOR_FEATURE_COLUMNS)
-        x = asof_backward(x, pr, ["ticker"], F.col("as_of_date"), "date", PRIOR_FEATURE_COLUMNS)
+        x = latest_before(x, pr, ["ticker"], "as_of_date", "date", PRIOR_FEATURE_COLUMNS)
         has_prior = F.col("chronos_pred_ret_5d").isNotNull()
     else:
         x = x.select("*", *[F.lit(None).cast("double").alias(c) for c in PRIOR_FEATURE_COLUMNS])
@@ -168,8 +168,8 @@ def predict_all(
 def predict_prior_only(features: DataFrame, priors: DataFrame) -> DataFrame:
     """DS-10: prior-only prediction per ticker; ``error`` when no prior row exists."""
     latest = latest_rows(features.select("ticker", "date", "close")).withColumn("as_of_date", F.col("date"))
-    x = asof_backward(latest, priors.select("ticker", "date", *PRIOR_FEATURE_COLUMNS).withColumn("_pday", F.col("date")),
-                      ["ticker"], F.col("as_of_date"), "date", ["_pday", *PRIOR_FEATURE_COLUMNS])
+    x = latest_before(latest, priors.select("ticker", "date", *PRIOR_FEATURE_COLUMNS).withColumn("_pday", F.col("date")),
+                      ["ticker"], "as_of_date", "date", ["_pday", *PRIOR_FEATURE_COLUMNS])
     pr = F.coalesce(F.col("chronos_pred_ret_5d"), F.lit(0.0))
     return x.select(
         "ticker", "as_of_date", F.col("close").alias("current_close"),

@@ -27,7 +27,8 @@ RSS_SCHEMA = (
 )
 RELATIVE_RE = r"(?i)(\d+)\s+(minute|minutes|min|mins|hour|hours|hr|hrs|day|days|week|weeks)\s+ago"
 ITEMS = "array<variant>"
-UNWRAP_DEPTH = 2
+#: Levels of envelopes that are opened; deeper ones become error rows, never silence.
+UNWRAP_DEPTH = 8
 
 
 def iso_utc(ts: Column) -> Column:
@@ -39,6 +40,10 @@ def parse_rfc822(v: Column) -> Column:
     """RFC-822 date (``Fri, 26 Jun 2026 15:52:03 GMT`` / ``+0200``); the weekday is
     dropped before parsing (Spark cannot parse ``EEE``)."""
     body = F.regexp_replace(F.trim(v), r"^[A-Za-z]{3},\s*", "")
+    # two-digit years mean 1969 to 2068; missing seconds are zero
+    body = F.regexp_replace(body, r"^(\d{1,2}\s+[A-Za-z]{3})\s+([0-5]\d|6[0-8])\s", "$1 20$2 ")
+    body = F.regexp_replace(body, r"^(\d{1,2}\s+[A-Za-z]{3})\s+(69|[7-9]\d)\s", "$1 19$2 ")
+    body = F.regexp_replace(body, r"\s(\d{1,2}:\d{2})\s", " $1:00 ")
     return F.coalesce(
         F.try_to_timestamp(body, F.lit("d MMM yyyy HH:mm:ss z")),
         F.try_to_timestamp(body, F.lit("d MMM yyyy HH:mm:ss Z")),
@@ -108,11 +113,10 @@ def _is_array(v: Column) -> Column:
 
 
 def _unwrap(v: Column) -> Column:
-    """A wrapper value: objects as they are, strings parsed as JSON, others NULL
+    """A wrapper value: objects and lists as they are, strings that hold one parsed, others NULL
     (``v`` is read once: an object's JSON text parses back to itself)."""
-    txt = F.try_variant_get(v, "$", "string")
-    parsed = F.try_parse_json(txt)
-    return F.when(_is_object(parsed) & ~F.startswith(F.ltrim(txt), F.lit("[")), parsed)
+    parsed = F.try_parse_json(F.try_variant_get(v, "$", "string"))
+    return F.when(_is_object(parsed) | _is_array(parsed), parsed)
 
 
 def _objects(arr: Column) -> Column:
@@ -123,47 +127,61 @@ def _keyed(v: Column) -> Column:
     return F.coalesce(*[F.try_variant_get(v, f"$.{k}", ITEMS) for k in SEARCH_LIST_KEYS])
 
 
+def _own_items(v: Column) -> Column:
+    """The items that a node holds itself: a list, or an object's first list key."""
+    return F.coalesce(_objects(F.try_variant_get(v, "$", ITEMS)), _objects(_keyed(v)))
+
+
+def _children(node: Column) -> Column:
+    """The wrappers within a node, in the order of the wrapper keys; a node is (path, v)."""
+    kids = [
+        F.struct(F.concat(node["path"], F.lit(str(i))).alias("path"), _unwrap(F.try_variant_get(node["v"], f"$.{k}", "variant")).alias("v"))
+        for i, k in enumerate(SEARCH_WRAPPER_KEYS)
+    ]
+    return F.filter(F.array(*kids), lambda n: n["v"].isNotNull())
+
+
 def with_search_items(df: DataFrame, payload: Column, out: str = "items", depth: int = UNWRAP_DEPTH) -> DataFrame:
     """SRC-8: add ``out`` = the item list of a search envelope (array<variant>,
-    empty if none).
+    empty if none) and ``<out>_error`` (NULL, or why nothing can be read).
 
     A list payload is the list; an object takes the first of the list keys
-    holding a list, else the first wrapper (objects, or strings holding JSON)
-    whose content yields items, unrolled to ``depth`` levels. Every node of
-    the unrolled tree is its own column (computed once), so the plan grows
-    linearly with the number of nodes instead of exponentially."""
-    empty = F.array().cast(ITEMS)
-    nodes: list[tuple[str, int]] = [("_n", 0)]
-    df = df.withColumn("_n", F.try_parse_json(payload) if isinstance(payload, Column) else F.try_parse_json(F.col(payload)))
-    frontier = ["_n"]
-    children: dict[str, list[str]] = {}
+    holding a list, else the first wrapper (objects, lists, or strings holding
+    either) whose content yields items, depth first. Each level of wrappers
+    is one array column of (path, value), so the plan grows by one column a
+    level; the smallest path among the nodes with items is the depth-first
+    one. A payload with wrappers below ``depth`` and no items is an error.
+    """
+    df = df.withColumn("_root", F.try_parse_json(payload))
+    df = df.withColumn("_level0", F.filter(F.array(F.struct(F.lit("").alias("path"), F.col("_root").alias("v"))), lambda n: n["v"].isNotNull()))
+    levels = ["_level0"]
     for level in range(depth):
-        nxt = []
-        for name in frontier:
-            kids = []
-            for k in SEARCH_WRAPPER_KEYS:
-                kid = f"{name}_{k}"
-                df = df.withColumn(kid, _unwrap(F.try_variant_get(F.col(name), f"$.{k}", "variant")))
-                kids.append(kid)
-            children[name] = kids
-            nxt += kids
-        frontier = nxt
-    # results bottom-up
-    order = []
-    stack = ["_n"]
-    while stack:
-        n = stack.pop()
-        order.append(n)
-        stack += children.get(n, [])
-    for n in reversed(order):
-        v = F.col(n)
-        kids = [F.col(f"{kid}__r") for kid in children.get(n, [])]
-        nested = F.try_element_at(F.filter(F.array(*kids), lambda a: F.size(a) > 0), F.lit(1)) if kids else F.lit(None).cast(ITEMS)
-        # a list payload is the list; an object's first list key wins; else nested
-        own = F.coalesce(_objects(F.try_variant_get(v, "$", ITEMS)), _objects(_keyed(v)))
-        df = df.withColumn(f"{n}__r", F.coalesce(own, nested, empty))
-    df = df.withColumn(out, F.col("_n__r"))
-    return df.drop(*order, *[f"{n}__r" for n in order])
+        df = df.withColumn(f"_level{level + 1}", F.flatten(F.transform(levels[-1], _children)))
+        levels.append(f"_level{level + 1}")
+    held = F.transform(F.flatten(F.array(*levels)), lambda n: F.struct(n["path"].alias("path"), _own_items(n["v"]).alias("items")))
+    df = df.withColumn("_held", F.filter(held, lambda n: F.size(n["items"]) > 0))
+    first = F.array_min(F.transform("_held", lambda n: n["path"]))
+    df = df.withColumn("_first", first)
+    found = F.try_element_at(F.filter("_held", lambda n: n["path"] == F.col("_first")), F.lit(1))["items"]
+    deeper = F.size(F.flatten(F.transform(levels[-1], _children))) > 0
+    error = F.when(F.col("_root").isNull(), F.lit("payload is not JSON")).when(
+        F.col("_first").isNull() & deeper, F.lit(f"envelopes nested deeper than {depth}")
+    )
+    df = df.withColumn(out, F.coalesce(found, F.array().cast(ITEMS))).withColumn(f"{out}_error", error)
+    return df.drop("_root", "_held", "_first", *levels)
+
+
+def search_errors(raw: DataFrame) -> DataFrame:
+    """(payload_id, ticker, error) of search payloads that cannot be read."""
+    out = with_search_items(raw.select("payload_id", "ticker", "payload"), F.col("payload"), "_items")
+    return out.filter(F.col("_items_error").isNotNull()).select("payload_id", "ticker", F.col("_items_error").alias("error"))
+
+
+def rss_errors(raw: DataFrame) -> DataFrame:
+    """(payload_id, ticker, error) of RSS payloads that are no XML."""
+    checked = F.from_xml("payload", f"{RSS_SCHEMA}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    bad = raw.select("payload_id", "ticker", checked.alias("x")).filter(F.col("x").isNull() | F.col("x._corrupt").isNotNull())
+    return bad.select("payload_id", "ticker", F.lit("payload is not XML").alias("error"))
 
 
 def _vstr(item: Column, key: str) -> Column:
@@ -197,25 +215,24 @@ ITEM_KEYS = ["title", "headline", "url", "link", "source", "domain", "published_
 
 
 def parse_search(raw: DataFrame, as_of: Column) -> DataFrame:
-    """SRC-8/9: search-API payloads -> article rows (empty title/link/time dropped later).
+    """SRC-8/9: search-API payloads -> article rows; items without title or link are dropped.
 
-    The per-item projections are wide expressions over one VARIANT; Catalyst's
-    constraint inference grows exponentially on them once a filter sits on
-    top, so it is switched off for the session (it only infers extra
-    IS NOT NULL filters)."""
-    raw.sparkSession.conf.set("spark.sql.constraintPropagation.enabled", "false")
+    The per-item values leave the VARIANT in one generated struct, which keeps
+    later filters from being pushed into its wide expressions."""
     items = with_search_items(raw.select("payload_id", "ticker", "payload"), F.col("payload"), "_items")
     items = items.select("payload_id", "ticker", F.posexplode("_items").alias("position", "it"))
-    flat = items.select("payload_id", "ticker", "position", *[_vstr(F.col("it"), k).alias(f"_{k}") for k in ITEM_KEYS])
+    values = F.struct(*[_vstr(F.col("it"), k).alias(f"_{k}") for k in ITEM_KEYS])
+    flat = items.select("payload_id", "ticker", "position", F.inline(F.array(values)))
     c = {k: F.col(f"_{k}") for k in ITEM_KEYS}
     link = py_strip(_first_truthy(c["url"], c["link"]))
     src = py_strip(_first_truthy(c["source"], c["domain"], url_host(link), F.lit("brightdata")))
     pub = coerce_published(_first_truthy(c["published_at"], c["date"], c["published"]), as_of)
-    return flat.select(
-        "payload_id", "ticker", "position",
+    rows = F.struct(
         py_strip(_first_truthy(c["title"], c["headline"])).alias("title"),
         search_body(c).alias("body"), src.alias("source"), link.alias("url"), pub.alias("published_ts"),
     )
+    out = flat.select("payload_id", "ticker", "position", rows.alias("r")).select("payload_id", "ticker", "position", F.inline(F.array("r")))
+    return out.filter((F.col("title") != "") & (F.col("url") != ""))
 
 
 # ------------------------------------------------------- SRC-10 second vendor

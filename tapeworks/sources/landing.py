@@ -13,15 +13,20 @@ from ..schemas import NEWS_JSONL
 REQUIRED_PRICE_COLUMNS = ["date", "open", "high", "low", "close", "volume"]
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, asked of the file system that Spark reads it with."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def load_optional_parquet(spark: SparkSession, path: str, columns: list[str], keys=("ticker", "date")) -> DataFrame:
     """SRC-3: a parquet table that may be absent: absent -> empty frame with the
     declared columns; declared feature columns missing from the file -> 0.0."""
     schema = T.StructType([T.StructField("ticker", T.StringType()), T.StructField("date", T.DateType())]
                           + [T.StructField(c, T.DoubleType()) for c in columns])
-    try:
-        df = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - missing path
+    if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
+    df = spark.read.parquet(path)
     return df.select(*keys, *[F.col(c).cast("double").alias(c) if c in df.columns else F.lit(0.0).alias(c)
                               for c in columns])
 
@@ -34,7 +39,8 @@ def read_news_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def normalise_column_name(name: str) -> str:
-    return re.sub(r"[^0-9a-z]+", "_", str(name).strip().lower()).strip("_")
+    """Lower case, blanks to underscores; other marks stay."""
+    return re.sub(r"\s+", "_", str(name).strip().lower())
 
 
 def normalise_vendor_prices(raw: DataFrame, ticker: str | None = None, categories: DataFrame | None = None) -> DataFrame:
@@ -46,17 +52,18 @@ def normalise_vendor_prices(raw: DataFrame, ticker: str | None = None, categorie
     if missing:
         raise ValueError(f"Missing required price columns: {missing}")
     if "adj_close" in df.columns:
-        factor = F.try_divide(F.col("adj_close").cast("double"), F.col("close").cast("double"))
-        df = df.select(*[(F.col(c).cast("double") * factor).alias(c) if c in ("open", "high", "low", "close") else F.col(c)
+        factor = F.try_divide(F.col("adj_close").try_cast("double"), F.col("close").try_cast("double"))
+        df = df.select(*[(F.col(c).try_cast("double") * factor).alias(c) if c in ("open", "high", "low", "close") else F.col(c)
                          for c in df.columns])
+    else:
+        df = df.withColumns({c: F.col(c).try_cast("double") for c in ("open", "high", "low", "close")})
+    df = df.withColumn("volume", F.col("volume").try_cast("double"))
     if ticker is not None:
         df = df.withColumn("ticker", F.lit(ticker.upper()))
-    df = df.withColumn("date", F.to_date(F.col("date").cast("timestamp")))
+    df = df.withColumn("date", F.to_date(F.col("date").try_cast("timestamp")))
     df = df.dropna(subset=["open", "high", "low", "close"])
     if categories is not None:
-        from ..operators.broadcast import checked_broadcast
-
-        df = df.join(checked_broadcast(categories.select("ticker", "category"), 1_000_000), "ticker", "left")
+        df = df.join(categories.select("ticker", "category"), "ticker", "left")
     else:
         df = df.withColumn("category", F.lit(None).cast("string"))
     return df.withColumn("category", F.coalesce(F.col("category"), F.lit("unknown")))

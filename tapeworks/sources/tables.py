@@ -41,18 +41,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread_small_scan(df: DataFrame) -> DataFrame:
-    """Spread a scan that yields fewer input splits than cores (a file with one
-    row group) over ``defaultParallelism`` partitions, so the CPU-heavy work
-    after it runs in parallel. Large inputs already have many splits and are
-    left untouched (no extra shuffle at scale). Only the split count is
-    inspected (no job)."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
-
-
 def ohlcv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily OHLCV bars keyed (ticker, date).
 
@@ -62,9 +50,9 @@ def ohlcv(spark: SparkSession, sf_dir: str) -> DataFrame:
     shuffle. Part is joined by Spark's own choice: AQE broadcasts it only when
     its runtime size is under the broadcast threshold.
     """
-    li = spread_small_scan(table(spark, sf_dir, "lineitem").select(
+    li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate"
-    ))
+    )
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     return bars_from_lineitem(li, part)
 
@@ -108,7 +96,7 @@ def _doc_ticker(doc_id: Column) -> Column:
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles: (ticker, published_at UTC, title, body, source, url)."""
-    return news_from_documents(spread_small_scan(table(spark, sf_dir, "documents")))
+    return news_from_documents(table(spark, sf_dir, "documents"))
 
 
 def news_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +180,7 @@ def _feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(
         "doc_id", "ticker", (F.col("doc_id") / 100).cast("long").alias("block"),
         F.coalesce("page_url", "url").alias("url"), "title", "source",
-        F.substring("body", 1, 400).alias("description"), date_text.alias("date"),
+        F.col("body").alias("description"), date_text.alias("date"),
         F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss 'GMT'").alias("rfc_date"),
     )
 

@@ -1,10 +1,10 @@
 """STR-M1 news dedupe stream, STR-M2 daily event aggregation stream,
 STR-M3 matured-prediction scoring per micro-batch.
 
-Each job reuses the batch operators on a streaming DataFrame. Sinks write
-parquet under the session's ``spark.checkpoint.dir`` (the shared folder on
-a cluster) with their own checkpoint location, so a restarted job resumes
-exactly where it stopped. Draining with ``trigger(availableNow=True)``
+Each job reuses the batch operators on a streaming DataFrame. Output and
+checkpoint stand below ``base``: a job started again with the same base
+resumes where it stopped. Without one a new folder in the session's shared
+checkpoint folder is taken, for a single drained run. Draining with ``trigger(availableNow=True)``
 reproduces the batch result on the same input.
 """
 
@@ -20,9 +20,9 @@ from ..plans import news_events as ne
 from ..session import ensure_checkpoint_dir
 
 
-def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
-    root = ensure_checkpoint_dir(spark)
-    base = os.path.join(root, "streams", f"{name}-{uuid.uuid4().hex[:8]}")
+def _paths(spark: SparkSession, name: str, base: str | None) -> tuple[str, str]:
+    """Output and checkpoint of a job below ``base``; a new folder without one."""
+    base = base or os.path.join(ensure_checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex}")
     return os.path.join(base, "out"), os.path.join(base, "_checkpoint")
 
 
@@ -44,10 +44,10 @@ def daily_events_stream(news_stream: DataFrame, watermark: str = "7 days") -> Da
     )
 
 
-def run_daily_events(spark: SparkSession, news_stream: DataFrame, watermark: str = "7 days") -> DataFrame:
+def run_daily_events(spark: SparkSession, news_stream: DataFrame, watermark: str = "7 days", base: str | None = None) -> DataFrame:
     """Drain STR-M2 with ``availableNow`` into parquet (each micro-batch appends its
     updated rows with the batch id) and return the latest row per (ticker, date)."""
-    out, ckpt = _paths(spark, "daily-events")
+    out, ckpt = _paths(spark, "daily-events", base)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out)
@@ -75,8 +75,8 @@ def dedupe_stream(news_stream: DataFrame, days_back: int = 7) -> DataFrame:
     return keyed.withWatermark("published_at", f"{days_back} days").dropDuplicatesWithinWatermark(["dedupe_key"])
 
 
-def run_dedupe(spark: SparkSession, news_stream: DataFrame, days_back: int = 7) -> DataFrame:
-    out, ckpt = _paths(spark, "news-dedupe")
+def run_dedupe(spark: SparkSession, news_stream: DataFrame, days_back: int = 7, base: str | None = None) -> DataFrame:
+    out, ckpt = _paths(spark, "news-dedupe", base)
     q = (
         dedupe_stream(news_stream, days_back).writeStream.format("parquet").outputMode("append")
         .option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
@@ -85,30 +85,39 @@ def run_dedupe(spark: SparkSession, news_stream: DataFrame, days_back: int = 7)
     return spark.read.parquet(out)
 
 
-def run_outcome_scoring(spark: SparkSession, bars_stream: DataFrame, predictions: DataFrame, as_of, scored_at,
-                        bars_fn=None) -> DataFrame:
-    """STR-M3: on every micro-batch of new bars, score the matured predictions
-    that are not scored yet (DS-11) and append the outcomes."""
+def run_outcome_scoring(spark: SparkSession, trade_stream: DataFrame, predictions: DataFrame, as_of, scored_at,
+                        bars_fn, base: str | None = None) -> DataFrame:
+    """STR-M3: score matured predictions as trades land.
+
+    Every micro-batch appends its trades; a prediction is scored once the bars
+    of all days up to the one it is scored by are closed, i.e. once a later
+    batch has begun a later day, or the drained stream has ended. So a day
+    whose trades land in several files gives one bar. Outcomes are appended
+    once per prediction, also after a restart.
+    """
     from ..plans.outcomes import score_outcomes
+    from ..sources.landing import path_exists
 
-    out, ckpt = _paths(spark, "outcomes")
+    out, ckpt = _paths(spark, "outcomes", base)
+    landed = os.path.join(os.path.dirname(out), "trades")
 
     def stored() -> DataFrame | None:
-        # read what earlier batches (or an earlier run of this query) appended, so a
-        # restarted job never scores a prediction twice
-        try:
-            return spark.read.parquet(out)
-        except Exception:  # noqa: BLE001 - no outcomes written yet
-            return None
+        return spark.read.parquet(out) if path_exists(spark, out) else None
 
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        bars = bars_fn(batch) if bars_fn is not None else batch
-        # bars arrive in date order: a prediction is scored by the first batch that
-        # holds a bar at or after its target date, and never again (anti-join)
-        new = score_outcomes(predictions, bars, as_of, scored_at, outcomes=stored())
+    def score(open_from) -> None:
+        bars = bars_fn(spark.read.parquet(landed))
+        closed = bars if open_from is None else bars.filter(F.col("date") < open_from)
+        new = score_outcomes(predictions, closed, as_of, scored_at, outcomes=stored())
         new.write.mode("append").parquet(out)
 
-    q = (bars_stream.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(os.path.join(landed, f"batch={batch_id}"))
+        last_day = bars_fn(batch).agg(F.max("date")).first()[0]
+        if last_day is not None:
+            score(last_day)
+
+    q = (trade_stream.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+    score(None)
     return stored()
