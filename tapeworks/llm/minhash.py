@@ -5,10 +5,13 @@ minima give a signature; equal bands of signatures make candidates; those
 whose signatures agree often enough are compared on their full sets; the links
 that hold give components by alternating large-star and small-star.
 
-No bucket is expanded into all pairs: each member is compared to the bucket's
-smallest and largest class. Where a bucket then still holds more than one
-component, the pairs across components are compared too, so that no link
-between classes of a bucket is missed.
+No bucket is expanded into all pairs. Members with too many shingles of their
+own to be similar to any other are set aside (see ``_possible``), the others
+are compared to the member with the least share of such shingles, which is a
+group's original rather than one of its altered copies. Where a bucket then
+still holds more than one component, pairs across components are found by the
+rare shingles that linked sets must share (see ``_across``) and compared too,
+so that no link between classes of a bucket is missed.
 
 Defined results: a null text, an empty one or one without a word has an empty
 set and is linked with nothing; texts with fewer words than a shingle have one
@@ -27,7 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bitmaps, hashing
@@ -173,11 +176,9 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, s: Near) -> DataFrame:
     return found.join(wanted.withColumnRenamed("id", "rep"), "node").filter(F.col("id").eqNullSafe(F.col("rep"))).select("node", "shingles").dropDuplicates(["node"])
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, s: Near) -> DataFrame:
+def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, s: Near) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough."""
     alike = stored(_alike(pairs, nodes, s), "alike")
-    ends = alike.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    sets = stored(_sets_of(docs, stored(ends.join(nodes.select("node", "id"), "node").select("id", "node"), "wanted"), s), "sets")
     side = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"of_{end}"))
     both = alike.join(side("u"), "u").join(side("v"), "v")
     shared = F.size(F.array_intersect("of_u", "of_v"))
@@ -185,6 +186,56 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, s: Near) -> Data
     return stored(joined.select("u", "v"), "links")
 
 
+def _possible(rows: DataFrame, sets: DataFrame, s: Near) -> DataFrame:
+    """The rows (band, node, ...) that can have a link within their bucket, with n and f.
+
+    Of a node's ``n`` shingles, ``f`` occur in no other node of ``rows``. With
+    any partner it shares ``x = n - f`` at most, so its similarity to one of
+    size m or more is at most ``x / (n + max(m, x) - x)``. Rows for which that
+    is too little, m being their bucket's smallest size, have no link there:
+    nothing is lost, and copies that were changed too much leave their group
+    before any pair of it is looked at.
+    """
+    of_rows = stored(rows.select("node").distinct(), "row-nodes")
+    own = sets.join(of_rows, "node").select("node", F.explode("shingles").alias("shingle"))
+    once = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("nodes"), F.min("node").alias("node")).filter("nodes = 1")
+    f = once.groupBy("node").agg(F.count(F.lit(1)).alias("f"))
+    info = sets.join(of_rows, "node").select("node", F.size("shingles").alias("n")).join(f, "node", "left")
+    sized = stored(rows.join(stored(info.select("node", "n", F.coalesce("f", F.lit(0)).alias("f")), "node-sizes"), "node"), "sized-rows")
+    least = stored(sized.groupBy("band").agg(F.min("n").alias("m")), "bucket-sizes")
+    x = F.col("n") - F.col("f")
+    return sized.join(least, "band").filter(100 * x >= s.percent * (F.col("n") + F.greatest(F.col("m"), x) - x)).drop("m")
+
+
+def _across(apart: DataFrame, sets: DataFrame, s: Near) -> DataFrame:
+    """Pairs (u, v) of nodes (node, c, n) in different components that can be links.
+
+    With the shingles of all sets in one order, rarest first, two sets that
+    share o shingles share one among the first n - o + 1 of each. Links need
+    ``o >= t (n_u + n_v) / (1 + t)``, so altered copies meet by the changes
+    that they share, not by the text that their whole group shares.
+    """
+    own = stored(sets.join(apart, "node").select("node", "c", "n", F.explode("shingles").alias("shingle")), "apart-shingles")
+    counts = stored(own.groupBy("shingle").agg(F.count(F.lit(1)).alias("nodes")), "shingle-counts")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("nodes", "shingle"))
+    longest = F.col("n") - F.ceil(F.col("n") * s.percent / 100) + 1
+    first = own.join(counts, "shingle").withColumn("place", place).filter(F.col("place") <= longest).filter("nodes > 1")
+    first = stored(first.select("shingle", "node", "c", "n", "place"), "first-shingles")
+    several = first.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("shingle")
+    first = stored(first.join(stored(several, "meeting-shingles"), "shingle"), "meeting-rows")
+    side = lambda end: first.select("shingle", *[F.col(c).alias(f"{c}_{end}") for c in ("node", "c", "n", "place")])
+    need = F.ceil((F.col("n_u") + F.col("n_v")) * s.percent / (100 + s.percent))
+    early = (F.col("place_u") <= F.col("n_u") - need + 1) & (F.col("place_v") <= F.col("n_v") - need + 1)
+    met = side("u").join(side("v"), "shingle").filter((F.col("node_u") < F.col("node_v")) & (F.col("c_u") != F.col("c_v")) & early)
+    return met.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct()
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one component."""
+    mixed = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("band")
+    return placed.join(stored(mixed, "mixed"), "band")
+
+
 def members(docs: DataFrame, id_col: str, text_col: str, s: Near) -> DataFrame:
     """One row per document: (id, text_key, n_shingles, c); c names the component, null without words."""
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -196,22 +247,27 @@ def members(docs: DataFrame, id_col: str, text_col: str, s: Near) -> DataFrame:
         "nodes",
     )
     bands = _bands(nodes.select("node", "sig"), s)
-    buckets = stored(bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high"), "buckets")
+    buckets = stored(bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("band"), "buckets")
     shared = stored(bands.join(buckets, "band"), "shared-bands")
-    pair = lambda a, b: F.struct(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
-    stars = shared.select(F.explode(F.array(pair("node", "low"), pair("node", "high"))).alias("p")).select("p.*").filter("u <> v").distinct()
-    stars = stored(stars, "stars")
-    links = _links(stars, nodes, slim, s)
+    near_nodes = shared.select("node").distinct().join(nodes.select("node", "id"), "node").select("id", "node")
+    sets = stored(_sets_of(slim, stored(near_nodes, "near-nodes"), s), "sets")
+    # stars: every member of a bucket with its least unusual member
+    rows = _possible(shared, sets, s)
+    centres = rows.groupBy("band").agg(F.min(F.struct((F.col("f") / F.col("n")).alias("share"), "node")).alias("centre"), F.count(F.lit(1)).alias("members"))
+    centres = stored(centres.filter("members > 1").select("band", F.col("centre.node").alias("centre")), "centres")
+    ends = rows.join(centres, "band").filter("node <> centre")
+    stars = stored(ends.select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct(), "stars")
+    links = _links(stars, nodes, sets, s)
     labels = components(links)
     label = F.coalesce("component", "node")
-    placed = stored(shared.select("node", "band").join(labels, "node", "left").select("band", "node", label.alias("c")), "placed")
-    mixed = stored(placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("band"), "mixed")
-    rest = placed.join(mixed, "band").select("band", "node", "c")
-    other = rest.select("band", F.col("node").alias("v"), F.col("c").alias("c_v"))
-    across = rest.withColumnRenamed("node", "u").join(other, "band").filter((F.col("u") < F.col("v")) & (F.col("c") != F.col("c_v"))).select("u", "v").distinct()
+    # what the stars left apart within a bucket: pairs across components
+    placed = rows.select("node", "band").join(labels, "node", "left").select("band", "node", label.alias("c"))
+    placed = _mixed(stored(placed, "placed"))
+    rest = _mixed(stored(_possible(placed, sets, s), "possible"))
+    across = _across(stored(rest.select("node", "c", "n").distinct(), "apart"), sets, s)
     more = stored(across.join(stars, ["u", "v"], "left_anti"), "across")
     if not more.isEmpty():
-        labels = components(links.unionByName(_links(more, nodes, slim, s)))
+        labels = components(links.unionByName(_links(more, nodes, sets, s)))
     named = worded.select("id", "text_key", "n_shingles", "node").join(labels, "node", "left").select("id", "text_key", "n_shingles", label.alias("c"))
     return stored(named.unionByName(sketch.filter("node is null").select("id", "text_key", "n_shingles", F.lit(None).cast("long").alias("c"))), "members")
 
