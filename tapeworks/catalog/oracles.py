@@ -481,7 +481,7 @@ ORACLES["ds_5_outcome_labelled_set"] = present_sql(
       '{_lx.INSTRUCTION_EXTRACT}' as instruction,
       'Ticker: ' || ticker || chr(10) || 'Date: ' || cast(cast(published_at as date) as varchar) || chr(10)
         || 'Headline: ' || coalesce(title, '') || chr(10) || 'Article: ' || coalesce(body, '') || chr(10)
-        || 'MarketContext: ' || case when has_row then {jobject([(c, py_float_sql(c)) for c in _CTXC])} else '{{}}' end
+        || 'MarketContext: ' || case when has_row then {jobject([(c, py_float_sql(c)) for c in _CTXC[:3]])} else '{{}}' end
         as input,
       {jobject([("sentiment", jstr("sentiment")), ("sentiment_score", py_float_sql("sentiment_score")),
                 ("catalyst_type", jstr("catalyst_type")), ("company_specific", jbool("company_specific")),

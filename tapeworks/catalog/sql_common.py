@@ -3,9 +3,9 @@
 OHLCV_CTE = """
 ohlcv as (
   select upper(p_brand) as ticker, cast(l_shipdate as date) as date,
-         first(l_extendedprice order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as open,
+         first(l_extendedprice order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) as open,
          max(l_extendedprice) as high, min(l_extendedprice) as low,
-         last(l_extendedprice order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as close,
+         last(l_extendedprice order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) as close,
          sum(l_quantity) as volume
   from lineitem join part on l_partkey = p_partkey
   group by 1, 2

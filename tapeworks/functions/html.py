@@ -39,8 +39,8 @@ def strip_html(c: Column) -> Column:
     return F.regexp_replace(collapsed, r"^ | $", "")
 
 
-def article_body(html: Column) -> Column:
-    """STR-4: the first 12 stripped ``<p>`` blocks of >= 40 chars joined by newline;
+def article_body(html: Column, min_chars: int = MIN_PARAGRAPH_CHARS, max_paragraphs: int = MAX_PARAGRAPHS) -> Column:
+    """STR-4: the first ``max_paragraphs`` stripped ``<p>`` blocks of ``min_chars`` or more joined by newline;
     else the stripped meta description; else ''.
 
     Paragraphs are unescaped in one UDF call per page: tag-stripped blocks are
@@ -51,10 +51,10 @@ def article_body(html: Column) -> Column:
     notag = F.transform(paras, lambda p: F.regexp_replace(p, TAG_RE, " "))
     back = F.split(unescape_entities(F.array_join(notag, "\u0001")), "\u0001")
     clean = F.transform(back, lambda p: F.regexp_replace(F.regexp_replace(p, f"{WS_CLASS}+", " "), r"^ | $", ""))
-    kept = F.filter(clean, lambda p: F.length(p) >= MIN_PARAGRAPH_CHARS)
+    kept = F.filter(clean, lambda p: F.length(p) >= min_chars)
     meta = F.regexp_extract(src, META_DESCRIPTION_RE, 1)
     return (
-        F.when(F.size(kept) > 0, F.array_join(F.slice(kept, 1, MAX_PARAGRAPHS), "\n"))
+        F.when(F.size(kept) > 0, F.array_join(F.slice(kept, 1, max_paragraphs), "\n"))
         .when(meta != "", strip_html(meta))
         .otherwise(F.lit(""))
     )

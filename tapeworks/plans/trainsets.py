@@ -19,7 +19,10 @@ from ..operators.asof import asof_backward, trailing_top_n
 from ..schemas import NEWS_FEATURE_COLUMNS, PRIOR_FEATURE_COLUMNS
 from .news_events import catalyst
 
-CONTEXT_COLUMNS = ["ret_1d", "ret_5d", "volatility_20d", "future_ret_1d", "future_ret_5d", "future_ret_20d"]
+#: What the model sees by default: nothing that lies after the article. The wide list is an option.
+CONTEXT_COLUMNS = ["ret_1d", "ret_5d", "volatility_20d"]
+WIDE_CONTEXT_COLUMNS = [*CONTEXT_COLUMNS, "future_ret_1d", "future_ret_5d", "future_ret_20d"]
+LABEL_COLUMNS = ["future_ret_1d", "future_ret_5d", "future_ret_10d", "future_ret_20d"]
 
 
 def _py_max_abs(a: Column, b: Column) -> Column:
@@ -31,7 +34,7 @@ def _py_max_abs(a: Column, b: Column) -> Column:
 def outcome_labelled(news: DataFrame, features: DataFrame, context_columns=CONTEXT_COLUMNS) -> DataFrame:
     """DS-5 (R3): extraction targets labelled with the realised outcome of the
     latest bar at or before the article's UTC day (JOIN-4)."""
-    right = features.select("ticker", "date", "rapid_move", *set(CONTEXT_COLUMNS + ["future_ret_10d"]))
+    right = features.select("ticker", "date", "rapid_move", *dict.fromkeys([*CONTEXT_COLUMNS, *context_columns, *LABEL_COLUMNS]))
     right = right.withColumn("_row", F.lit(True))
     rcols = [c for c in right.columns if c not in ("ticker", "date")]
     base = news.select(

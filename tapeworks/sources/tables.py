@@ -44,14 +44,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ohlcv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily OHLCV bars keyed (ticker, date).
 
-    open/close are the first/last price by the full lineitem key (the key
-    ``(l_orderkey, l_linenumber)`` alone is not unique). ``min_by``/``max_by``
-    are partial aggregates, so a hot brand is combined map-side before the
-    shuffle. Part is joined by Spark's own choice: AQE broadcasts it only when
+    open/close are the first/last price by (order, line, part, price), packed
+    into one fixed-width number, so that ``min_by``/``max_by`` run as a hash
+    aggregate; a hot brand is combined map-side before the shuffle. Part is joined by Spark's own choice: AQE broadcasts it only when
     its runtime size is under the broadcast threshold.
     """
     li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate"
+        "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_shipdate"
     )
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     return bars_from_lineitem(li, part)
@@ -66,7 +65,12 @@ def lineitem_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bars_from_lineitem(li: DataFrame, part: DataFrame) -> DataFrame:
     """Daily bars from trade lines (see :func:`ohlcv`)."""
-    k = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    order_line = F.col("l_orderkey").cast("long") * 1000 + F.col("l_linenumber")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("decimal(10,0)")
+    k = (
+        order_line.cast("decimal(17,0)") * F.lit("1" + "0" * 21).cast("decimal(22,0)")
+        + F.col("l_partkey").cast("decimal(11,0)") * F.lit(10**10).cast("decimal(11,0)") + cents
+    ).cast("decimal(38,0)")
     return (
         li.join(part, li.l_partkey == part.p_partkey)
         .groupBy(F.upper("p_brand").alias("ticker"), F.to_date("l_shipdate").alias("date"))
