@@ -35,6 +35,8 @@ from . import chunks
 from .common import executors_tasks, scratch_path, stored, text_of
 
 END_ID = 2
+#: Chunks that a worker keeps the ids of, some 150 MB.
+CACHED_CHUNKS = 700_000
 SHARD_SCHEMA = "part int, shard int, doc_ids array<bigint>, doc_tokens array<bigint>, n_tokens bigint, base int, rules binary, lengths binary, sequence binary"
 #: A character that no blank class knows; only before these is a blank surely the start of a pre-token.
 SOLID = re.compile(r" (?=[!-~¡-¬®-ᙿᚁ-᠍᠐-῿‐-‧‰-⁞⁰-⿿、-퟿-﻾＀-\U0010ffff])")
@@ -59,7 +61,7 @@ class BpeEncoder:
     the two pre-tokens that they are; others go through its whole encoding.
     """
 
-    def __init__(self, path: str, cached_chunks: int = 400_000):
+    def __init__(self, path: str, cached_chunks: int = CACHED_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -95,7 +97,7 @@ class BpeEncoder:
         others = []
         for i, c in enumerate(parts):
             body = c.rstrip(MARKS)
-            if body.isalpha() and max(body) < LATIN_END:
+            if body.isalpha() and (body.isascii() or max(body) < LATIN_END):
                 own = self._word(" " + body)
                 out.append(own + self._word(c[len(body) :]) if len(body) < len(c) else own)
             else:
@@ -257,7 +259,7 @@ class Shard:
         return np.array(out, np.uint32)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 1 << 20, cached_chunks: int = 400_000) -> str:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 1 << 20, cached_chunks: int = CACHED_CHUNKS) -> str:
     """Encode every text and write the shards in ascending order of ids."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).repartitionByRange(executors_tasks(spark), "id").sortWithinPartitions("id", F.xxhash64("text"))
