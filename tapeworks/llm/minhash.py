@@ -39,6 +39,10 @@ from .common import NOT_BLANK, stored
 from .components import components
 
 
+#: Text that a worker shingles at once.
+SLICE_BYTES = 2 << 20
+
+
 @dataclass(frozen=True)
 class Near:
     """At 32 bands of 4 minima a pair at the threshold shares no band with
@@ -109,7 +113,7 @@ def _sketch(docs: DataFrame, s: Near) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(1), SLICE_BYTES):
                 flat, sizes = shingle_sets(batch.column(1).slice(a, b - a), s.shingle)
                 some = sizes > 0
                 node, sig = np.zeros(len(sizes), np.uint64), np.full(len(sizes), None, object)
@@ -162,7 +166,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, s: Near) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.filter(pa.array(bitmaps.maybe_in(marked.value, batch.column(2).to_numpy(), log2)))
-            for a, b in slices(own.column(1)):
+            for a, b in slices(own.column(1), SLICE_BYTES):
                 flat, sizes = shingle_sets(own.column(1).slice(a, b - a), s.shingle)
                 some = sizes > 0
                 if not some.any():
