@@ -352,7 +352,8 @@ def ds_9(spark, sf_dir):
 
     feats = features_panel(spark, sf_dir)
     # the serving universe: what is no benchmark, and a listed ticker that never traded
-    tickers = tb.universe(spark, sf_dir).filter("is_benchmark = 0").select("ticker").union(spark.sql("select 'BRAND#99'"))
+    never_traded = spark.range(99, 100).select(F.concat(F.lit("BRAND#"), F.col("id").cast("string")))
+    tickers = tb.universe(spark, sf_dir).filter("is_benchmark = 0").select("ticker").union(never_traded)
     out = predict_all(feats, dense_news(spark, sf_dir), priors(spark, sf_dir), ev.linear_score(MODEL_A), tickers=tickers)
     return out.select(
         *[c for c in out.columns if c not in ("main_drivers", "risk_flags")],
