@@ -96,15 +96,17 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(flat: np.ndarray, sizes: np.ndarray, s: Near) -> np.ndarray:
-    """One row of minima per non-empty set, of the multiply-add hashes modulo 2**32."""
+    """One row per non-empty set: the minima of multiply-add hashes modulo 2**32, 16 bits of each.
+
+    Equal minima stay equal; different ones pass for equal once in 65,536."""
     rng = np.random.default_rng(s.seed)
     n = s.bands * s.rows
     a, b = rng.integers(0, 1 << 32, n, np.uint64).astype(np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, n, np.uint64).astype(np.uint32)
     x = (flat >> np.uint64(32)).astype(np.uint32)
     starts = (np.cumsum(sizes) - sizes)[sizes > 0]
-    out = np.empty((len(starts), n), np.uint32)
+    out = np.empty((len(starts), n), np.uint16)
     for j in range(n if len(starts) else 0):
-        out[:, j] = np.minimum.reduceat(x * a[j] + b[j], starts)
+        out[:, j] = np.minimum.reduceat(x * a[j] + b[j], starts).astype(np.uint16)
     return out
 
 
@@ -127,17 +129,21 @@ def _sketch(docs: DataFrame, s: Near) -> DataFrame:
     return docs.withColumn("key", F.xxhash64("text")).mapInArrow(run, "id long, text_key long, n_shingles long, node long, sig binary")
 
 
-def _bands(nodes: DataFrame, s: Near) -> DataFrame:
-    """(node, band): one row for each band of each signature."""
+def _bands(nodes: DataFrame, s: Near, marked=None, log2: int = 0) -> DataFrame:
+    """(node, band): one row for each band of each signature; with a bitmap, for those that may be in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd = np.array([pow(hashing.B, 2 * i + 5, 1 << 64) for i in range(s.rows)], np.uint64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, s.bands, s.rows).astype(np.uint64)
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, s.bands, s.rows).astype(np.uint64)
             band = hashing.mix((sig * odd).sum(axis=2, dtype=np.uint64) + np.arange(s.bands, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), s.bands)), pa.array(band.view(np.int64).ravel())], ["node", "band"])
+            node, band = np.repeat(batch.column(0).to_numpy(), s.bands), band.ravel()
+            if marked is not None:
+                keep = bitmaps.maybe_in(marked.value, band, log2)
+                node, band = node[keep], band[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(band.view(np.int64))], ["node", "band"])
 
     return nodes.mapInArrow(run, "node long, band long")
 
@@ -149,7 +155,7 @@ def _alike(pairs: DataFrame, nodes: DataFrame, s: Near) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in (2, 3))
+            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in (2, 3))
             good = (left == right).mean(axis=1) >= s.least_agreement()
             yield batch.select([0, 1]).filter(pa.array(good))
 
@@ -252,7 +258,10 @@ def members(docs: DataFrame, id_col: str, text_col: str, s: Near) -> DataFrame:
     )
     bands = _bands(nodes.select("node", "sig"), s)
     buckets = stored(bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("band"), "buckets")
-    shared = stored(bands.join(buckets, "band"), "shared-bands")
+    # a bounded bitmap of the buckets with several nodes keeps the other bands from a second shuffle
+    log2 = bitmaps.log2_bits(buckets.count())
+    marked = docs.sparkSession.sparkContext.broadcast(bitmaps.filled_cells(buckets, "band", 1, log2))
+    shared = stored(_bands(nodes.select("node", "sig"), s, marked, log2).join(buckets, "band"), "shared-bands")
     near_nodes = shared.select("node").distinct().join(nodes.select("node", "id"), "node").select("id", "node")
     sets = stored(_sets_of(slim, stored(near_nodes, "near-nodes"), s), "sets")
     # stars: every member of a bucket with its least unusual member
