@@ -27,15 +27,16 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def segments(data: np.ndarray, ends: np.ndarray, size: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def segments(data: np.ndarray, ends: np.ndarray, size: int, k: int, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of starts with one anchor: (first start, number of starts, place of the anchor, its hash).
 
     ``ends`` has 0 and the end of each text in ``data``; only strings within a
-    text count. Data beyond ``PIECE`` bytes are handled in pieces that overlap.
+    text count. Data beyond ``piece`` bytes (``PIECE`` at most, ``size`` at least)
+    are handled in pieces that overlap by ``size - 1``, so that each start is in one.
     """
     out, n = [], len(data)
-    for a in range(0, max(0, n - size + 1), PIECE - size):
-        part = data[a : a + PIECE]
+    for a in range(0, max(0, n - size + 1), piece - size + 1):
+        part = data[a : a + piece]
         if len(part) < size:
             break
         sums = hashing.running(part)

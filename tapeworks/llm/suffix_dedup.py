@@ -123,13 +123,13 @@ def _flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(large.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]], ends - ends[0]
 
 
-def _repeated_anchors(texts: DataFrame, size: int, k: int) -> DataFrame:
+def _repeated_anchors(texts: DataFrame, size: int, k: int, piece: int) -> DataFrame:
     """Hashes of anchors with two segments or more, counted within tasks first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x, y in slices(batch.column(0), SLICE_BYTES):
-                h, n = np.unique(anchors.segments(*_flat(batch.column(0).slice(x, y - x)), size, k)[3], return_counts=True)
+                h, n = np.unique(anchors.segments(*_flat(batch.column(0).slice(x, y - x)), size, k, piece)[3], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
     return texts.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
@@ -138,7 +138,7 @@ def _repeated_anchors(texts: DataFrame, size: int, k: int) -> DataFrame:
 _SEGMENT = "k1 long, k2 long, first long, h long, c long, copies long, anchor_at long, n_starts long, content binary"
 
 
-def _segments(texts: DataFrame, marked, log2: int, size: int, k: int) -> DataFrame:
+def _segments(texts: DataFrame, marked, log2: int, size: int, k: int, piece: int) -> DataFrame:
     """Two kinds of rows: occurrences (k1, k2, first, h, c), and each slice's distinct contents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +152,7 @@ def _segments(texts: DataFrame, marked, log2: int, size: int, k: int) -> DataFra
             k1, k2 = (batch.column(i).to_numpy() for i in (1, 2))
             for x, y in slices(batch.column(0), SLICE_BYTES):
                 data, ends = _flat(batch.column(0).slice(x, y - x))
-                first, n, place, h = anchors.segments(data, ends, size, k)
+                first, n, place, h = anchors.segments(data, ends, size, k, piece)
                 maybe = bitmaps.maybe_in(marked.value, h, log2) if len(h) else np.zeros(0, bool)
                 first, n, place, h = first[maybe], n[maybe], place[maybe], h[maybe]
                 if not len(h):
@@ -241,14 +241,14 @@ def _cut(pairs, text: str, size: int) -> tuple[int, int, str]:
     return int(gone.sum()), int((np.diff(np.append(False, gone).astype(np.int8)) == 1).sum()), hashlib.sha256(left).hexdigest()
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text", size: int = SIZE, k: int = ANCHOR) -> DataFrame:
+def repeated_spans(docs: DataFrame, text_col: str = "text", size: int = SIZE, k: int = ANCHOR, piece: int = anchors.PIECE) -> DataFrame:
     """(k1, k2, spans): for texts that hold repeated strings, by their hash, runs [first, end) of starts."""
     spark = docs.sparkSession
     texts = docs.select(text_of(text_col).alias("text")).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})
-    repeated = stored(_repeated_anchors(texts, size, k), "anchors")
+    repeated = stored(_repeated_anchors(texts, size, k, piece), "anchors")
     log2 = bitmaps.log2_bits(repeated.count())
     marked = spark.sparkContext.broadcast(bitmaps.filled_cells(repeated, "h", 1, log2))
-    rows = stored(_segments(texts, marked, log2, size, k), "segments", compression="zstd")
+    rows = stored(_segments(texts, marked, log2, size, k, piece), "segments", compression="zstd")
     contents = rows.filter("content is not null").groupBy("h", "c", "anchor_at", "n_starts", "content").agg(F.sum("copies").alias("copies"))
     contents = stored(contents, "contents", compression="zstd")
     hot = stored(contents.groupBy("h").count().filter(F.col("count") > HOT_ROWS).select("h"), "hot-anchors")
@@ -262,9 +262,9 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", size: int = SIZE, k:
     return found.groupBy("k1", "k2").agg(F.collect_set(span).alias("spans"))
 
 
-def cut_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, k: int = ANCHOR) -> DataFrame:
+def cut_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, k: int = ANCHOR, piece: int = anchors.PIECE) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256."""
-    spans = stored(repeated_spans(docs, text_col, size, k), "spans")
+    spans = stored(repeated_spans(docs, text_col, size, k, piece), "spans")
     base = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})
     joined = base.join(spans, ["k1", "k2"], "left").select("id", "text", F.transform("spans", lambda s: F.array(s["first"], s["end"])).alias("spans"))
 

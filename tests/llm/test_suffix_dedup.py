@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tapeworks.llm import suffix_dedup
+from tapeworks.llm import anchors, suffix_dedup
 
 from .conftest import edge_rows, same_rows
 
@@ -56,5 +56,30 @@ def test_rows_are_merged_in_pieces(spark, monkeypatch):
     same_rows(suffix_dedup.cut_table(spark.createDataFrame(rows, "doc_id long, text string"), size=30, k=12).collect(), brute(rows, 30))
 
 
+@pytest.mark.parametrize("n", [2047, 2048, 9000])
+def test_each_start_is_in_one_piece(n):
+    data = np.random.default_rng(n).integers(97, 123, n).astype(np.uint8)
+    first, count, _, h = anchors.segments(data, np.array([0, n]), 200, 64, 2047)
+    starts = np.concatenate([np.arange(a, a + m) for a, m in zip(first, count)])
+    assert sorted(starts) == list(range(n - 199))
+    own = anchors.segments(data, np.array([0, n]), 200, 64)
+    assert n > 2047 or sorted(h) == sorted(own[3])
+
+
+def test_text_without_repeats_over_several_pieces(spark):
+    rng = random.Random(2)
+    unique = "".join(rng.choice("abcdefgh") for _ in range(9000))
+    got = suffix_dedup.cut_table(spark.createDataFrame([(1, unique)], "doc_id long, text string"), piece=2047).collect()
+    assert [tuple(r) for r in got] == [(1, 9000, 0, 0, hashlib.sha256(unique.encode()).hexdigest())]
+    rows = [(1, unique), (2, unique[1700:2300] + "!" + unique[5000:5300]), *passages(8, 50)]
+    same_rows(suffix_dedup.cut_table(spark.createDataFrame(rows, "doc_id long, text string"), piece=2047).collect(), brute(rows, 200))
+
+
+def test_text_beyond_the_piece_size(spark):
+    data = np.random.default_rng(6).integers(97, 123, (1 << 21) + 5000).astype(np.uint8).tobytes().decode()
+    got = suffix_dedup.cut_table(spark.createDataFrame([(1, data)], "doc_id long, text string")).collect()
+    assert [(r.n_removed, r.n_spans) for r in got] == [(0, 0)]
+
+
 def test_empty_table(no_docs):
     assert suffix_dedup.cut_table(no_docs).count() == 0
