@@ -167,6 +167,25 @@ def _segments(texts: DataFrame, marked, log2: int, size: int, k: int, piece: int
     return texts.mapInArrow(run, _SEGMENT)
 
 
+def _whole_anchors(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
+    """Rows sorted by their first column, given out once ``least`` are held, up to the last value, which may go on."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        count += batch.num_rows
+        if count >= least and held[0].column(0)[0] != batch.column(0)[-1]:
+            rows = pa.Table.from_batches(held)
+            h = rows.column(0).to_numpy()
+            cut = int(np.flatnonzero(h != h[-1])[-1]) + 1
+            yield rows.slice(0, cut).combine_chunks()
+            held, count = rows.slice(cut).to_batches(), rows.num_rows - cut
+    if count:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 _RUNS = "h long, c long, start long, n long"
 
 
@@ -178,8 +197,6 @@ def _merge(contents: DataFrame, size: int, k: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
         def close(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             h, c, copies, at, n = (rows.column(i).to_numpy() for i in range(5))
             starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
@@ -196,20 +213,8 @@ def _merge(contents: DataFrame, size: int, k: int) -> DataFrame:
             _, end = np.nonzero(edge == -1)
             yield pa.RecordBatch.from_arrays([pa.array(h[row]), pa.array(c[row]), pa.array(begin - (size - k - at)[row]), pa.array(end - begin)], ["h", "c", "start", "n"])
 
-        count = 0
-        for batch in batches:
-            held.append(batch)
-            count += batch.num_rows
-            if count >= MERGE_ROWS:
-                rows = pa.Table.from_batches(held)
-                h = rows.column(0).to_numpy()
-                cut = int(np.searchsorted(h != h[-1], False, "left")) if h[0] != h[-1] else 0
-                cut = int(np.flatnonzero(h != h[-1])[-1]) + 1 if cut else 0
-                if cut:
-                    yield from close(rows.slice(0, cut).combine_chunks())
-                    held, count = rows.slice(cut).to_batches(), rows.num_rows - cut
-        if count:
-            yield from close(pa.Table.from_batches(held).combine_chunks())
+        for rows in _whole_anchors(batches, MERGE_ROWS):
+            yield from close(rows)
 
     dealt = contents.select("h", "c", "copies", "anchor_at", "n_starts", "content").repartition(executors_tasks(contents.sparkSession), "h").sortWithinPartitions("h")
     return dealt.mapInArrow(run, _RUNS)

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tapeworks.llm import anchors, suffix_dedup
@@ -81,5 +82,44 @@ def test_text_beyond_the_piece_size(spark):
     assert [(r.n_removed, r.n_spans) for r in got] == [(0, 0)]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_whole_anchors_are_given_out_on_the_way(seed):
+    rng = np.random.default_rng(seed)
+    h = np.sort(rng.integers(-300, 300, 4000))
+    h[1000:2200] = h[1000]  # one anchor over several batches
+    batches = [pa.RecordBatch.from_arrays([pa.array(h[a : a + 100]), pa.array(np.arange(a, a + 100))], ["h", "row"]) for a in range(0, 4000, 100)]
+    taken, closed = 0, []
+
+    def counted():
+        nonlocal taken
+        for batch in [batches[0].slice(0, 0), *batches]:
+            taken += batch.num_rows
+            yield batch
+
+    held = []
+    for rows in suffix_dedup._whole_anchors(counted(), 500):
+        held.append(taken - sum(len(x) for x in closed))
+        closed.append(rows.column(0).to_numpy())
+    assert len(closed) >= 5 and max(held) <= 1200 + 600
+    assert (np.concatenate(closed) == h).all()
+    assert all(a[-1] < b[0] for a, b in zip(closed, closed[1:]))
+
+
+def test_tasks_merge_more_than_once(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MERGE_ROWS", 5)
+    closes = spark.sparkContext.accumulator(0)
+    whole = suffix_dedup._whole_anchors
+
+    def counted(batches, least):
+        for rows in whole(batches, least):
+            closes.add(1)
+            yield rows
+
+    monkeypatch.setattr(suffix_dedup, "_whole_anchors", counted)
+    rows = passages(8, 50)
+    same_rows(suffix_dedup.cut_table(spark.createDataFrame(rows, "doc_id long, text string"), size=30, k=12).collect(), brute(rows, 30))
+    assert closes.value > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_empty_table(no_docs):
     assert suffix_dedup.cut_table(no_docs).count() == 0
