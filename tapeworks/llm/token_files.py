@@ -2,8 +2,9 @@
 
 Documents are dealt by ranges of their ids, encoded, closed with an end id and
 packed into shards of whole documents. Each shard is compressed on its own by
-Re-Pair: the frequent pairs of neighbouring symbols become nonterminals, again
-and again, until no pair is frequent. A file row holds the shard's document
+Re-Pair: the frequent pairs of neighbouring symbols (16 places or more) become
+nonterminals, again and again, until no pair is frequent; symbols take 16 bits,
+or 32 where there are more than 65,536. A file row holds the shard's document
 ids and token counts, the rules, each rule's expansion length and the
 remaining sequence as little-endian integers; the expansion lengths let any
 token range be decoded without its predecessors. Files are Parquet tables of
@@ -160,51 +161,65 @@ def _encoder(path: str, cached_chunks: int) -> BpeEncoder:
     return BpeEncoder(path, cached_chunks)
 
 
-def compress(ids: np.ndarray, base: int, least: int = 16, rules_a_round: int = 4096, rounds: int = 8, least_gain: float = 0.03) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _by_pair(seq: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``places`` sorted by the pair that stands there, where each pair begins among them, and how many it has."""
+    left, right = seq[places].astype(np.uint64), seq[places + 1].astype(np.uint64)
+    bits, low = int(seq.max()).bit_length(), len(places).bit_length()
+    if 2 * bits + low <= 64:  # one number holds pair and place
+        packed = ((left << np.uint64(bits) | right) << np.uint64(low)) | np.arange(len(places), dtype=np.uint64)
+        packed.sort()
+        key = packed >> np.uint64(low)
+        places = places[(packed & np.uint64((1 << low) - 1)).astype(np.int64)]
+    else:
+        key = (left << np.uint64(32)) | right
+        order = np.argsort(key, kind="stable")
+        key, places = key[order], places[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return places, first, np.diff(np.append(first, len(key)))
+
+
+def compress(ids: np.ndarray, base: int, least: int = 16, rules_a_round: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: (rules, expansion length of each rule, remaining sequence).
 
-    Each round counts all neighbouring pairs, makes nonterminals of the most
-    frequent ones and replaces them; of overlapping places every other one is
-    taken, from the left. Rounds go on until no pair is frequent or a round
-    shortens the sequence by less than ``least_gain``.
+    Each round counts the neighbouring pairs exactly, makes nonterminals of
+    the most frequent ones and replaces them; of overlapping places every other
+    one is taken, from the left. Rounds go on until no pair stands at ``least``
+    places. Pairs of old symbols only get rarer, so after the first round those
+    that were frequent and those with a new symbol are counted.
     """
     seq = ids.astype(np.uint32)
     rules, lengths = np.zeros((0, 2), np.uint32), np.zeros(0, np.uint32)
-    for _ in range(rounds):
-        room = min(rules_a_round, (1 << 16) - base - len(rules) if base < 1 << 16 else rules_a_round)
-        if len(seq) < 2 or room <= 0:
-            break
-        key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        cell = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.uint32)
-        stands = np.zeros(1 << 20, np.uint64)
-        stands[cell] = key  # the pair a cell counts; one that shares its cell may come in a later round
-        places = np.flatnonzero(stands[cell] == key)
-        counts = np.bincount(cell[places], minlength=1 << 20)
+    may = np.arange(len(seq)) < len(seq) - 1  # places whose pair may be frequent
+    while may.any():
+        places, first, counts = _by_pair(seq, np.flatnonzero(may))
         often = np.flatnonzero(counts >= least)
+        may[:] = False
+        may[places[chunks.ranges(first[often], counts[often])]] = True
         if not len(often):
             break
-        often = np.sort(often[np.argsort(-counts[often], kind="stable")[:room]])
-        number = np.full(1 << 20, -1, np.int32)
-        number[often] = np.arange(len(often))
-        chosen, rule = stands[often], number[cell[places]]
-        places, rule = places[rule >= 0], rule[rule >= 0]
-        new_run = np.append(True, np.diff(places) != 1)
-        run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(places)), 0))
-        take = (np.arange(len(places)) - run_start) % 2 == 0
-        places, rule = places[take], rule[take]
-        used, rule = np.unique(rule, return_inverse=True)
-        chosen = chosen[used]
-        size = lambda s: np.where(s < base, 1, np.append(lengths, 0)[np.minimum(np.maximum(s, base) - base, len(lengths))])
-        left, right = (chosen >> np.uint64(32)).astype(np.uint32), (chosen & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        before = len(seq)
-        seq[places] = base + len(rules) + rule
-        keep = np.ones(before, bool)
+        often = np.sort(often[np.argsort(-counts[often], kind="stable")[:rules_a_round]])
+        at = places[first[often]]
+        number = np.full(len(seq), -1, np.int32)
+        number[places[chunks.ranges(first[often], counts[often])]] = np.repeat(np.arange(len(often)), counts[often])
+        places = np.flatnonzero(number >= 0)
+        run = np.append(True, np.diff(places) != 1)
+        run_start = np.maximum.accumulate(np.where(run, np.arange(len(places)), 0))
+        places = places[(np.arange(len(places)) - run_start) % 2 == 0]
+        taken = np.bincount(number[places], minlength=len(often)) > 0
+        rule = (np.cumsum(taken) - 1)[number[places]]
+        pairs = np.stack([seq[at], seq[at + 1]], axis=1)[taken]
+        size = np.where(pairs < base, 1, np.append(lengths, 0)[np.minimum(np.maximum(pairs, base) - base, len(lengths))])
+        new = base + len(rules)
+        seq[places] = new + rule
+        keep = np.ones(len(seq), bool)
         keep[places + 1] = False
-        seq = seq[keep]
-        lengths = np.append(lengths, (size(left) + size(right)).astype(np.uint32))
-        rules = np.vstack([rules, np.stack([left, right], axis=1)])
-        if before - len(seq) < least_gain * before:
-            break
+        seq, may = seq[keep], may[keep]
+        fresh = seq >= new
+        may |= fresh
+        may[:-1] |= fresh[1:]
+        may[-1] = False
+        lengths = np.append(lengths, size.sum(axis=1).astype(np.uint32))
+        rules = np.vstack([rules, pairs])
     return rules, lengths, seq
 
 

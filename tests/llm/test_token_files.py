@@ -65,3 +65,40 @@ def test_small_sequences(ids):
     rules, lengths, seq = token_files.compress(ids, 100, least=2)
     shard = token_files.Shard(100, rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), seq.astype("<u2").tobytes())
     assert shard.whole().tolist() == ids.tolist() and shard.some(0, len(ids)).tolist() == ids.tolist()
+
+
+def no_pair_left(seq, least):
+    pairs = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
+    return not len(pairs) or np.unique(pairs, return_counts=True)[1].max() < least
+
+
+def phrase_ids(seed):
+    rng = np.random.default_rng(seed)
+    phrases = [rng.integers(0, 300, rng.integers(2, 700)) for _ in range(30)]
+    return np.concatenate([phrases[rng.integers(30)] for _ in range(400)] + [np.full(999, 7)]).astype(np.uint32)
+
+
+def test_many_pairs_until_none_is_frequent():
+    rng = np.random.default_rng(1)
+    pair = rng.permutation(np.repeat(np.arange(20000), 16))
+    ids = np.stack([2 * pair, 2 * pair + 1], axis=1).ravel().astype(np.uint32)
+    rules, lengths, seq = token_files.compress(ids, 50257)
+    assert len(rules) >= 20000 and no_pair_left(seq, 16)
+    shard = token_files.Shard(50257, rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), seq.astype("<u4").tobytes())
+    assert (shard.whole() == ids).all() and shard.some(100_001, 50).tolist() == ids[100_001:100_051].tolist()
+
+
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("rules_a_round", [5, 4096])
+def test_long_phrases_until_none_is_frequent(seed, rules_a_round):
+    ids = phrase_ids(seed)
+    rules, lengths, seq = token_files.compress(ids, 300, least=4, rules_a_round=rules_a_round)
+    assert no_pair_left(seq, 4)
+    shard = token_files.Shard(300, rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), seq.astype(token_files._wide(300, len(rules))).tobytes())
+    assert (shard.whole() == ids).all()
+
+
+def test_large_symbols_give_the_same_rules():
+    ids, up = phrase_ids(9), np.uint32(1 << 30)
+    small, large = token_files.compress(ids, 300), token_files.compress(ids + up, 300 + (1 << 30))
+    assert len(small[0]) and all((a + u == b).all() for a, b, u in zip(small, large, (up, np.uint32(0), up)))
