@@ -1,4 +1,4 @@
-"""Repeated byte strings by merged Burrows-Wheeler orders (operator 7).
+"""Repeated byte strings by one suffix order for each anchor (operator 7).
 
 Every byte covered by a string of ``size`` bytes that also starts elsewhere is
 removed. The suffixes of one task would not fit anywhere, so strings are first
@@ -7,8 +7,8 @@ equal places, and only segments whose anchor occurs twice or more travel, each
 distinct one once with its number of occurrences.
 
 The segments that meet at an anchor come from all shards and stand aligned at
-it. Their suffix order is merged as in the merging of Burrows-Wheeler
-transforms, by refining one interleave: from the last column to the first, the
+it. No shard's suffix order or Burrows-Wheeler transform is built or merged;
+segments start in input order, and from the last column to the first, the
 order of the suffixes that begin at column c is the order at column c + 1,
 stably dealt by the symbols at c (the LF step), and nothing is sorted anew.
 Along with it goes, for neighbours, the column where their common prefix ends;
