@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, line_dedup, minhash, mixing, pieces, quality, suffix_dedup, token_files, warc
+from . import exact_dedup, langid, line_dedup, minhash, mixing, pieces, pii, quality, suffix_dedup, token_files, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,8 +64,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_table(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_exact_dedup, op4_line_dedup, op5_mixing, op6_minhash, op7_suffix_array, op8_language_id, op9_warc, op10_token_files)
+    f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_exact_dedup, op4_line_dedup, op5_mixing, op6_minhash, op7_suffix_array, op8_language_id, op9_warc, op10_token_files, op11_pii)
 }
 
 ORACLES: dict[str, str] = {
@@ -74,4 +78,5 @@ ORACLES: dict[str, str] = {
     "op4_line_dedup": line_dedup.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op9_warc": warc.ORACLE,
+    "op11_pii": pii.ORACLE,
 }
