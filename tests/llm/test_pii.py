@@ -88,7 +88,7 @@ def test_checksums_and_context_decide_added_kinds(spark):
         ("order call 212-555-7890", []),
         ("SSN: 123-45-6789", [("ssn", 65)]),
         ("ssn 000-45-6789, ssn 123-00-6789", []),
-        ("call 10.0.0.1 or +1 212 555-7890", [("ip", 60), ("phone", 70)]),  # nothing added inside a base span
+        ("call 10.0.0.1 or +1 212 555-7890", [("ip", 60), ("phone", 95)]),  # nothing added inside a base span
         ("host 10.0.0.1", [("ip", 85)]),
         ("version 10.0.0.1", [("ip", 35)]),
     ]
