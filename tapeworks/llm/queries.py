@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, line_dedup, minhash, mixing, negatives, pieces, pii, quality, suffix_dedup, token_files, warc
+from . import exact_dedup, langid, line_dedup, minhash, mixing, negatives, phrases, pieces, pii, quality, suffix_dedup, token_files, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,12 +68,16 @@ def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_table(table(spark, sf_dir, "documents"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mined(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.negatives_table(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_exact_dedup, op4_line_dedup, op5_mixing, op6_minhash, op7_suffix_array, op8_language_id, op9_warc, op10_token_files, op11_pii, op13_hard_negatives)
+    f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_exact_dedup, op4_line_dedup, op5_mixing, op6_minhash, op7_suffix_array, op8_language_id, op9_warc, op10_token_files, op11_pii, op12_phrases, op13_hard_negatives)
 }
 
 ORACLES: dict[str, str] = {
@@ -83,5 +87,6 @@ ORACLES: dict[str, str] = {
     "op5_mixing": mixing.ORACLE,
     "op9_warc": warc.ORACLE,
     "op11_pii": pii.ORACLE,
+    "op12_phrases": phrases.ORACLE,
     "op13_hard_negatives": negatives.ORACLE,
 }
