@@ -34,14 +34,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import bitmaps
-from .chunks import ranges, slices
+from . import bitmaps, hashing
+from .chunks import slices
 from .common import stored
 
 LONGEST = 5
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 #: Rows of counts that a task holds before it sums and, if they stay, hands them on.
-HELD_ROWS = 1 << 20
+HELD_ROWS = 1 << 18
 SALTS = 32
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 GAPS = b" \t"
@@ -61,8 +61,11 @@ _KIND[list(PIECE_ENDS)] = 2
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_hash(lang: str, word: str) -> int:
-    return xxhash.xxh3_64_intdigest(f"{lang}\0{word}".encode())
+def word_hashes(words: pa.LargeStringArray, lang: str) -> np.ndarray:
+    """Hashes of the words of one language, for filters only."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[: int(offsets[-1])]
+    return hashing.mix(hashing.of_ranges(hashing.running(data), offsets[:-1], offsets[1:]) ^ np.uint64(xxhash.xxh3_64_intdigest(lang.encode())))
 
 
 def extended(h: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -71,12 +74,16 @@ def extended(h: np.ndarray, words: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def phrase_hash(lang: str, phrase: str) -> int:
-    own = [np.array([word_hash(lang, w)], np.uint64) for w in phrase.split(" ")]
-    h = own[0]
-    for w in own[1:]:
-        h = extended(h, w)
-    return int(h[0])
+def phrase_hashes(phrases: pa.Array, lang: str) -> np.ndarray:
+    split = pc.split_pattern(phrases.cast(pa.large_string()), " ")
+    sizes = split.value_lengths().to_numpy(zero_copy_only=False)
+    flat = pa.concat_arrays([split.flatten().slice(0, 0), split.flatten()])
+    own, starts = word_hashes(flat, lang) if len(flat) else np.zeros(0, np.uint64), np.cumsum(sizes) - sizes
+    h = own[starts]
+    for k in range(1, LONGEST):
+        more = sizes > k
+        h[more] = extended(h[more], own[starts[more] + k])
+    return h
 
 
 class Slice:
@@ -89,16 +96,10 @@ class Slice:
         kind = _KIND[data]
         inside = kind == 0
         text_starts = (np.cumsum(sizes) - sizes)[sizes > 0]
-        begins = inside.copy()
-        begins[1:] &= ~inside[:-1]
-        first = np.zeros(len(data), bool)
-        first[text_starts] = True
-        begins |= first & inside
-        starts = np.flatnonzero(begins)
-        # a word ends before what is no word or before the next text
-        stops = ~inside | first
-        at = np.flatnonzero(stops)
-        ends = np.append(at, len(data))[np.searchsorted(at, starts, "right")]
+        first = np.zeros(len(data) + 1, bool)
+        first[text_starts] = first[-1] = True
+        starts = np.flatnonzero(inside & (first[:-1] | ~np.append(False, inside[:-1])))
+        ends = np.flatnonzero(inside & (first[1:] | ~np.append(inside[1:], False))) + 1
         lengths = ends - starts
         offsets = np.zeros(len(starts) + 1, np.int64)
         np.cumsum(lengths, out=offsets[1:])
@@ -106,19 +107,17 @@ class Slice:
         coded = words.dictionary_encode()
         self.lang, self.words = lang, coded.dictionary
         self.codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        breaks = np.cumsum((kind == 2) | first)
-        piece = breaks[starts] if len(starts) else np.zeros(0, np.int64)
+        piece = np.searchsorted(np.flatnonzero((kind == 2) | first[:-1]), starts, "right")
         last = np.flatnonzero(np.append(piece[1:] != piece[:-1], True)) if len(piece) else np.zeros(0, np.int64)
-        n = np.arange(len(starts))
         #: Words from each place to the end of its piece, itself included.
-        self.room = last[np.searchsorted(last, n)] - n + 1 if len(n) else n
+        self.room = np.repeat(last + 1, np.diff(last, prepend=-1)) - np.arange(len(starts))
         self._hashes: np.ndarray | None = None
 
     @property
     def word_hashes(self) -> np.ndarray:
         """The hash of each distinct word."""
         if self._hashes is None:
-            self._hashes = np.fromiter((word_hash(self.lang, w) for w in self.words.to_pylist()), np.uint64, len(self.words))
+            self._hashes = word_hashes(self.words, self.lang)
         return self._hashes
 
     def phrases(self, at: np.ndarray, n: int) -> tuple[list[str], np.ndarray]:
@@ -186,7 +185,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
             yield from held.add(s.lang, s.words, np.bincount(s.codes, minlength=len(s.words)))
         yield from held.flush()
 
-    return texts.mapInArrow(count, COUNTED).groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    return texts.mapInArrow(count, COUNTED).repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
 
 
 class Filter:
@@ -195,8 +194,10 @@ class Filter:
     def __init__(self, phrases: DataFrame):
         def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                h = np.fromiter((phrase_hash(*x) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())), np.uint64, b.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
+                langs = b.column(0).dictionary_encode()
+                for no, lang in enumerate(langs.dictionary.to_pylist()):
+                    h = phrase_hashes(b.column(1).filter(pc.equal(langs.indices, no)), lang)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
 
         self._fill(phrases.select("lang", "phrase").mapInArrow(hashed, "h long"))
 
@@ -221,16 +222,34 @@ def frequent_pairs(texts: DataFrame, frequent: Filter, least: int) -> DataFrame:
     known = frequent.shared()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Counts(pa.field("h", pa.int64()))
+        held, rows = [], 0
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            h, n = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(h)
+            begins = np.flatnonzero(np.append(True, np.diff(h[order]) != 0))
+            return h[order[begins]], np.add.reduceat(n[order], begins)
+
+        def flushed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in summed()], ["h", "n"])
+
         for s in cut(batches):
+            if len(s.codes) < 2:
+                continue
             often = known(s.word_hashes)[s.codes]
-            at = np.flatnonzero((s.room >= 2)[:-1] & often[:-1] & often[1:]) if len(s.codes) else np.zeros(0, np.int64)
+            at = np.flatnonzero((s.room >= 2)[:-1] & often[:-1] & often[1:])
             _, first, n = np.unique(s.codes[at] * len(s.words) + s.codes[at + 1], return_index=True, return_counts=True)
             own = s.word_hashes[s.codes]
-            yield from held.add("", pa.array(extended(own[at[first]], own[at[first] + 1]).view(np.int64)), n)
-        yield from held.flush()
-
-    counted = texts.mapInArrow(count, "lang string, h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+            held.append((extended(own[at[first]], own[at[first] + 1]).view(np.int64), n))
+            rows += len(n)
+            if rows >= 2 * HELD_ROWS:
+                yield flushed()
+                held, rows = [], 0
+        if rows:
+            yield flushed()
+
+    # tasks have summed already: rows go straight to the exchange
+    counted = texts.mapInArrow(count, "h long, n long").repartition("h").groupBy("h").agg(F.sum("n").alias("n"))
     return counted.filter(F.col("n") >= least).select("h")
 
 
