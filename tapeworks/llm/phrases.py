@@ -39,7 +39,7 @@ from .chunks import slices
 from .common import stored
 
 LONGEST = 5
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Rows of counts that a task holds before it sums and, if they stay, hands them on.
 HELD_ROWS = 1 << 18
 SALTS = 32
@@ -138,6 +138,7 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
             texts = batch.column(1).filter(pc.equal(langs.indices, no))
             for a, b in slices(texts, SLICE_BYTES):
                 yield Slice(lang, texts.slice(a, b - a).cast(pa.large_string()))
+        pa.default_memory_pool().release_unused()
 
 
 class Counts:
@@ -199,7 +200,8 @@ class Filter:
                     h = phrase_hashes(b.column(1).filter(pc.equal(langs.indices, no)), lang)
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
 
-        self._fill(phrases.select("lang", "phrase").mapInArrow(hashed, "h long"))
+        # written, so that no task runs the Python of two steps at once
+        self._fill(stored(phrases.select("lang", "phrase").mapInArrow(hashed, "h long"), "hashes"))
 
     def _fill(self, hashes: DataFrame) -> None:
         self.log2 = bitmaps.log2_bits(hashes.count())
