@@ -1,8 +1,8 @@
-"""String expressions (STR-*): lexicon matching, HTML clean-up, keys, truncation."""
+"""String expressions (STR-*): stripping, keys, truncation; key words are in ``matcher``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,26 +18,6 @@ def py_strip(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), _WS, "")
 
 
-def contains_any(lowered: Column, words: Iterable[str]) -> Column:
-    """STR-1: true if any word occurs as a substring of ``lowered``."""
-    words = list(words)
-    if not words:
-        return F.lit(False)
-    out = None
-    for w in words:
-        term = F.contains(lowered, F.lit(w))
-        out = term if out is None else (out | term)
-    return out
-
-
-def count_present(lowered: Column, words: Iterable[str]) -> Column:
-    """STR-2: number of distinct words that occur in ``lowered``."""
-    total = F.lit(0)
-    for w in dict.fromkeys(words):
-        total = total + F.contains(lowered, F.lit(w)).cast("int")
-    return total
-
-
 def truncate(c: Column, n: int) -> Column:
     """STR-6: first ``n`` characters."""
     return F.substring(c, 1, n)

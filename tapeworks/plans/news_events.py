@@ -1,7 +1,8 @@
 """News -> daily event features (DS-2, DS-3, DS-4, AGG-1, JOIN-3).
 
-Per-article work is column expressions only (lexicon substring tests), so it
-stays in whole-stage codegen. The daily aggregation is a hash aggregate with
+Per-article work is column expressions only: the text is lower-cased and read
+once for all key words (``functions/matcher.py``), the rules then look at the
+few words found. The daily aggregation is a hash aggregate with
 map-side partial aggregation: a ticker-day holding a third of all articles
 is reduced to one partial row per map task before the shuffle.
 """
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as lx
 from ..functions.numeric import clamp
-from ..functions.text import contains_any, count_present, py_strip
+from ..functions.matcher import Matcher, any_of, count_of
+from ..functions.text import py_strip
 
 PAYLOAD_FIELDS = [
     "sentiment", "sentiment_score", "catalyst_type", "company_specific", "risk_flags", "novelty",
@@ -21,29 +23,35 @@ PAYLOAD_FIELDS = [
 ]
 
 
+#: All key words of the heuristic rules and the topic counts.
+NEWS_WORDS = Matcher([
+    *lx.POSITIVE_WORDS, *lx.NEGATIVE_WORDS, *(w for words in lx.TOPIC_KEYWORDS.values() for w in words),
+    *lx.LEGAL_FLAG_WORDS, "guidance", *lx.GUIDANCE_CUT_WORDS, *lx.LONG_HORIZON_WORDS,
+])
+
+
 def article_text(title: Column, body: Column, sep: str = " ") -> Column:
     """``f"{title}{sep}{body}".strip()`` with missing parts as ''."""
     return py_strip(F.concat(F.coalesce(title, F.lit("")), F.lit(sep), F.coalesce(body, F.lit(""))))
 
 
-def catalyst(lowered: Column, topics: dict[str, list[str]], default: str = "general_news") -> Column:
+def catalyst(found: Column, topics: dict[str, list[str]], default: str = "general_news") -> Column:
     """First topic (in dict order) with any keyword present."""
     out = F.lit(default)
     for topic in reversed(list(topics)):
-        out = F.when(contains_any(lowered, topics[topic]), F.lit(topic)).otherwise(out)
+        out = F.when(any_of(found, topics[topic]), F.lit(topic)).otherwise(out)
     return out
 
 
 def heuristic_payload(text: Column) -> Column:
-    """DS-2 (R1): the rule-based event payload of one article, as a struct.
-
-    The text is lower-cased once and bound, not once for each key word."""
+    """DS-2 (R1): the rule-based event payload of one article, as a struct."""
+    return bound(NEWS_WORDS.found(F.lower(text)), payload_of)
 
-    def counted(low: Column) -> Column:
-        counts = F.struct(count_present(low, lx.POSITIVE_WORDS).alias("p"), count_present(low, lx.NEGATIVE_WORDS).alias("n"))
-        return bound(counts, lambda c: bound(_raw_score(c["p"], c["n"]), lambda raw: _rules(low, raw)))
 
-    return bound(F.lower(text), counted)
+def payload_of(found: Column) -> Column:
+    """DS-2 from the key words found in the lower-cased text."""
+    counts = F.struct(count_of(found, lx.POSITIVE_WORDS).alias("p"), count_of(found, lx.NEGATIVE_WORDS).alias("n"))
+    return bound(counts, lambda c: bound(_raw_score(c["p"], c["n"]), lambda raw: _rules(found, raw)))
 
 
 def bound(value: Column, body) -> Column:
@@ -55,7 +63,7 @@ def _raw_score(p: Column, n: Column) -> Column:
     return F.when(p + n == 0, F.lit(0.0)).otherwise((p - n).cast("double") / (p + n).cast("double"))
 
 
-def _rules(low: Column, raw: Column) -> Column:
+def _rules(found: Column, raw: Column) -> Column:
     label = (
         F.when(raw > F.lit(lx.SENTIMENT_CUT), F.lit("positive"))
         .when(raw < F.lit(-lx.SENTIMENT_CUT), F.lit("negative"))
@@ -63,18 +71,18 @@ def _rules(low: Column, raw: Column) -> Column:
     )
     flags = F.filter(
         F.array(
-            F.when(contains_any(low, lx.LEGAL_FLAG_WORDS), F.lit("legal_or_regulatory")),
-            F.when(F.contains(low, F.lit("guidance")) & contains_any(low, lx.GUIDANCE_CUT_WORDS), F.lit("guidance_cut")),
+            F.when(any_of(found, lx.LEGAL_FLAG_WORDS), F.lit("legal_or_regulatory")),
+            F.when(any_of(found, ["guidance"]) & any_of(found, lx.GUIDANCE_CUT_WORDS), F.lit("guidance_cut")),
         ),
         lambda x: x.isNotNull(),
     )
-    horizon = F.when(contains_any(low, lx.LONG_HORIZON_WORDS), F.lit("5_20_trading_days")).otherwise(
+    horizon = F.when(any_of(found, lx.LONG_HORIZON_WORDS), F.lit("5_20_trading_days")).otherwise(
         F.lit("1_5_trading_days")
     )
     return F.struct(
         label.alias("sentiment"),
         F.round(raw, 4).alias("sentiment_score"),
-        catalyst(low, lx.TOPIC_KEYWORDS).alias("catalyst_type"),
+        catalyst(found, lx.TOPIC_KEYWORDS).alias("catalyst_type"),
         F.lit(True).alias("company_specific"),
         flags.alias("risk_flags"),
         F.lit("medium").alias("novelty"),
@@ -91,8 +99,8 @@ def novelty_score(novelty: Column) -> Column:
     return out
 
 
-def payload_to_row(payload: Column, low: Column) -> list[Column]:
-    """DS-3 (R2): per-article feature columns from a payload struct and the lower-cased text."""
+def payload_to_row(payload: Column, found: Column) -> list[Column]:
+    """DS-3 (R2): per-article feature columns from a payload struct and the key words found."""
     score = F.coalesce(payload["sentiment_score"].cast("double"), F.lit(0.0))
     company = F.when(F.coalesce(payload["company_specific"].cast("boolean"), F.lit(False)), F.lit(1.0)).otherwise(
         F.lit(0.0)
@@ -110,7 +118,7 @@ def payload_to_row(payload: Column, low: Column) -> list[Column]:
         conf.alias("event_confidence_score"),
         F.coalesce(F.size(payload["risk_flags"]), F.lit(0)).cast("long").alias("risk_flag_count"),
     ]
-    cols += [contains_any(low, words).cast("long").alias(f"{t}_count") for t, words in lx.TOPIC_KEYWORDS.items()]
+    cols += [any_of(found, words).cast("long").alias(f"{t}_count") for t, words in lx.TOPIC_KEYWORDS.items()]
     return cols
 
 
@@ -125,11 +133,11 @@ def article_events(news: DataFrame, payloads: DataFrame | None = None, mode: str
     base = news.select(
         F.upper(F.col("ticker")).alias("ticker"),
         F.to_date("published_at").alias("date"),
-        text.alias("_text"),
+        NEWS_WORDS.found(F.lower(text)).alias("_found"),
         *(["dedupe_key"] if "dedupe_key" in news.columns else []),
     )
     if mode == "heuristic":
-        with_payload = base.withColumn("_payload", heuristic_payload(F.col("_text")))
+        with_payload = base.withColumn("_payload", payload_of(F.col("_found")))
     elif mode in ("model", "hybrid"):
         if payloads is None:
             raise ValueError(f"mode={mode} needs a payload table")
@@ -142,15 +150,14 @@ def article_events(news: DataFrame, payloads: DataFrame | None = None, mode: str
             )
             with_payload = joined.withColumn("_payload", F.col("_model"))
         else:
-            heur = heuristic_payload(F.col("_text"))
+            heur = payload_of(F.col("_found"))
             with_payload = joined.withColumn(
                 "_payload", F.when(F.col("_model").isNull(), heur).otherwise(F.col("_model").cast(heur_type()))
             )
     else:
         raise ValueError(f"Unsupported build mode: {mode}")
     keys = ["dedupe_key"] if "dedupe_key" in news.columns else []
-    with_low = with_payload.select(*keys, "ticker", "date", "_payload", F.lower("_text").alias("_low"))
-    return with_low.select(*keys, "ticker", "date", *payload_to_row(F.col("_payload"), F.col("_low")))
+    return with_payload.select(*keys, "ticker", "date", *payload_to_row(F.col("_payload"), F.col("_found")))
 
 
 def heur_type():

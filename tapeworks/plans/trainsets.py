@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as lx
 from ..functions import pyfmt as pf
 from ..functions.numeric import clamp
-from ..functions.text import contains_any, count_present, mentions_ticker, py_strip
+from ..functions.matcher import Matcher, any_of, count_of
+from ..functions.text import mentions_ticker, py_strip
 from ..operators.asof import asof_backward, trailing_top_n
 from ..schemas import NEWS_FEATURE_COLUMNS, PRIOR_FEATURE_COLUMNS
 from .news_events import catalyst
@@ -25,6 +26,16 @@ WIDE_CONTEXT_COLUMNS = [*CONTEXT_COLUMNS, "future_ret_1d", "future_ret_5d", "fut
 LABEL_COLUMNS = ["future_ret_1d", "future_ret_5d", "future_ret_10d", "future_ret_20d"]
 
 
+#: Key words of the outcome-labelled set, and of the weak-supervision set.
+OUTCOME_WORDS = Matcher([
+    *(w for words in lx.OUTCOME_TOPICS.values() for w in words), *lx.OUTCOME_LEGAL_WORDS, *lx.OUTCOME_VALUATION_WORDS, *lx.OUTCOME_NOVELTY_WORDS,
+])
+WEAK_WORDS = Matcher([
+    *lx.WEAK_POSITIVE_WORDS, *lx.WEAK_NEGATIVE_WORDS, *(w for words in lx.WEAK_TOPICS.values() for w in words),
+    *lx.WEAK_SHORT_HORIZON_WORDS, *lx.WEAK_LONG_HORIZON_WORDS, "lawsuit", "litigation", "regulatory", "sec", "antitrust", "guidance", "cut", "lower", "valuation",
+])
+
+
 def _py_max_abs(a: Column, b: Column) -> Column:
     """Python ``max(abs(a), abs(b))`` with NaN (here NULL) semantics: a NULL first
     argument wins; a NULL second argument never does."""
@@ -43,7 +54,7 @@ def outcome_labelled(news: DataFrame, features: DataFrame, context_columns=CONTE
     )
     x = asof_backward(base, right, ["ticker"], F.col("published_at"), "date", rcols)
     text = py_strip(F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("body", F.lit(""))))
-    x = x.withColumn("_text", text).withColumn("_low", F.lower(F.col("_text")))
+    x = x.withColumn("_text", text).withColumn("_found", OUTCOME_WORDS.found(F.lower(F.col("_text"))))
     has_row = F.coalesce(F.col("_row"), F.lit(False))
     r5 = F.col("future_ret_5d")
     labelled = has_row & r5.isNotNull()  # missing label -> as if no feature row (documented)
@@ -56,21 +67,21 @@ def outcome_labelled(news: DataFrame, features: DataFrame, context_columns=CONTE
     s1 = _py_max_abs(F.col("future_ret_1d"), F.col("future_ret_5d"))
     s2 = _py_max_abs(F.col("future_ret_10d"), F.col("future_ret_20d"))
     horizon = F.when(has_row & (s2 > s1), F.lit("5_20_trading_days")).otherwise(F.lit("1_5_trading_days"))
-    low = F.col("_low")
+    found = F.col("_found")
     flags = F.array_sort(F.filter(F.array(
-        F.when(contains_any(low, lx.OUTCOME_LEGAL_WORDS), F.lit("legal_or_regulatory")),
-        F.when(contains_any(low, lx.OUTCOME_VALUATION_WORDS), F.lit("valuation")),
+        F.when(any_of(found, lx.OUTCOME_LEGAL_WORDS), F.lit("legal_or_regulatory")),
+        F.when(any_of(found, lx.OUTCOME_VALUATION_WORDS), F.lit("valuation")),
         F.when(has_row & (F.coalesce(F.col("volatility_20d"), F.lit(0.0)) > F.lit(0.05)), F.lit("high_volatility")),
         F.when(has_row & (F.col("rapid_move") == 1), F.lit("rapid_move")),
     ), lambda f: f.isNotNull()))
     conf = F.round(F.least(
         F.lit(0.55) + F.when(labelled, F.least(F.lit(0.25), F.abs(r5) / F.lit(0.2))).otherwise(F.lit(0.0)),
         F.lit(0.9)), 4)
-    novelty = F.when(contains_any(low, lx.OUTCOME_NOVELTY_WORDS), F.lit("high")).otherwise(F.lit("medium"))
+    novelty = F.when(any_of(found, lx.OUTCOME_NOVELTY_WORDS), F.lit("high")).otherwise(F.lit("medium"))
     x = x.select(
         "*",
         sentiment.alias("sentiment"), score.alias("sentiment_score"),
-        catalyst(low, lx.OUTCOME_TOPICS).alias("catalyst_type"),
+        catalyst(found, lx.OUTCOME_TOPICS).alias("catalyst_type"),
         mentions_ticker(F.col("_text"), F.col("ticker")).alias("company_specific"),
         flags.alias("risk_flags"), novelty.alias("novelty"), horizon.alias("likely_horizon"),
         conf.alias("confidence"), has_row.alias("_has_row"),
@@ -104,29 +115,29 @@ def outcome_labelled(news: DataFrame, features: DataFrame, context_columns=CONTE
 def weak_supervision(news: DataFrame, published_at_text: Column | None = None) -> DataFrame:
     """DS-6 (R3b): text-only weak labels."""
     text = py_strip(F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("body", F.lit(""))))
-    x = news.withColumn("_low", F.lower(text))
-    low = F.col("_low")
-    p = count_present(low, lx.WEAK_POSITIVE_WORDS)
-    n = count_present(low, lx.WEAK_NEGATIVE_WORDS)
+    x = news.withColumn("_found", WEAK_WORDS.found(F.lower(text)))
+    found = F.col("_found")
+    p = count_of(found, lx.WEAK_POSITIVE_WORDS)
+    n = count_of(found, lx.WEAK_NEGATIVE_WORDS)
     raw = F.when(p + n == 0, F.lit(0.0)).otherwise((p - n).cast("double") / (p + n).cast("double"))
     x = x.withColumn("_s", raw)
     s = F.col("_s")
     label = F.when(s > F.lit(0.15), F.lit("positive")).when(s < F.lit(-0.15), F.lit("negative")).otherwise(F.lit("neutral"))
     flags = F.filter(F.array(
         F.when(s < F.lit(-0.25), F.lit("negative_sentiment")),
-        F.when(contains_any(low, ["lawsuit", "litigation"]), F.lit("lawsuit")),
-        F.when(contains_any(low, ["regulatory", "sec", "antitrust"]), F.lit("regulatory")),
-        F.when(F.contains(low, F.lit("guidance")) & contains_any(low, ["cut", "lower"]), F.lit("guidance_cut")),
-        F.when(F.contains(low, F.lit("valuation")), F.lit("valuation")),
+        F.when(any_of(found, ["lawsuit", "litigation"]), F.lit("lawsuit")),
+        F.when(any_of(found, ["regulatory", "sec", "antitrust"]), F.lit("regulatory")),
+        F.when(any_of(found, ["guidance"]) & any_of(found, ["cut", "lower"]), F.lit("guidance_cut")),
+        F.when(any_of(found, ["valuation"]), F.lit("valuation")),
     ), lambda f: f.isNotNull())
     horizon = (
-        F.when(contains_any(low, lx.WEAK_SHORT_HORIZON_WORDS), F.lit("1-5_trading_days"))
-        .when(contains_any(low, lx.WEAK_LONG_HORIZON_WORDS), F.lit("5-20_trading_days"))
+        F.when(any_of(found, lx.WEAK_SHORT_HORIZON_WORDS), F.lit("1-5_trading_days"))
+        .when(any_of(found, lx.WEAK_LONG_HORIZON_WORDS), F.lit("5-20_trading_days"))
         .otherwise(F.lit("1-20_trading_days"))
     )
     x = x.select(
         "*", label.alias("sentiment"), F.round(F.abs(s), 4).alias("sentiment_score"),
-        catalyst(low, lx.WEAK_TOPICS, "general").alias("catalyst_type"), flags.alias("risk_flags"),
+        catalyst(found, lx.WEAK_TOPICS, "general").alias("catalyst_type"), flags.alias("risk_flags"),
         horizon.alias("likely_horizon"),
     )
     output = pf.json_object([
