@@ -129,7 +129,8 @@ def article_events(news: DataFrame, payloads: DataFrame | None = None, mode: str
     (``dedupe_key, payload struct, parse_error``) and fails if any article has
     no valid payload; ``hybrid`` falls back to the rules per article.
     """
-    text = article_text(F.col("title"), F.col("body"))
+    # blanks at the ends hold no key word, so the text need not be stripped
+    text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("body", F.lit("")))
     base = news.select(
         F.upper(F.col("ticker")).alias("ticker"),
         F.to_date("published_at").alias("date"),
