@@ -543,7 +543,7 @@ def str_m2(spark, sf_dir):
 
 @register("str_m1_dedupe_stream")
 def str_m1(spark, sf_dir):
-    """News rows, every one landed twice, deduplicated within the watermark by a drained stream."""
+    """News rows, every one landed twice, deduplicated against a key log by a drained stream."""
     from ..streaming.jobs import run_dedupe
 
     out = run_dedupe(spark, tb.news_stream(spark, sf_dir).union(tb.news_stream(spark, sf_dir)), days_back=7)
@@ -617,9 +617,8 @@ def ml_1(spark, sf_dir):
 
 @register("str_m3_outcome_stream")
 def str_m3(spark, sf_dir):
-    """DS-11 driven by a stream of trade files: each micro-batch's trades become
-    bars and score the matured predictions not scored before (drained with
-    availableNow). Assumes a day's trades land in one micro-batch."""
+    """DS-11 driven by a stream of trade files: days that later trades have closed become bars
+    and score the matured predictions not scored before; the drained stream's last day counts as ended."""
     from ..streaming.jobs import run_outcome_scoring
 
     part = tb.table(spark, sf_dir, "part").select("p_partkey", "p_brand")
@@ -627,6 +626,7 @@ def str_m3(spark, sf_dir):
     out = run_outcome_scoring(
         spark, tb.lineitem_stream(spark, sf_dir), preds, F.lit(AS_OF).cast("date"),
         F.lit(AS_OF + " 00:00:00").cast("timestamp"), bars_fn=lambda batch: tb.bars_from_lineitem(batch, part),
+        day=F.col("l_shipdate").cast("date"), final=True,
     )
     return out
 
