@@ -253,10 +253,10 @@ def ds_13_summary(spark, sf_dir):
     return backtest(spark, sf_dir)[1]
 
 
-def outcomes(spark, sf_dir):
+def outcomes(spark, sf_dir, carry=()):
     preds = tb.predictions(spark, sf_dir)
     return oc.score_outcomes(
-        preds, tb.ohlcv(spark, sf_dir), F.lit(AS_OF).cast("date"), F.lit(AS_OF + " 00:00:00").cast("timestamp")
+        preds, tb.ohlcv(spark, sf_dir), F.lit(AS_OF).cast("date"), F.lit(AS_OF + " 00:00:00").cast("timestamp"), carry=carry
     )
 
 
@@ -267,7 +267,7 @@ def ds_11(spark, sf_dir):
 
 @register("ds_12_scorecard")
 def ds_12(spark, sf_dir):
-    return oc.scorecard(oc.scored_predictions(tb.predictions(spark, sf_dir), outcomes(spark, sf_dir)))
+    return oc.scorecard(outcomes(spark, sf_dir, carry=["ticker", "confidence", "predicted_return", "predicted_close"]))
 
 
 # ------------------------------------------------------ promotion, serving

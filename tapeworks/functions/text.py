@@ -14,8 +14,12 @@ _WS = f"^{WS_CLASS}+|{WS_CLASS}+$"
 
 
 def py_strip(c: Column) -> Column:
-    """Python ``str.strip()``: remove leading/trailing whitespace (NULL -> '')."""
-    return F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), _WS, "")
+    """Python ``str.strip()``: remove leading/trailing whitespace (NULL -> '').
+
+    Only texts that begin or end with whitespace are searched."""
+    text = F.coalesce(c.cast("string"), F.lit(""))
+    ends = F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1)))
+    return F.when(ends.rlike(WS_CLASS), F.regexp_replace(text, _WS, "")).otherwise(text)
 
 
 def truncate(c: Column, n: int) -> Column:
