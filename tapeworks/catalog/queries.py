@@ -51,8 +51,9 @@ def register(name: str):
     return deco
 
 
-def features_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feat.build_features(tb.ohlcv(spark, sf_dir), tb.BENCHMARK_ROLES)
+def features_panel(spark: SparkSession, sf_dir: str, bars: DataFrame | None = None) -> DataFrame:
+    """The panel over ``bars``: those written once where a query reads them in several places."""
+    return feat.build_features(tb.ohlcv(spark, sf_dir) if bars is None else bars, tb.BENCHMARK_ROLES)
 
 
 @register("ds_1_feature_panel")
@@ -178,17 +179,17 @@ MODELS = [("linear_a", "v1", MODEL_A), ("linear_b", "v2", MODEL_B)]
 AS_OF = "2002-01-01"
 
 
-def model_frame(spark, sf_dir):
+def model_frame(spark, sf_dir, bars=None):
     from ..schemas import PRICE_FEATURE_COLUMNS
 
-    feats = features_panel(spark, sf_dir)
+    feats = features_panel(spark, sf_dir, bars)
     return ev.prepare_model_frame(feats, PRICE_FEATURE_COLUMNS, "future_ret_5d")
 
 
-def scored_panel(spark, sf_dir, models=MODELS):
+def scored_panel(spark, sf_dir, models=MODELS, bars=None):
     """Every model scores the same prepared panel in one pass: the per-model
     predictions are exploded from an array, so the feature plan runs once."""
-    frame = model_frame(spark, sf_dir).withColumn("split", ev.split_column(F.col("date"), DRIVER_SPLIT))
+    frame = model_frame(spark, sf_dir, bars).withColumn("split", ev.split_column(F.col("date"), DRIVER_SPLIT))
     per_model = F.array(*[
         F.struct(F.lit(name).alias("model_name"), F.lit(ver).alias("model_version"),
                  ev.linear_score(coefs).alias("prediction"))
@@ -239,7 +240,7 @@ def agg_7(spark, sf_dir):
 def backtest(spark, sf_dir):
     from ..plans.backtest import run_weekly_backtest
 
-    scored = scored_panel(spark, sf_dir)
+    scored = scored_panel(spark, sf_dir, bars=tb.bars_table(spark, sf_dir))
     return run_weekly_backtest(scored, tb.BENCHMARK_ROLES["qqq"], list(tb.BENCHMARK_ROLES.values()))
 
 
@@ -283,7 +284,7 @@ def evaluation(spark, sf_dir):
     from ..plans import promote as pm
 
     return pm.evaluate_models(
-        scored_panel(spark, sf_dir), roles_table(spark), tb.BENCHMARK_ROLES["qqq"], list(tb.BENCHMARK_ROLES.values())
+        scored_panel(spark, sf_dir, bars=tb.bars_table(spark, sf_dir)), roles_table(spark), tb.BENCHMARK_ROLES["qqq"], list(tb.BENCHMARK_ROLES.values())
     )
 
 
@@ -309,10 +310,10 @@ def join_14(spark, sf_dir):
     return pm.side_by_side(evaluation(spark, sf_dir))
 
 
-def priors(spark, sf_dir):
+def priors(spark, sf_dir, bars=None):
     from ..plans.forecast import drift_forecast
 
-    return drift_forecast(tb.ohlcv(spark, sf_dir), min_history=120, step=5, lookback=60)
+    return drift_forecast(tb.ohlcv(spark, sf_dir) if bars is None else bars, min_history=120, step=5, lookback=60)
 
 
 @register("ml_3_drift_priors")
@@ -341,8 +342,8 @@ def win_7(spark, sf_dir):
     return latest_rows(features_panel(spark, sf_dir).select("ticker", "date", "close", "ret_5d", "volatility_20d"))
 
 
-def dense_news(spark, sf_dir):
-    keys = tb.ohlcv(spark, sf_dir).select("ticker", "date")
+def dense_news(spark, sf_dir, bars=None):
+    keys = (tb.ohlcv(spark, sf_dir) if bars is None else bars).select("ticker", "date")
     return ne.dense_news_features(keys, ne.daily_events(news_events(spark, sf_dir)))
 
 
@@ -350,11 +351,12 @@ def dense_news(spark, sf_dir):
 def ds_9(spark, sf_dir):
     from ..plans.predict import predict_all
 
-    feats = features_panel(spark, sf_dir)
+    bars = tb.bars_table(spark, sf_dir)
+    feats = features_panel(spark, sf_dir, bars)
     # the serving universe: what is no benchmark, and a listed ticker that never traded
     never_traded = spark.range(99, 100).select(F.concat(F.lit("BRAND#"), F.col("id").cast("string")))
     tickers = tb.universe(spark, sf_dir).filter("is_benchmark = 0").select("ticker").union(never_traded)
-    out = predict_all(feats, dense_news(spark, sf_dir), priors(spark, sf_dir), ev.linear_score(MODEL_A), tickers=tickers)
+    out = predict_all(feats, dense_news(spark, sf_dir, bars), priors(spark, sf_dir, bars), ev.linear_score(MODEL_A), tickers=tickers)
     return out.select(
         *[c for c in out.columns if c not in ("main_drivers", "risk_flags")],
         F.array_join("main_drivers", ";").alias("main_drivers"),
@@ -366,7 +368,8 @@ def ds_9(spark, sf_dir):
 def ds_10(spark, sf_dir):
     from ..plans.predict import predict_prior_only
 
-    out = predict_prior_only(features_panel(spark, sf_dir), priors(spark, sf_dir))
+    bars = tb.bars_table(spark, sf_dir)
+    out = predict_prior_only(features_panel(spark, sf_dir, bars), priors(spark, sf_dir, bars))
     return out.withColumn("t1_drivers", F.array_join("t1_drivers", ";"))
 
 
@@ -401,8 +404,9 @@ def ds_6(spark, sf_dir):
 def merged_frame(spark, sf_dir, with_priors=True):
     from ..plans.trainsets import training_frame
 
-    return training_frame(features_panel(spark, sf_dir), priors(spark, sf_dir) if with_priors else None,
-                          dense_news(spark, sf_dir))
+    bars = tb.bars_table(spark, sf_dir)
+    return training_frame(features_panel(spark, sf_dir, bars), priors(spark, sf_dir, bars) if with_priors else None,
+                          dense_news(spark, sf_dir, bars))
 
 
 @register("join_2_training_frame")
@@ -424,7 +428,8 @@ def join_11(spark, sf_dir):
 def ds_7(spark, sf_dir):
     from ..plans.trainsets import planner_rows, source_sets, training_frame
 
-    frame = training_frame(features_panel(spark, sf_dir), None, dense_news(spark, sf_dir))
+    bars = tb.bars_table(spark, sf_dir)
+    frame = training_frame(features_panel(spark, sf_dir, bars), None, dense_news(spark, sf_dir, bars))
     frame = frame.select(*[F.coalesce(F.col(f.name), F.lit(0.0)).alias(f.name) if f.dataType.typeName() == "double"
                            else F.col(f.name) for f in frame.schema.fields])
     out = planner_rows(frame, source_sets(tb.news(spark, sf_dir)))

@@ -17,12 +17,14 @@ callers are pushed into the parquet scans by Catalyst.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import bday_offset
 from ..functions.numeric import confidence_label
+from ..session import ensure_checkpoint_dir
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -56,6 +58,26 @@ def ohlcv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars_from_lineitem(li, part)
 
 
+def written_bars(bars: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Bars written once into the shared folder, bucketed by ticker and sorted by day.
+
+    A plan that reads bars in several places scans this table instead of
+    aggregating the trades again; windows and joins by ticker need no exchange.
+    The folder stays until the cluster clears it.
+    """
+    spark = bars.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"tapeworks_bars_{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
+    bars.repartition(n, "ticker").write.bucketBy(n, "ticker").sortBy("ticker", "date").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def bars_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars of :func:`ohlcv`, written once."""
+    return written_bars(ohlcv(spark, sf_dir))
+
+
 def lineitem_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lineitem table as a file stream (trades landing as files)."""
     path = os.path.join(sf_dir, "lineitem.parquet")
