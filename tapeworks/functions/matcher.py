@@ -5,8 +5,7 @@ text once however many words there are and reports every occurrence, also of
 words that overlap or stand within others. Texts reach it in Arrow batches;
 only the few words found go back, and the rules look at those. (The same trie
 as one regular expression stays within the JVM, but tries every place anew:
-measured over 24 million characters it took 20 CPU seconds, a search word by
-word about 35.)
+agg_1 at sf0.1 took 10.7 s with it and 4.4 s with the automaton.)
 """
 
 from __future__ import annotations

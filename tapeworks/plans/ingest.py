@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import dedupe_key
+from ..sinks.snapshots import KeyLog
 from ..sources.feeds import iso_utc
 
 
@@ -48,15 +49,18 @@ def too_old_counts(parsed: DataFrame, min_published_at: Column) -> DataFrame:
     )
 
 
-def new_rows(candidates: DataFrame, stored_keys: DataFrame | None, order: Column) -> DataFrame:
+def new_rows(candidates: DataFrame, stored_keys: DataFrame | KeyLog | None, order: Column) -> DataFrame:
     """JOIN-9: first occurrence of each key in this run (by ``order``) that is
     not already stored. The first occurrence is found with a partial aggregate
     (min order per key), not a window, so a key copied many times costs one
-    row per map task before the shuffle."""
+    row per map task before the shuffle. A key log reads only the buckets that may
+    hold one of the keys; a plain table of keys is read whole."""
     c = candidates.withColumn("_ord", order)
     first = c.groupBy("dedupe_key").agg(F.min("_ord").alias("_ord"))
     uniq = c.join(first, ["dedupe_key", "_ord"], "left_semi")
-    if stored_keys is not None:
+    if isinstance(stored_keys, KeyLog):
+        uniq = stored_keys.unseen(uniq)
+    elif stored_keys is not None:
         uniq = uniq.join(stored_keys.select("dedupe_key"), "dedupe_key", "left_anti")
     return uniq.drop("_ord")
 
@@ -64,7 +68,7 @@ def new_rows(candidates: DataFrame, stored_keys: DataFrame | None, order: Column
 def ingest(
     raw: DataFrame,
     parsed: DataFrame,
-    stored_keys: DataFrame | None,
+    stored_keys: DataFrame | KeyLog | None,
     min_published_at: Column,
     max_items: int = 8,
     ticker_order: DataFrame | None = None,
@@ -112,3 +116,14 @@ def ingest(
     )
     cols = ["ticker", "published_at", "title", "body", "source", "url", "dedupe_key"]
     return fresh.select(*cols), summary
+
+
+def ingest_into(log: KeyLog, run: str, raw: DataFrame, parsed: DataFrame, min_published_at: Column, **options) -> DataFrame:
+    """DS-16 with SNK-2 over runs: new rows go into the key log in one commit; returns the summary.
+
+    A run that is repeated under its name adds nothing; one that was killed left nothing that is read.
+    """
+    rows, summary = ingest(raw, parsed, log, min_published_at, **options)
+    held = summary.checkpoint(eager=True)  # what is new is counted before the rows are stored
+    log.append(rows.dropDuplicates([log.key]), run)
+    return held

@@ -20,6 +20,17 @@ from pyspark.sql import types as T
 BUCKET = "_bucket"
 
 
+def _widened(old: dict | None, new: T.StructType) -> T.StructType:
+    """The columns of both; a column keeps its type."""
+    if old is None:
+        return new
+    held = T.StructType.fromJson(old)
+    for f in new.fields:
+        if f.name in held.names and held[f.name].dataType != f.dataType:
+            raise ValueError(f"column {f.name} is {held[f.name].dataType.simpleString()}, not {f.dataType.simpleString()}")
+    return T.StructType([*held.fields, *[f for f in new.fields if f.name not in held.names]])
+
+
 class SnapshotTable:
     """Sets of rows by name; ``state()`` is what the last commit says."""
 
@@ -54,6 +65,7 @@ class SnapshotTable:
         for name, buckets in (replace or {}).items():
             sets.setdefault(name, {}).update(buckets)
         version = state["version"] + 1
+        schemas = {k: _widened(state["schemas"].get(k), v) for k, v in schemas.items()}
         new = {"version": version, "batch": batch, "meta": {**state["meta"], **(meta or {})}, "sets": sets, "schemas": {**state["schemas"], **{k: json.loads(v.json()) for k, v in schemas.items()}}}
         draft, final = self._at(f"{self.path}/_commits/.{version:09d}-{batch}"), self._at(f"{self.path}/_commits/{version:09d}")
         out = self.fs.create(draft, True)
@@ -103,6 +115,30 @@ class KeyedTable:
         return self.table.read(self.table.state(), "rows")
 
 
+class PredictionLog:
+    """SNK-6: served predictions, appended with the time they were made and their JSON snapshots.
+
+    A prediction is stored once, under its id; rows without one (tickers that
+    could not be served) are not. Readers see one commit, with null in rows
+    that are older than a column.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.log = KeyLog(spark, path, key="prediction_id", buckets=64)
+
+    def append(self, predictions: DataFrame, features: DataFrame, created_at: Column, batch: str) -> None:
+        """Store new predictions with ``created_at``, ``prediction_json`` and ``features_json`` (the ticker's row of ``features``)."""
+        served = predictions.filter(F.col("prediction_id").isNotNull())
+        snapshot = F.to_json(F.struct(*[F.col(c) for c in sorted(predictions.columns)]))
+        rows = served.withColumn("created_at", created_at.cast("timestamp")).withColumn("prediction_json", snapshot)
+        inputs = features.select("ticker", F.to_json(F.struct(*[F.col(c) for c in sorted(features.columns)])).alias("features_json"))
+        rows = rows.join(inputs.dropDuplicates(["ticker"]), "ticker", "left")
+        self.log.append(self.log.unseen(rows.dropDuplicates(["prediction_id"])), batch)
+
+    def read(self) -> DataFrame | None:
+        return self.log.read()
+
+
 FILTER = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("_word", T.IntegerType()), T.StructField("_bits", T.LongType())])
 
 

@@ -88,3 +88,21 @@ def test_no_session_setting_is_changed(spark):
     before = spark.conf.get("spark.sql.constraintPropagation.enabled")
     feeds.parse_search(raw(spark, "{}"), as_of()).count()
     assert spark.conf.get("spark.sql.constraintPropagation.enabled") == before
+
+
+def test_runs_into_a_log_store_each_key_once(spark, tmp_path):
+    from tapeworks.plans.ingest import ingest_into
+    from tapeworks.sinks.snapshots import KeyLog
+
+    schema = "payload_id string, ticker string, position int, published_ts timestamp, title string, body string, source string, url string"
+    item = lambda k, day: ("p1", "a", k, dt.datetime(2026, 6, day), f"t{k}", "b", "s", f"u{k}")
+    raw = spark.createDataFrame([("p1", "a", 200)], "payload_id string, ticker string, status int")
+    log, since = KeyLog(spark, str(tmp_path / "log")), F.lit("2026-06-01").cast("timestamp")
+    run = lambda name, rows: ingest_into(log, name, raw, spark.createDataFrame(rows, schema), since).first()
+    copy = ("p1", "a", 5, *item(1, 11)[3:])  # the same article further down the payload
+    first = run("r1", [item(0, 10), item(1, 11), copy])
+    assert (first["new"], first["duplicates"]) == (2, 1)
+    again = run("r2", [item(0, 10), item(2, 2)])  # a copy of the run before, and a new one older than all
+    assert (again["new"], again["duplicates"]) == (1, 1)
+    run("r2", [item(3, 12)])  # a run repeated under its name adds nothing
+    assert sorted(r.title for r in log.read().collect()) == ["t0", "t1", "t2"]

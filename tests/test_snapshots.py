@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tapeworks.sinks.snapshots import KeyedTable, KeyLog, SnapshotTable
+from tapeworks.sinks.snapshots import KeyedTable, KeyLog, PredictionLog, SnapshotTable
 
 SCHEMA = "k string, n int"
 
@@ -91,3 +91,28 @@ def test_log_reads_only_buckets_that_may_hold_a_key(spark, tmp_path):
     one = log.possible_buckets(state, frame(spark, [("old17", 0)]))
     assert len(one) == 1 and size(log.stored_keys(state, one)) < whole / 20
     assert log.unseen(frame(spark, [("old17", 0), ("x", 1)])).count() == 1
+
+
+def test_predictions_are_logged_once_with_their_snapshots(spark, tmp_path):
+    import json
+
+    log = PredictionLog(spark, str(tmp_path / "p"))
+    features = spark.createDataFrame([("A", 1.5), ("B", None)], "ticker string, ret_5d double")
+    first = spark.createDataFrame([("p1", "A", 0.02, None), (None, "X", None, "no features")], "prediction_id string, ticker string, predicted_return double, error string")
+    log.append(first, features, F.lit("2024-01-02 10:00:00"), "serve-1")
+    log.append(first, features, F.lit("2024-01-02 11:00:00"), "serve-2")  # served again: stored once
+    wider = first.withColumn("prediction_id", F.concat("prediction_id", F.lit("b"))).withColumn("horizon", F.lit("5d"))
+    log.append(wider, features, F.lit("2024-01-03 10:00:00"), "serve-3")
+    log.append(first.withColumn("prediction_id", F.concat("prediction_id", F.lit("c"))), features, F.lit("2024-01-04 10:00:00"), "serve-4")  # without the newer column
+    got = {r.prediction_id: r for r in log.read().collect()}
+    assert sorted(got) == ["p1", "p1b", "p1c"] and str(got["p1"].created_at) == "2024-01-02 10:00:00"
+    assert got["p1"].horizon is None and got["p1b"].horizon == "5d" and got["p1c"].horizon is None
+    assert json.loads(got["p1"].features_json) == {"ret_5d": 1.5, "ticker": "A"} and json.loads(got["p1"].prediction_json)["predicted_return"] == 0.02
+
+
+def test_a_column_cannot_change_its_type(spark, tmp_path):
+    t = KeyedTable(spark, str(tmp_path / "t"), ["k"], buckets=1)
+    t.upsert(frame(spark, [("a", 1)]), "b0")
+    with pytest.raises(Exception):
+        t.upsert(spark.createDataFrame([("a", "x")], "k string, n string"), "b1")
+    assert t.read().count() == 1
