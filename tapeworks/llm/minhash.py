@@ -1,36 +1,41 @@
 """MinHash near-deduplication (operator 6).
 
-Texts with equal shingle sets form one class. Of each class, universal hash
-minima give a signature; equal bands of signatures make candidates; those
-whose signatures agree often enough are compared on their full sets; the links
-that hold give components by alternating large-star and small-star.
-
-No bucket is expanded into all pairs. Members with too many shingles of their
-own to be similar to any other are set aside (see ``_possible``), the others
-are compared to the member with the least share of such shingles, which is a
-group's original rather than one of its altered copies. Where a bucket then
-still holds more than one component, pairs across components are found by the
-rare shingles that linked sets must share (see ``_across``) and compared too,
-so that no link between classes of a bucket is missed.
+Texts with equal shingle sets form one class, named by 128 bits of its set. Of
+each class, universal hash minima give a signature; equal bands of signatures
+make buckets; signatures that agree often enough are compared on their full
+sets; the links that hold give components by alternating large-star and
+small-star.
+
+No bucket is expanded into all pairs. Buckets choose a member that shares most
+with others as their reference (see ``_stars``), and each member is compared
+to it: signatures first, and only where they agree, or where the reference has
+further members, the sets. Two members that are both linked with the reference
+are in one component already. Any other pair that is linked must share a part
+of what sets its members apart from the reference, by an exact bound, so such
+pairs meet by those differences (see ``_across``), never by the text that
+their whole group shares, and are confirmed on all differences, which is the
+same as on the full sets.
 
 Defined results: a null text, an empty one or one without a word has an empty
 set and is linked with nothing; texts with fewer words than a shingle have one
-shingle of all their words; rows that share an id share their component's
-verdict row by row; a null id is no component's smallest id (a component of
-null ids has a null id and keeps its rows); an empty table gives an empty
-result. Columns named ``_n_id`` and ``_n_key`` are refused by ``one_of_each``;
-other columns are not read.
+shingle of all their words; long texts are taken whole; rows that share an id
+share their component's verdict row by row; repeated rows are one class; a
+null id is no component's smallest id (a component of null ids has a null id
+and keeps its rows); an empty table gives an empty result. Columns named
+``_n_id`` and ``_n_key`` are refused by ``one_of_each``; other columns are not
+read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bitmaps, hashing
@@ -41,6 +46,11 @@ from .components import components
 
 #: Text that a worker shingles at once.
 SLICE_BYTES = 2 << 20
+#: Words of more bytes take a cryptographic hash: running sums modulo 2**64
+#: are equal for some different strings of 1,024 bytes and more.
+LONG_WORD = 256
+#: Turns a shingle that the reference has and a member lacks into a token of its own.
+LACKS = 0x5851F42D4C957F2D
 
 
 @dataclass(frozen=True)
@@ -80,6 +90,8 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     begins[edge], ends[edge - 1] = solid[edge], solid[edge - 1]  # words end with their text
     starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     words = hashing.of_ranges(hashing.running(data), starts, stops)
+    for i in np.flatnonzero(stops - starts > LONG_WORD):
+        words[i] = int.from_bytes(blake2b(data[starts[i] : stops[i]], digest_size=8).digest(), "little")
     first = np.searchsorted(starts, at)
     n_words = np.diff(first)
     odd = np.array([pow(hashing.B, 2 * i + 3, 1 << 64) for i in range(k)], np.uint64)
@@ -110,140 +122,171 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, s: Near) -> np.ndarray:
     return out
 
 
+def _names(flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """16 bytes for each non-empty set: two sums over its shingles, mixed differently, with its size."""
+    some = sizes > 0
+    starts, n = (np.cumsum(sizes) - sizes)[some], sizes[some].astype(np.uint64)
+    sums = [hashing.mix(np.add.reduceat(hashing.mix(flat ^ np.uint64(salt)), starts) + n) for salt in (77, 0xD1B54A32D192ED03)]
+    return [row.tobytes() for row in np.column_stack(sums)] if some.any() else []
+
+
 def _sketch(docs: DataFrame, s: Near) -> DataFrame:
-    """(id, text_key, n_shingles, node, signature); the node is a 64-bit hash of the whole set, null without one."""
+    """(id, text_key, n_shingles, node, sig); the node names the whole set, null without one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(1), SLICE_BYTES):
                 flat, sizes = shingle_sets(batch.column(1).slice(a, b - a), s.shingle)
                 some = sizes > 0
-                node, sig = np.zeros(len(sizes), np.uint64), np.full(len(sizes), None, object)
+                node, sig = np.full(len(sizes), None, object), np.full(len(sizes), None, object)
                 if some.any():
-                    node[some] = hashing.mix(np.add.reduceat(hashing.mix(flat + np.uint64(77)), (np.cumsum(sizes) - sizes)[some]) + sizes[some].astype(np.uint64))
+                    node[some] = _names(flat, sizes)
                     sig[some] = [row.tobytes() for row in signatures(flat, sizes, s)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(sizes), pa.array(node.view(np.int64), mask=~some), pa.array(sig, pa.binary())], ["id", "text_key", "n_shingles", "node", "sig"]
+                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(sizes), pa.array(node, pa.binary()), pa.array(sig, pa.binary())], ["id", "text_key", "n_shingles", "node", "sig"]
                 )
 
-    return docs.withColumn("key", F.xxhash64("text")).mapInArrow(run, "id long, text_key long, n_shingles long, node long, sig binary")
+    return docs.withColumn("key", F.xxhash64("text")).mapInArrow(run, "id long, text_key long, n_shingles long, node binary, sig binary")
+
+
+def _band_hashes(sigs: pa.Array, s: Near) -> np.ndarray:
+    """One row of band hashes for each signature."""
+    odd = np.array([pow(hashing.B, 2 * i + 5, 1 << 64) for i in range(s.rows)], np.uint64)
+    sig = np.frombuffer(b"".join(sigs.to_pylist()), np.uint16).reshape(-1, s.bands, s.rows).astype(np.uint64)
+    return hashing.mix((sig * odd).sum(axis=2, dtype=np.uint64) + np.arange(s.bands, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+
+def _bands(nodes: DataFrame, s: Near) -> DataFrame:
+    """(band): one row for each band of each signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(_band_hashes(batch.column(0), s).ravel().view(np.int64))], ["band"])
+
+    return nodes.select("sig").mapInArrow(run, "band long")
 
 
-def _bands(nodes: DataFrame, s: Near, marked=None, log2: int = 0) -> DataFrame:
-    """(node, band): one row for each band of each signature; with a bitmap, for those that may be in it."""
+def _in_buckets(nodes: DataFrame, buckets: DataFrame, s: Near) -> DataFrame:
+    """(node, id, n, sig, bands) of nodes with bands in ``buckets``; a bounded bitmap picks them,
+    so a few bands too many may stay."""
+    log2 = bitmaps.log2_bits(buckets.count())
+    marked = nodes.sparkSession.sparkContext.broadcast(bitmaps.filled_cells(buckets, "band", 1, log2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odd = np.array([pow(hashing.B, 2 * i + 5, 1 << 64) for i in range(s.rows)], np.uint64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, s.bands, s.rows).astype(np.uint64)
-            band = hashing.mix((sig * odd).sum(axis=2, dtype=np.uint64) + np.arange(s.bands, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
-            node, band = np.repeat(batch.column(0).to_numpy(), s.bands), band.ravel()
-            if marked is not None:
-                keep = bitmaps.maybe_in(marked.value, band, log2)
-                node, band = node[keep], band[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(band.view(np.int64))], ["node", "band"])
+            band = _band_hashes(batch.column(3), s)
+            keep = bitmaps.maybe_in(marked.value, band.ravel(), log2).reshape(band.shape)
+            some, n = keep.any(axis=1), keep.sum(axis=1)
+            offsets = np.append(0, np.cumsum(n[some])).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(band[keep].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).filter(pa.array(some)) for i in range(4)), lists], ["node", "id", "n", "sig", "bands"])
+
+    return nodes.select("node", "id", F.col("n_shingles").alias("n"), "sig").mapInArrow(run, "node binary, id long, n long, sig binary, bands array<long>")
+
 
-    return nodes.mapInArrow(run, "node long, band long")
+def _stars(near: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(node, ref): each node with the references of its buckets.
+
+    A node's weight is the number of members of all its buckets. A bucket
+    takes up its heaviest member, a node the heaviest of those that its
+    buckets took up, and a bucket's reference is the heaviest one of its
+    members' choices. So the buckets of a group of copies agree on one
+    reference, which mostly is the text that the others were made from.
+    """
+    rows = near.select("node", F.explode("bands").alias("band")).join(buckets, "band")
+    weights = rows.groupBy("node").agg(F.sum("members").alias("weight"))
+    rows = stored(rows.select("node", "band").join(weights, "node"), "bucket-rows")
+    heaviest = rows.groupBy("band").agg(F.max(F.struct("weight", "node")).alias("top"))
+    choices = stored(rows.join(heaviest, "band").groupBy("node").agg(F.max("top").alias("choice")), "choices")
+    chosen = stored(rows.select("band", "node").join(choices, "node"), "chosen")
+    refs = chosen.groupBy("band").agg(F.max("choice.weight").alias("weight"), F.max("choice").alias("ref"))
+    return chosen.select("band", "node").join(refs, "band").select("node", F.col("ref.node").alias("ref")).filter("node <> ref").distinct()
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame, s: Near) -> DataFrame:
-    """The pairs whose signatures agree often enough."""
+def _agreeing(stars: DataFrame, near: DataFrame, s: Near) -> DataFrame:
+    """(node, ref, alike): whether sizes and signatures allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in (2, 3))
-            good = (left == right).mean(axis=1) >= s.least_agreement()
-            yield batch.select([0, 1]).filter(pa.array(good))
+            alike = (left == right).mean(axis=1) >= s.least_agreement()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike)], ["node", "ref", "alike"])
 
-    sig = lambda end: nodes.select(F.col("node").alias(end), F.col("sig").alias(f"sig_{end}"), F.col("n_shingles").alias(f"n_{end}"))
-    sized = pairs.join(sig("u"), "u").join(sig("v"), "v").filter(F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * s.percent)
-    return sized.select("u", "v", "sig_u", "sig_v").mapInArrow(run, "u long, v long")
+    sig = lambda end: near.select(F.col("node").alias(end), F.col("sig").alias(f"sig_{end}"))
+    both = stars.join(sig("node"), "node").join(sig("ref"), "ref")
+    return both.select("node", "ref", "sig_node", "sig_ref").mapInArrow(run, "node binary, ref binary, alike boolean")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, s: Near) -> DataFrame:
-    """(node, shingles) of wanted nodes (id, node): a bounded bitmap of their ids picks the texts, the node decides."""
+    """(node, shingles) of wanted nodes (id, node): a bounded bitmap of their ids picks the texts,
+    so a few nodes too many may stay."""
     log2 = bitmaps.log2_bits(wanted.count(), 24)
     marked = docs.sparkSession.sparkContext.broadcast(bitmaps.filled_cells(wanted.select(F.xxhash64("id").alias("h")), "h", 1, log2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.filter(pa.array(bitmaps.maybe_in(marked.value, batch.column(2).to_numpy(), log2)))
-            for a, b in slices(own.column(1), SLICE_BYTES):
-                flat, sizes = shingle_sets(own.column(1).slice(a, b - a), s.shingle)
-                some = sizes > 0
-                if not some.any():
-                    continue
-                node = hashing.mix(np.add.reduceat(hashing.mix(flat + np.uint64(77)), (np.cumsum(sizes) - sizes)[some]) + sizes[some].astype(np.uint64))
-                offsets = np.append(0, np.cumsum(sizes[some])).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([own.column(0).slice(a, b - a).filter(pa.array(some)), pa.array(node.view(np.int64)), lists], ["id", "node", "shingles"])
-
-    found = docs.withColumn("h", F.xxhash64("id")).mapInArrow(run, "id long, node long, shingles array<long>")
-    return found.join(wanted.withColumnRenamed("id", "rep"), "node").filter(F.col("id").eqNullSafe(F.col("rep"))).select("node", "shingles").dropDuplicates(["node"])
-
-
-def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, s: Near) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough."""
-    alike = stored(_alike(pairs, nodes, s), "alike")
-    side = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"of_{end}"))
-    both = alike.join(side("u"), "u").join(side("v"), "v")
-    shared = F.size(F.array_intersect("of_u", "of_v"))
-    joined = both.withColumn("shared", shared).filter(F.col("shared") * 100 >= (F.size("of_u") + F.size("of_v") - F.col("shared")) * s.percent)
-    return stored(joined.select("u", "v"), "links")
-
-
-def _possible(rows: DataFrame, sets: DataFrame, s: Near) -> DataFrame:
-    """The rows (band, node, ...) that can have a link within their bucket, with n and f.
-
-    Of a node's ``n`` shingles, ``f`` occur in no other node of ``rows``. With
-    any partner it shares ``x = n - f`` at most, so its similarity to one of
-    size m or more is at most ``x / (n + max(m, x) - x)``. Rows for which that
-    is too little, m being their bucket's smallest size, have no link there:
-    nothing is lost, and copies that were changed too much leave their group
-    before any pair of it is looked at.
-    """
-    of_rows = stored(rows.select("node").distinct(), "row-nodes")
-    own = sets.join(of_rows, "node").select("node", F.explode("shingles").alias("shingle"))
-    once = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("nodes"), F.min("node").alias("node")).filter("nodes = 1")
-    f = once.groupBy("node").agg(F.count(F.lit(1)).alias("f"))
-    info = sets.join(of_rows, "node").select("node", F.size("shingles").alias("n")).join(f, "node", "left")
-    sized = stored(rows.join(stored(info.select("node", "n", F.coalesce("f", F.lit(0)).alias("f")), "node-sizes"), "node"), "sized-rows")
-    least = stored(sized.groupBy("band").agg(F.min("n").alias("m")), "bucket-sizes")
-    x = F.col("n") - F.col("f")
-    return sized.join(least, "band").filter(100 * x >= s.percent * (F.col("n") + F.greatest(F.col("m"), x) - x)).drop("m")
-
-
-def _across(apart: DataFrame, sets: DataFrame, s: Near) -> DataFrame:
-    """Pairs (u, v) of nodes (node, c, n) in different components that can be links.
-
-    With the shingles of all sets in one order, rarest first, two sets that
-    share o shingles share one among the first n - o + 1 of each. Links need
-    ``o >= t (n_u + n_v) / (1 + t)``, so altered copies meet by the changes
-    that they share, not by the text that their whole group shares.
+            own = batch.filter(pa.array(bitmaps.maybe_in(marked.value, batch.column(1).to_numpy(), log2)))
+            for a, b in slices(own.column(0), SLICE_BYTES):
+                flat, sizes = shingle_sets(own.column(0).slice(a, b - a), s.shingle)
+                names = _names(flat, sizes)
+                if names:
+                    offsets = np.append(0, np.cumsum(sizes[sizes > 0])).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), lists], ["node", "shingles"])
+
+    found = docs.select("text", F.xxhash64("id").alias("h")).mapInArrow(run, "node binary, shingles array<long>")
+    return found.dropDuplicates(["node"])
+
+
+def _differences(stars: DataFrame, sets: DataFrame, s: Near) -> DataFrame:
+    """(node, ref, n, n_ref, d, linked, tokens): the shingles that a member has and its reference
+    lacks, then those that it lacks, each in order; d is their number."""
+    both = stars.join(sets.select("node", F.col("shingles").alias("own")), "node").join(sets.select(F.col("node").alias("ref"), F.col("shingles").alias("theirs")), "ref")
+    lacks = F.transform(F.array_except("theirs", "own"), lambda x: x.bitwiseXOR(F.lit(LACKS)))
+    tokens = F.concat(F.array_sort(F.array_except("own", "theirs")), F.array_sort(lacks))
+    out = both.select("node", "ref", "alike", "members", F.size("own").alias("n"), F.size("theirs").alias("n_ref"), tokens.alias("tokens")).withColumn("d", F.size("tokens"))
+    return out.withColumn("linked", _close(F.col("d"), F.col("n") + F.col("n_ref"), s) & F.col("alike")).drop("alike")
+
+
+def _close(apart: Column, sizes: Column, s: Near) -> Column:
+    """Whether two sets of so many shingles together, so many of them in one set only, are linked."""
+    return apart * (100 + s.percent) <= sizes * (100 - s.percent)
+
+
+def _across(diffs: DataFrame, s: Near) -> DataFrame:
+    """(u, v) of all linked pairs of one reference of which one at least is not linked with it.
+
+    Of ``d_u`` and ``d_v`` tokens two members share ``o``, so their sets differ
+    in ``d_u + d_v - 2 o`` shingles, which a link bounds by
+    ``k (n_u + n_v)``, k = (1 - t) / (1 + t); v not being linked has
+    ``d_v > k (n_v + n_ref)``. So ``2 o > d_u + k (n_ref - n_u)``, and as
+    ``o <= d_u`` and ``n_u <= n_v / t``, also ``o >= d_v - n_v (1 - t) / t``.
+    Two ordered lists that share o tokens share one of the first d - o + 1 of
+    each.
     """
-    own = stored(sets.join(apart, "node").select("node", "c", "n", F.explode("shingles").alias("shingle")), "apart-shingles")
-    counts = stored(own.groupBy("shingle").agg(F.count(F.lit(1)).alias("nodes")), "shingle-counts")
-    place = F.row_number().over(Window.partitionBy("node").orderBy("nodes", "shingle"))
-    longest = F.col("n") - F.ceil(F.col("n") * s.percent / 100) + 1
-    first = own.join(counts, "shingle").withColumn("place", place).filter(F.col("place") <= longest).filter("nodes > 1")
-    first = stored(first.select("shingle", "node", "c", "n", "place"), "first-shingles")
-    several = first.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("shingle")
-    first = stored(first.join(stored(several, "meeting-shingles"), "shingle"), "meeting-rows")
-    side = lambda end: first.select("shingle", *[F.col(c).alias(f"{c}_{end}") for c in ("node", "c", "n", "place")])
-    need = F.ceil((F.col("n_u") + F.col("n_v")) * s.percent / (100 + s.percent))
-    early = (F.col("place_u") <= F.col("n_u") - need + 1) & (F.col("place_v") <= F.col("n_v") - need + 1)
-    met = side("u").join(side("v"), "shingle").filter((F.col("node_u") < F.col("node_v")) & (F.col("c_u") != F.col("c_v")) & early)
-    return met.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct()
-
-
-def _mixed(placed: DataFrame) -> DataFrame:
-    """The rows of buckets that hold more than one component."""
-    mixed = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("band")
-    return placed.join(stored(mixed, "mixed"), "band")
+    t = s.percent
+    outside = stored(diffs.filter("not linked").groupBy("ref").agg(F.count(F.lit(1)).alias("outside")), "outside")
+    rows = diffs.filter("members > 1").join(outside, "ref")
+    n, d = F.col("n"), F.col("d")
+    any_side = d - F.floor((d * (100 + t) + (F.col("n_ref") - n) * (100 - t)) / (2 * (100 + t)))
+    out_side = d - F.greatest(F.lit(1), F.ceil(d - n * (100 - t) / t)) + 1
+    side = lambda end, first, of: of.select(
+        "ref", F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("d").alias(f"d_{end}"), F.posexplode(F.slice("tokens", F.lit(1), F.greatest(F.lit(0), first).cast("int"))).alias(f"at_{end}", "token")
+    )
+    need = F.ceil(((F.col("d_u") + F.col("d_v")) * (100 + t) - (F.col("n_u") + F.col("n_v")) * (100 - t)) / (2 * (100 + t)))
+    early = (F.col("at_u") <= F.col("d_u") - need) & (F.col("at_v") <= F.col("d_v") - need)
+    sized = F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * t
+    met = side("u", any_side, rows).join(side("v", out_side, rows.filter("not linked")), ["ref", "token"]).filter((F.col("u") != F.col("v")) & early & sized)
+    pairs = stored(met.select("ref", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "across")
+    of = lambda end: diffs.select("ref", F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("d").alias(f"d_{end}"), F.col("tokens").alias(f"of_{end}"))
+    both = pairs.join(of("u"), ["ref", "u"]).join(of("v"), ["ref", "v"])
+    apart = F.col("d_u") + F.col("d_v") - 2 * F.size(F.array_intersect("of_u", "of_v"))
+    return both.filter(_close(apart, F.col("n_u") + F.col("n_v"), s)).select("u", "v")
 
 
 def members(docs: DataFrame, id_col: str, text_col: str, s: Near) -> DataFrame:
@@ -251,38 +294,21 @@ def members(docs: DataFrame, id_col: str, text_col: str, s: Near) -> DataFrame:
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = stored(_sketch(slim, s), "sketch")
     worded = sketch.filter("node is not null")
-    firsts = stored(worded.groupBy("node").agg(F.min("id").alias("id")), "classes")
-    nodes = stored(
-        worded.select("node", "sig", "n_shingles", F.col("id").alias("own")).join(firsts, "node").filter(F.col("own").eqNullSafe(F.col("id"))).select("node", "id", "sig", "n_shingles").dropDuplicates(["node"]),
-        "nodes",
-    )
-    bands = _bands(nodes.select("node", "sig"), s)
-    buckets = stored(bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("band"), "buckets")
-    # a bounded bitmap of the buckets with several nodes keeps the other bands from a second shuffle
-    log2 = bitmaps.log2_bits(buckets.count())
-    marked = docs.sparkSession.sparkContext.broadcast(bitmaps.filled_cells(buckets, "band", 1, log2))
-    shared = stored(_bands(nodes.select("node", "sig"), s, marked, log2).join(buckets, "band"), "shared-bands")
-    near_nodes = shared.select("node").distinct().join(nodes.select("node", "id"), "node").select("id", "node")
-    sets = stored(_sets_of(slim, stored(near_nodes, "near-nodes"), s), "sets")
-    # stars: every member of a bucket with its least unusual member
-    rows = _possible(shared, sets, s)
-    centres = rows.groupBy("band").agg(F.min(F.struct((F.col("f") / F.col("n")).alias("share"), "node")).alias("centre"), F.count(F.lit(1)).alias("members"))
-    centres = stored(centres.filter("members > 1").select("band", F.col("centre.node").alias("centre")), "centres")
-    ends = rows.join(centres, "band").filter("node <> centre")
-    stars = stored(ends.select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct(), "stars")
-    links = _links(stars, nodes, sets, s)
+    nodes = stored(worded.groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "nodes")
+    buckets = stored(_bands(nodes, s).groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "buckets")
+    near = stored(_in_buckets(nodes, buckets, s), "near")
+    stars = stored(_agreeing(stored(_stars(near, buckets), "stars"), near, s), "agreeing")
+    # a member that its signature rules out is still of use if its reference has other members
+    crowds = stars.groupBy("ref").agg(F.count(F.lit(1)).alias("members"))
+    stars = stored(stars.join(crowds, "ref").filter("alike or members > 1"), "compared")
+    ends = stars.select("node").unionByName(stars.select(F.col("ref").alias("node"))).distinct()
+    wanted = stored(ends.join(near.select("node", "id"), "node"), "wanted")
+    diffs = stored(_differences(stars, stored(_sets_of(slim, wanted, s), "sets"), s), "differences")
+    links = diffs.filter("linked").select(F.col("node").alias("u"), F.col("ref").alias("v")).unionByName(_across(diffs, s))
     labels = components(links)
     label = F.coalesce("component", "node")
-    # what the stars left apart within a bucket: pairs across components
-    placed = rows.select("node", "band").join(labels, "node", "left").select("band", "node", label.alias("c"))
-    placed = _mixed(stored(placed, "placed"))
-    rest = _mixed(stored(_possible(placed, sets, s), "possible"))
-    across = _across(stored(rest.select("node", "c", "n").distinct(), "apart"), sets, s)
-    more = stored(across.join(stars, ["u", "v"], "left_anti"), "across")
-    if not more.isEmpty():
-        labels = components(links.unionByName(_links(more, nodes, sets, s)))
     named = worded.select("id", "text_key", "n_shingles", "node").join(labels, "node", "left").select("id", "text_key", "n_shingles", label.alias("c"))
-    return stored(named.unionByName(sketch.filter("node is null").select("id", "text_key", "n_shingles", F.lit(None).cast("long").alias("c"))), "members")
+    return stored(named.unionByName(sketch.filter("node is null").select("id", "text_key", "n_shingles", F.lit(None).cast("binary").alias("c"))), "members")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: Near = Near()) -> DataFrame:

@@ -97,5 +97,42 @@ def test_components_equal_union_find(spark):
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
 
 
+def test_long_words_that_sums_confuse(spark):
+    """Thue-Morse words and their complements have equal running sums modulo 2**64."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = []
+    for n in (256, 512, 1024, 2048, 4096):
+        one = word[:n]
+        rows += [(len(rows), one), (len(rows) + 1, one.translate(str.maketrans("ab", "ba"))), (len(rows) + 2, one.upper())]
+    check(spark.createDataFrame(rows, "doc_id long, text string"), rows, minhash.Near())
+
+
+def near_copies(n, words=150, others=40, share=0.025, seed=4):
+    """Near copies of one text; many of them are not similar enough to it, but some to each other."""
+    rng = random.Random(seed)
+    text = [f"w{k}" for k in range(words)]
+    return [(i, " ".join(f"o{k}x{rng.randrange(others)}" if rng.random() < share else w for k, w in enumerate(text))) for i in range(n)]
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """All links of a group are found, by a number of pairs that is far from all of them."""
+    met = []
+    kept = minhash.stored
+
+    def counting(df, name, **options):
+        out = kept(df, name, **options)
+        if name == "across":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "stored", counting)
+    rows = near_copies(400) + [(1000 + i, t) for i, t in near_copies(60, others=3, share=0.06, seed=8)]
+    check(spark.createDataFrame(rows, "doc_id long, text string"), rows, minhash.Near())
+    check(spark.createDataFrame(rows, "doc_id long, text string"), rows, minhash.Near(shingle=5, percent=80))
+    assert max(met) < 10 * len(rows)
+
+
 def test_empty_table(no_docs):
     assert minhash.near_groups(no_docs).count() == 0 and minhash.one_of_each(no_docs).count() == 0
