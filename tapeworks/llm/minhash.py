@@ -35,7 +35,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bitmaps, hashing
@@ -267,22 +267,31 @@ def _across(diffs: DataFrame, s: Near) -> DataFrame:
     ``d_v > k (n_v + n_ref)``. So ``2 o > d_u + k (n_ref - n_u)``, and as
     ``o <= d_u`` and ``n_u <= n_v / t``, also ``o >= d_v - n_v (1 - t) / t``.
     Two ordered lists that share o tokens share one of the first d - o + 1 of
-    each.
+    each; the order is the rarest first within the reference's members. What u
+    shares beyond its first tokens is bounded by their number, so pairs with
+    too few meetings for ``o`` go before their tokens are fetched.
     """
     t = s.percent
     outside = stored(diffs.filter("not linked").groupBy("ref").agg(F.count(F.lit(1)).alias("outside")), "outside")
-    rows = diffs.filter("members > 1").join(outside, "ref")
     n, d = F.col("n"), F.col("d")
     any_side = d - F.floor((d * (100 + t) + (F.col("n_ref") - n) * (100 - t)) / (2 * (100 + t)))
     out_side = d - F.greatest(F.lit(1), F.ceil(d - n * (100 - t) / t)) + 1
-    side = lambda end, first, of: of.select(
-        "ref", F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("d").alias(f"d_{end}"), F.posexplode(F.slice("tokens", F.lit(1), F.greatest(F.lit(0), first).cast("int"))).alias(f"at_{end}", "token")
-    )
+    rows = diffs.filter("members > 1").join(outside, "ref").withColumn("any_side", any_side).withColumn("out_side", F.when(~F.col("linked"), out_side).otherwise(0))
+    tokens = rows.select("ref", "node", "n", "d", "any_side", "out_side", F.explode("tokens").alias("token"))
+    several = tokens.groupBy("ref", "token").agg(F.count(F.lit(1)).alias("many"), F.max("out_side").alias("out"))
+    # tokens of one member only stand first whatever their order, so their number places the others
+    met = tokens.join(several.filter("many > 1"), ["ref", "token"])
+    place = Window.partitionBy("ref", "node").orderBy("many", "token")
+    alone = F.col("d") - F.count(F.lit(1)).over(Window.partitionBy("ref", "node"))
+    placed = met.withColumn("at", alone + F.row_number().over(place)).filter((F.col("out") > 0) & (F.col("at") <= F.greatest("any_side", "out_side")))
+    placed = stored(placed.select("ref", "token", "node", "n", "d", "any_side", "out_side", "at"), "first-tokens")
+    side = lambda end, first: placed.filter(F.col("at") <= F.col(first)).select("ref", "token", F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "d", "at", first)])
     need = F.ceil(((F.col("d_u") + F.col("d_v")) * (100 + t) - (F.col("n_u") + F.col("n_v")) * (100 - t)) / (2 * (100 + t)))
-    early = (F.col("at_u") <= F.col("d_u") - need) & (F.col("at_v") <= F.col("d_v") - need)
     sized = F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * t
-    met = side("u", any_side, rows).join(side("v", out_side, rows.filter("not linked")), ["ref", "token"]).filter((F.col("u") != F.col("v")) & early & sized)
-    pairs = stored(met.select("ref", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "across")
+    pairs = side("u", "any_side").join(side("v", "out_side"), ["ref", "token"]).filter((F.col("u") != F.col("v")) & sized & (need <= F.least("d_u", "d_v")))
+    rest = F.col("d_u") - F.col("any_side_u") + F.greatest(F.lit(0), F.col("d_v") - F.col("out_side_v"))
+    pairs = pairs.groupBy("ref", "u", "v").agg(F.count(F.lit(1)).alias("met"), F.first(need - rest).alias("least")).filter("met >= least")
+    pairs = stored(pairs.select("ref", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "across")
     of = lambda end: diffs.select("ref", F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("d").alias(f"d_{end}"), F.col("tokens").alias(f"of_{end}"))
     both = pairs.join(of("u"), ["ref", "u"]).join(of("v"), ["ref", "v"])
     apart = F.col("d_u") + F.col("d_v") - 2 * F.size(F.array_intersect("of_u", "of_v"))
