@@ -51,6 +51,8 @@ SLICE_BYTES = 2 << 20
 LONG_WORD = 256
 #: Turns a shingle that the reference has and a member lacks into a token of its own.
 LACKS = 0x5851F42D4C957F2D
+#: Members with one difference that meet as pairs; more of them take a reference of their own.
+FEW = 32
 
 
 @dataclass(frozen=True)
@@ -258,8 +260,9 @@ def _close(apart: Column, sizes: Column, s: Near) -> Column:
     return apart * (100 + s.percent) <= sizes * (100 - s.percent)
 
 
-def _across(diffs: DataFrame, s: Near) -> DataFrame:
-    """(u, v) of all linked pairs of one reference of which one at least is not linked with it.
+def _first_tokens(diffs: DataFrame, s: Near) -> DataFrame:
+    """(team, token, node, n, d, any_side, out_side, at): where pairs of one reference of which one
+    at least is not linked with it meet.
 
     Of ``d_u`` and ``d_v`` tokens two members share ``o``, so their sets differ
     in ``d_u + d_v - 2 o`` shingles, which a link bounds by
@@ -267,37 +270,81 @@ def _across(diffs: DataFrame, s: Near) -> DataFrame:
     ``d_v > k (n_v + n_ref)``. So ``2 o > d_u + k (n_ref - n_u)``, and as
     ``o <= d_u`` and ``n_u <= n_v / t``, also ``o >= d_v - n_v (1 - t) / t``.
     Two ordered lists that share o tokens share one of the first d - o + 1 of
-    each; the order is the rarest first within the reference's members. What u
-    shares beyond its first tokens is bounded by their number, so pairs with
-    too few meetings for ``o`` go before their tokens are fetched.
+    each; the order is the rarest first within the reference's members.
     """
     t = s.percent
-    outside = stored(diffs.filter("not linked").groupBy("ref").agg(F.count(F.lit(1)).alias("outside")), "outside")
+    outside = stored(diffs.filter("not linked").groupBy("team").agg(F.count(F.lit(1)).alias("outside")), "outside")
     n, d = F.col("n"), F.col("d")
     any_side = d - F.floor((d * (100 + t) + (F.col("n_ref") - n) * (100 - t)) / (2 * (100 + t)))
     out_side = d - F.greatest(F.lit(1), F.ceil(d - n * (100 - t) / t)) + 1
-    rows = diffs.filter("members > 1").join(outside, "ref").withColumn("any_side", any_side).withColumn("out_side", F.when(~F.col("linked"), out_side).otherwise(0))
-    tokens = rows.select("ref", "node", "n", "d", "any_side", "out_side", F.explode("tokens").alias("token"))
-    several = tokens.groupBy("ref", "token").agg(F.count(F.lit(1)).alias("many"), F.max("out_side").alias("out"))
+    rows = diffs.filter("members > 1").join(outside, "team").withColumn("any_side", any_side).withColumn("out_side", F.when(~F.col("linked"), out_side).otherwise(0))
+    tokens = rows.select("team", "node", "n", "d", "any_side", "out_side", F.explode("tokens").alias("token"))
+    several = tokens.groupBy("team", "token").agg(F.count(F.lit(1)).alias("many"), F.max("out_side").alias("out"))
     # tokens of one member only stand first whatever their order, so their number places the others
-    met = tokens.join(several.filter("many > 1"), ["ref", "token"])
-    place = Window.partitionBy("ref", "node").orderBy("many", "token")
-    alone = F.col("d") - F.count(F.lit(1)).over(Window.partitionBy("ref", "node"))
+    met = tokens.join(several.filter("many > 1"), ["team", "token"])
+    place = Window.partitionBy("team", "node").orderBy("many", "token")
+    alone = F.col("d") - F.count(F.lit(1)).over(Window.partitionBy("team", "node"))
     placed = met.withColumn("at", alone + F.row_number().over(place)).filter((F.col("out") > 0) & (F.col("at") <= F.greatest("any_side", "out_side")))
-    placed = stored(placed.select("ref", "token", "node", "n", "d", "any_side", "out_side", "at"), "first-tokens")
-    side = lambda end, first: placed.filter(F.col("at") <= F.col(first)).select("ref", "token", F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "d", "at", first)])
+    return stored(placed.select("team", "token", "node", "n", "d", "any_side", "out_side", "at"), "first-tokens")
+
+
+def _across(diffs: DataFrame, placed: DataFrame, s: Near) -> DataFrame:
+    """(u, v) of the linked pairs that meet in ``placed``. What u shares beyond its first tokens is
+    bounded by their number, so pairs with too few meetings go before their tokens are fetched."""
+    t = s.percent
+    side = lambda end, first: placed.filter(F.col("at") <= F.col(first)).select("team", "token", F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "d", "at", first)])
     need = F.ceil(((F.col("d_u") + F.col("d_v")) * (100 + t) - (F.col("n_u") + F.col("n_v")) * (100 - t)) / (2 * (100 + t)))
     sized = F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * t
-    pairs = side("u", "any_side").join(side("v", "out_side"), ["ref", "token"]).filter((F.col("u") != F.col("v")) & sized & (need <= F.least("d_u", "d_v")))
+    pairs = side("u", "any_side").join(side("v", "out_side"), ["team", "token"]).filter((F.col("u") != F.col("v")) & sized & (need <= F.least("d_u", "d_v")))
     rest = F.col("d_u") - F.col("any_side_u") + F.greatest(F.lit(0), F.col("d_v") - F.col("out_side_v"))
-    pairs = pairs.groupBy("ref", "u", "v").agg(F.count(F.lit(1)).alias("met"), F.first(need - rest).alias("least")).filter("met >= least")
-    pairs = stored(pairs.select("ref", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "across")
-    of = lambda end: diffs.select("ref", F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("d").alias(f"d_{end}"), F.col("tokens").alias(f"of_{end}"))
-    both = pairs.join(of("u"), ["ref", "u"]).join(of("v"), ["ref", "v"])
+    pairs = pairs.groupBy("team", "u", "v").agg(F.count(F.lit(1)).alias("met"), F.first(need - rest).alias("least")).filter("met >= least")
+    pairs = stored(pairs.select("team", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "across")
+    of = lambda end: diffs.select("team", F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("d").alias(f"d_{end}"), F.col("tokens").alias(f"of_{end}"))
+    both = pairs.join(of("u"), ["team", "u"]).join(of("v"), ["team", "v"])
     apart = F.col("d_u") + F.col("d_v") - 2 * F.size(F.array_intersect("of_u", "of_v"))
     return both.filter(_close(apart, F.col("n_u") + F.col("n_v"), s)).select("u", "v")
 
 
+def _crowds(placed: DataFrame) -> DataFrame:
+    """(team, token, ref, new_team): differences of more than ``FEW`` members where a pair may meet,
+    with the member nearest to the old reference as the new one; of differences with the same
+    members (told by 128 bits) one stays."""
+    mark = lambda salt: F.bit_xor(F.xxhash64("node", F.lit(salt))).alias(f"mark_{salt}")
+    many = placed.groupBy("team", "token").agg(
+        F.count(F.lit(1)).alias("many"), F.max(F.col("at") <= F.col("out_side")).alias("out"), mark(1), mark(2), F.min(F.struct("d", "node")).alias("nearest")
+    )
+    keys = ["team", "many", "mark_1", "mark_2"]
+    crowds = many.filter(f"many > {FEW}").withColumn("kept", F.min(F.when(F.col("out"), F.col("token"))).over(Window.partitionBy(*keys)))
+    named = F.unhex(F.md5(F.concat("team", F.encode(F.col("token").cast("string"), "utf-8"))))
+    return crowds.select("team", "token", F.col("nearest.node").alias("ref"), F.when(F.col("out") & (F.col("token") == F.col("kept")), named).alias("new_team"))
+
+
+def _regrouped(diffs: DataFrame, placed: DataFrame, crowds: DataFrame, s: Near) -> DataFrame:
+    """The differences of each crowd's members from its new reference. Two members differ in what
+    one of them only has of their differences from the old one."""
+    rows = placed.select("team", "token", "node").join(crowds.filter("new_team is not null"), ["team", "token"]).filter("node <> ref")
+    of = lambda end, n: diffs.select("team", F.col("node").alias(end), F.col("n").alias(n), F.col("tokens").alias(f"of_{end}"))
+    both = rows.join(of("node", "n"), ["team", "node"]).join(of("ref", "n_ref"), ["team", "ref"])
+    tokens = F.concat(F.array_except("of_node", "of_ref"), F.array_except("of_ref", "of_node"))
+    out = both.select(F.col("new_team").alias("team"), "node", "ref", F.lit(FEW).cast("long").alias("members"), "n", "n_ref", tokens.alias("tokens")).withColumn("d", F.size("tokens"))
+    return out.withColumn("linked", _close(F.col("d"), F.col("n") + F.col("n_ref"), s))
+
+
+def _links(diffs: DataFrame, s: Near) -> DataFrame:
+    """(u, v): links that give the components of all links. A pair that shares a difference of a
+    crowd is left to the crowd, which is smaller by its reference at each turn."""
+    diffs, links = diffs.withColumn("team", F.col("ref")), None
+    while True:
+        placed = _first_tokens(diffs, s)
+        crowds = stored(_crowds(placed), "crowds")
+        found = diffs.filter("linked").select(F.col("node").alias("u"), F.col("ref").alias("v"))
+        found = found.unionByName(_across(diffs, placed.join(crowds.select("team", "token"), ["team", "token"], "left_anti"), s))
+        links = found if links is None else links.unionByName(found)
+        if crowds.filter("new_team is not null").isEmpty():
+            return links
+        diffs = stored(_regrouped(diffs, placed, crowds, s), "regrouped")
+
+
 def members(docs: DataFrame, id_col: str, text_col: str, s: Near) -> DataFrame:
     """One row per document: (id, text_key, n_shingles, c); c names the component, null without words."""
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -313,8 +360,7 @@ def members(docs: DataFrame, id_col: str, text_col: str, s: Near) -> DataFrame:
     ends = stars.select("node").unionByName(stars.select(F.col("ref").alias("node"))).distinct()
     wanted = stored(ends.join(near.select("node", "id"), "node"), "wanted")
     diffs = stored(_differences(stars, stored(_sets_of(slim, wanted, s), "sets"), s), "differences")
-    links = diffs.filter("linked").select(F.col("node").alias("u"), F.col("ref").alias("v")).unionByName(_across(diffs, s))
-    labels = components(links)
+    labels = components(_links(diffs, s))
     label = F.coalesce("component", "node")
     named = worded.select("id", "text_key", "n_shingles", "node").join(labels, "node", "left").select("id", "text_key", "n_shingles", label.alias("c"))
     return stored(named.unionByName(sketch.filter("node is null").select("id", "text_key", "n_shingles", F.lit(None).cast("binary").alias("c"))), "members")

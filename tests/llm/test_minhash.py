@@ -136,3 +136,23 @@ def test_large_group_of_near_copies(spark, monkeypatch):
 
 def test_empty_table(no_docs):
     assert minhash.near_groups(no_docs).count() == 0 and minhash.one_of_each(no_docs).count() == 0
+
+
+def test_crowds_of_one_difference(spark, monkeypatch):
+    """A popular change sets most of a group apart from its reference; its members, further changed
+    themselves, are linked among each other only."""
+    monkeypatch.setattr(minhash, "FEW", 4)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 60):
+        text = list(base)
+        for change in range(rng.randrange(4)):  # up to three popular changes of two words each
+            at = 10 + 30 * change
+            text[at : at + 2] = [f"p{change}", f"q{change}"]
+        for _ in range(rng.randrange(4)):
+            text[rng.randrange(100)] = rng.choice(["x", "y", f"n{i}"])
+        rows.append((i, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (80, 90):
+        check(df, rows, minhash.Near(percent=percent))
