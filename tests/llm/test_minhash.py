@@ -138,10 +138,9 @@ def test_empty_table(no_docs):
     assert minhash.near_groups(no_docs).count() == 0 and minhash.one_of_each(no_docs).count() == 0
 
 
-def test_crowds_of_one_difference(spark, monkeypatch):
+def test_popular_changes(spark):
     """A popular change sets most of a group apart from its reference; its members, further changed
     themselves, are linked among each other only."""
-    monkeypatch.setattr(minhash, "FEW", 4)
     rng = random.Random(9)
     base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
     rows = [(0, " ".join(base))]
