@@ -193,21 +193,12 @@ def _first_truthy(*cols: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols], F.lit(""))
 
 
-def _tags_ws_stripped(c: Column) -> Column:
-    """JVM-side approximation of STR-3 used only to test emptiness."""
-    from ..functions.html import TAG_RE
-    from ..functions.text import WS_CLASS
-
-    return F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), TAG_RE, " "), f"{WS_CLASS}+", "")
-
-
 def search_body(cols: dict[str, Column]) -> Column:
-    """STR-5: the first of description/snippet/summary/body/content that is
-    non-empty after stripping (tested JVM-side), stripped once with STR-3;
-    else the title/headline. (An entity-only candidate counts as non-empty.)"""
-    chosen = F.coalesce(*[F.when(_tags_ws_stripped(cols[k]) != "", cols[k]) for k in SEARCH_BODY_KEYS])
-    title = py_strip(_first_truthy(cols["title"], cols["headline"]))
-    return F.when(chosen.isNotNull(), strip_html(chosen)).otherwise(title)
+    """STR-5: the first of description/snippet/summary/body/content that holds
+    anything once stripped by STR-3 (entities of blanks alone are nothing);
+    else the title/headline."""
+    stripped = [F.nullif(strip_html(cols[k]), F.lit("")) for k in SEARCH_BODY_KEYS]
+    return F.coalesce(*stripped, py_strip(_first_truthy(cols["title"], cols["headline"])))
 
 
 ITEM_KEYS = ["title", "headline", "url", "link", "source", "domain", "published_at", "date", "published",

@@ -106,3 +106,19 @@ def test_runs_into_a_log_store_each_key_once(spark, tmp_path):
     assert (again["new"], again["duplicates"]) == (1, 1)
     run("r2", [item(3, 12)])  # a run repeated under its name adds nothing
     assert sorted(r.title for r in log.read().collect()) == ["t0", "t1", "t2"]
+
+
+def test_search_body_skips_blank_entities(spark):
+    from pyspark.sql import functions as F
+
+    from tapeworks.sources.feeds import SEARCH_BODY_KEYS, search_body
+
+    names = [*SEARCH_BODY_KEYS, "title", "headline"]
+    rows = [
+        ("&nbsp;<b>&#160;</b>", None, "<p>R&amp;D up</p>", "later", None, "t", None),
+        ("&nbsp;", "", "<br>", None, "&emsp;", " Head ", None),
+        ("&lt;", "x", None, None, None, "t", "h"),
+    ]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    got = [r[0] for r in df.select(search_body({n: F.col(n) for n in names})).collect()]
+    assert got == ["R&D up", "Head", "<"]
