@@ -23,7 +23,7 @@ import itertools
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,9 @@ from . import chunks
 from .common import executors_tasks, scratch_path, stored, text_of
 
 END_ID = 2
-#: Chunks that a worker keeps the ids of, some 150 MB.
+#: Pieces that a worker keeps the ids of, and their bytes.
 CACHED_CHUNKS = 700_000
+CACHED_BYTES = 64 << 20
 SHARD_SCHEMA = "part int, shard int, doc_ids array<bigint>, doc_tokens array<bigint>, n_tokens bigint, base int, rules binary, lengths binary, sequence binary"
 #: A character that no blank class knows; only before these is a blank surely the start of a pre-token.
 SOLID = re.compile(r" (?=[!-~¡-¬®-ᙿᚁ-᠍᠐-῿‐-‧‰-⁞⁰-⿿、-퟿-﻾＀-\U0010ffff])")
@@ -46,6 +47,7 @@ SOLID = re.compile(r" (?=[!-~¡-¬®-ᙿᚁ-᠍᠐-῿‐-‧‰-⁞⁰-⿿、-
 #: Marks that form one pre-token after a word; the apostrophe is left out, for contractions.
 MARKS = ".,!?;:*#$%&"
 LATIN_END = "\u0250"
+NOT_LATIN = r"[^\x00-\x{24F}]"
 
 
 def byte_letters() -> dict[int, int]:
@@ -55,11 +57,52 @@ def byte_letters() -> dict[int, int]:
     return {x: x for x in plain} | {x: 256 + i for i, x in enumerate(others)}
 
 
+def _rest(texts: pa.Array, begins: pa.Array) -> pa.Array:
+    """What follows in each text after its beginning, which ends before an ASCII character or with the text."""
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    sizes = np.diff(at) - pc.binary_length(begins).to_numpy(zero_copy_only=False)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[chunks.ranges(at[1:] - sizes, sizes)]
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(data))
+
+
+class Pieces:
+    """Ids of pieces, by piece; ``encode`` gives those of new ones, and how many each has.
+
+    With more than ``most`` pieces or ``most_bytes`` held, those that the
+    latest slice did not use are forgotten.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int, most_bytes: int = CACHED_BYTES):
+        self.encode, self.most, self.most_bytes = encode, most, most_bytes
+        self.known, self.ids, self.starts, self.sizes = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def entries(self, pieces: pa.Array) -> np.ndarray:
+        """The numbers of distinct pieces, to look up in ``starts`` and ``sizes``."""
+        at = pc.fill_null(pc.index_in(pieces, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            added = pieces.take(pa.array(new))
+            if len(self.known) + len(added) > self.most or self.known.nbytes + added.nbytes > self.most_bytes:
+                held = at[at >= 0]
+                self.known = self.known.take(pa.array(held))
+                self.ids, self.sizes = self.ids[chunks.ranges(self.starts[held], self.sizes[held])], self.sizes[held]
+                self.starts = np.cumsum(self.sizes) - self.sizes
+                at[at >= 0] = np.arange(len(held))
+            ids, sizes = self.encode(added.to_pylist())
+            at[new] = len(self.known) + np.arange(len(new))
+            self.starts = np.append(self.starts, len(self.ids) + np.cumsum(sizes) - sizes)
+            self.ids, self.sizes = np.append(self.ids, ids), np.append(self.sizes, sizes)
+            self.known = pa.concat_arrays([self.known, added])
+        return at
+
+
 class BpeEncoder:
-    """The tokenizers library over whole texts, remembering chunks.
+    """The tokenizers library over whole texts, remembering pieces.
 
-    Chunks of one Latin word and marks after it go to the library's model as
-    the two pre-tokens that they are; others go through its whole encoding.
+    A chunk of one Latin word and marks after it is two pre-tokens: the word
+    goes to the library's model, the marks are remembered on their own. Other
+    chunks are one piece and go through the library's whole encoding.
     """
 
     def __init__(self, path: str, cached_chunks: int = CACHED_CHUNKS):
@@ -70,43 +113,67 @@ class BpeEncoder:
         self.base, self.model = self.tokenizer.get_vocab_size(), self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.byte_level = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None
-        self.letters, self.words, self.most_words = byte_letters(), {}, cached_chunks
-        self.first, self.rest = chunks.Memo(self._encode, cached_chunks // 8), chunks.Memo(self._encode_after_blank, cached_chunks)
+        self.letters = byte_letters()
+        self.first = chunks.Memo(lambda texts: (*self._encode(texts), np.zeros(len(texts))), cached_chunks // 8)
+        self.after_blank, self.marks = Pieces(self._encode_after_blank, cached_chunks), Pieces(self._encode_marks, cached_chunks // 8)
 
-    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return self._packed([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
 
     @staticmethod
-    def _packed(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _packed(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))
-        return flat, sizes, np.zeros(len(ids))
+        return np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
 
     def _word(self, word: str) -> list[int]:
-        own = self.words.get(word)
-        if own is None:
-            own = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
-            self.words[word] = own
-        return own
+        """The ids of one pre-token."""
+        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
 
-    def _encode_after_blank(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _encode_after_blank(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if not self.byte_level:
             return self._encode([" " + c for c in parts])
-        if len(self.words) > self.most_words:
-            self.words = {}
-        out: list = []
-        others = []
+        blank, tokenize = chr(self.letters[32]), self.model.tokenize
+        flat: list[int] = []  # no list per piece stays, which the garbage collector would go through
+        ends, others = np.zeros(len(parts), np.int64), []
         for i, c in enumerate(parts):
-            body = c.rstrip(MARKS)
-            if body.isalpha() and (body.isascii() or max(body) < LATIN_END):
-                own = self._word(" " + body)
-                out.append(own + self._word(c[len(body) :]) if len(body) < len(c) else own)
+            if c.isascii() and c.isalpha():  # letters that stand for themselves
+                flat += [t.id for t in tokenize(blank + c)]
+            elif c.isalpha() and max(c) < LATIN_END:
+                flat += self._word(" " + c)
             else:
-                out.append(None)
                 others.append(i)
-        for i, e in zip(others, self.tokenizer.encode_batch_fast([" " + parts[i] for i in others], add_special_tokens=False)):
-            out[i] = e.ids
-        return self._packed(out)
+            ends[i] = len(flat)
+        sizes = np.diff(ends, prepend=0)
+        starts = ends - sizes
+        ids, sizes[others] = self._encode([" " + parts[i] for i in others])
+        starts[others] = len(flat) + np.cumsum(sizes[others]) - sizes[others]
+        return np.concatenate([np.array(flat, np.uint32), ids])[chunks.ranges(starts, sizes)], sizes
+
+    def _encode_marks(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self._packed([self._word(c) if c else [] for c in parts])
+
+    def _after_blanks(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks that follow a blank and how many each has."""
+        coded = parts.dictionary_encode()
+        distinct, which = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        if not self.byte_level:
+            entry = self.after_blank.entries(distinct)[which]
+            sizes = self.after_blank.sizes[entry]
+            return self.after_blank.ids[chunks.ranges(self.after_blank.starts[entry], sizes)], sizes
+        body = pc.utf8_rtrim(distinct, MARKS)
+        cut = pc.and_(pc.utf8_is_alpha(body), pc.invert(pc.match_substring_regex(body, NOT_LATIN)))
+        before = pc.if_else(cut, body, distinct)
+        sides = []
+        for held, pieces in ((self.after_blank, before), (self.marks, _rest(distinct, before))):
+            own = pieces.dictionary_encode()
+            entry = held.entries(own.dictionary)[own.indices.to_numpy(zero_copy_only=False)]
+            sides.append((held.ids, held.starts[entry], held.sizes[entry]))
+        (ids, starts, sizes), (mark_ids, mark_starts, mark_sizes) = sides
+        starts, mark_starts = starts[which], mark_starts[which] + len(ids)
+        sizes, mark_sizes = sizes[which], mark_sizes[which]
+        some = np.flatnonzero(mark_sizes)  # marks stand in between, behind their word
+        places = chunks.ranges(np.insert(starts, some + 1, mark_starts[some]), np.insert(sizes, some + 1, mark_sizes[some]))
+        return np.concatenate([ids, mark_ids])[places], sizes + mark_sizes
 
     def _split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """Chunks and how many each text has; blanks that may not begin a pre-token do not split.
@@ -147,8 +214,9 @@ class BpeEncoder:
             split, counts = self._split(texts.take(pa.array(easy)))
             starts = np.cumsum(counts) - counts
             head = self.first.texts(split.take(pa.array(starts)), np.ones(len(easy), np.int64))
-            tail = self.rest.texts(split.take(pa.array(chunks.ranges(starts + 1, counts - 1))), counts - 1)
-            for row, a, b in zip(easy, np.split(head[0], np.cumsum(head[1])[:-1]), np.split(tail[0], np.cumsum(tail[1])[:-1])):
+            tail, sizes = self._after_blanks(split.take(pa.array(chunks.ranges(starts + 1, counts - 1))))
+            ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts - 1)]
+            for row, a, b in zip(easy, np.split(head[0], np.cumsum(head[1])[:-1]), np.split(tail, ends[:-1])):
                 out[row] = np.concatenate([a, b, [END_ID]]).astype(np.uint32)
         for row in np.flatnonzero(whole):
             out[row] = np.append(self._encode([texts[int(row)].as_py()])[0], END_ID).astype(np.uint32)

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +103,18 @@ def test_large_symbols_give_the_same_rules():
     ids, up = phrase_ids(9), np.uint32(1 << 30)
     small, large = token_files.compress(ids, 300), token_files.compress(ids + up, 300 + (1 << 30))
     assert len(small[0]) and all((a + u == b).all() for a, b, u in zip(small, large, (up, np.uint32(0), up)))
+
+
+@pytest.mark.parametrize("cached", [4, 700_000])
+def test_words_are_encoded_once_whatever_marks_follow(path, cached):
+    texts = ["start one two. one! two, öde?! x1. x1 ..", "öde one *** it's a'b zażółć, ɐbc. ɐbc", "", "alone", "one two " * 50, "one. two* ün. ün% \n end"]
+    encoder = token_files.BpeEncoder(path, cached)
+    kept, asked = encoder.after_blank.encode, []
+    encoder.after_blank.encode = lambda parts: (asked.extend(parts), kept(parts))[1]
+    for _ in range(2):
+        for slice_ in (texts[:3], texts[3:], texts[::-1]):
+            flat, sizes = encoder.encode(pa.array(slice_))
+            want = [ids for _, ids in expected(path, enumerate(slice_))]
+            assert sizes.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
+    if cached > 4:
+        assert len(asked) == len(set(asked)) and "one" in asked and not {"one.", "one!", "öde?!"} & set(asked)
