@@ -11,10 +11,10 @@ with others as their reference (see ``_stars``), and each member is compared
 to it: signatures first, and only where they agree, or where the reference has
 further members, the sets. Two members that are both linked with the reference
 are in one component already. Any other pair that is linked must share a part
-of what sets its members apart from the reference, by an exact bound, so such
+of what sets its members apart from the reference, by exact bounds, so such
 pairs meet by those differences (see ``_across``), never by the text that
-their whole group shares, and are confirmed on all differences, which is the
-same as on the full sets.
+their whole group shares, only while their components are not known to be one,
+and are confirmed on all differences, which is the same as on the full sets.
 
 Defined results: a null text, an empty one or one without a word has an empty
 set and is linked with nothing; texts with fewer words than a shingle have one
@@ -258,44 +258,83 @@ def _close(apart: Column, sizes: Column, s: Near) -> Column:
     return apart * (100 + s.percent) <= sizes * (100 - s.percent)
 
 
+def _pivots(first: DataFrame) -> DataFrame:
+    """(ref, u, v): each member of a (ref, token) bucket with one member of it, another one for each token."""
+    pivot = F.max_by("node", F.xxhash64("node", "token")).alias("v")
+    chosen = first.groupBy("ref", "token").agg(pivot)
+    return first.select("ref", "token", F.col("node").alias("u")).join(chosen, ["ref", "token"]).filter("u <> v").select("ref", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _confirmed(pairs: DataFrame, diffs: DataFrame, s: Near) -> DataFrame:
+    """(u, v) of those pairs (ref, u, v) that are linked, judged on all differences."""
+    of = lambda end: diffs.select("ref", F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("d").alias(f"d_{end}"), F.col("tokens").alias(f"of_{end}"))
+    both = pairs.join(of("u"), ["ref", "u"]).join(of("v"), ["ref", "v"])
+    apart = F.col("d_u") + F.col("d_v") - 2 * F.size(F.array_intersect("of_u", "of_v"))
+    return both.filter(_close(apart, F.col("n_u") + F.col("n_v"), s)).select("u", "v")
+
+
+def _first_tokens(rows: DataFrame, tokens: Column, any_side: Column, out_side: Column, name: str) -> DataFrame:
+    """(ref, token, node, n, kept, any_side, out_side, at): the first tokens of each member, the
+    rarest within its reference's members first; ``any_side`` and ``out_side`` say how many of them count."""
+    sides = rows.withColumn("token", tokens).withColumn("any_side", any_side).withColumn("out_side", F.when(~F.col("linked"), out_side).otherwise(0))
+    sides = sides.filter("any_side > 0 or out_side > 0").withColumn("own", F.size("token")).withColumn("token", F.explode("token"))
+    sides = sides.select("ref", "node", "n", "kept", "any_side", "out_side", "own", "token")
+    several = sides.groupBy("ref", "token").agg(F.count(F.lit(1)).alias("many"), F.max("out_side").alias("out"))
+    # tokens of one member only stand first whatever their order, so their number places the others
+    met = sides.join(several.filter("many > 1"), ["ref", "token"])
+    place = Window.partitionBy("ref", "node").orderBy("many", "token")
+    alone = F.col("own") - F.count(F.lit(1)).over(Window.partitionBy("ref", "node"))
+    placed = met.withColumn("at", alone + F.row_number().over(place)).filter((F.col("out") > 0) & (F.col("at") <= F.greatest("any_side", "out_side")))
+    return stored(placed.drop("many", "out", "own"), name)
+
+
 def _across(diffs: DataFrame, s: Near) -> DataFrame:
-    """(u, v) of all linked pairs of one reference of which one at least is not linked with it.
+    """(u, v) of linked pairs of one reference, enough of them that the components are those of all links.
+
+    A member u has ``a_u`` shingles that its reference lacks and lacks ``l_u``
+    of the reference's, so it keeps ``r_u = n_ref - l_u`` of them. Two members
+    share ``o_a`` of what they have besides, and of the reference at most the
+    lesser of ``r_u`` and ``r_v``. With T = t / (1 + t) a link asks
+    ``T (n_u + n_v)`` shared shingles. So either
+
+    * they share what the reference lacks: ``o_a`` is 1 at least, and, as
+      ``n_u >= t n_v``, ``t n_v - r_v`` at least; as one of the two, v, is not
+      linked with the reference, it is more than ``T (a_u - l_u)`` too; or
+    * all that they share is the reference's: ``T (n_u + n_v)`` is at most
+      ``r_u`` and ``r_v``, and of what they lack they share
+      ``o_l = T (n_u + n_v) - n_ref + l_u + l_v`` or more. That is more than
+      ``l_u - T (l_u - a_u)``, and lacks at most ``r_v (1 + t) - n_v`` of
+      ``l_v``, in parts of t (as v's partner has no more than ``r_v / T - n_v``).
 
-    Of ``d_u`` and ``d_v`` tokens two members share ``o``, so their sets differ
-    in ``d_u + d_v - 2 o`` shingles, which a link bounds by
-    ``k (n_u + n_v)``, k = (1 - t) / (1 + t); v not being linked has
-    ``d_v > k (n_v + n_ref)``. So ``2 o > d_u + k (n_ref - n_u)``, and as
-    ``o <= d_u`` and ``n_u <= n_v / t``, also ``o >= d_v - n_v (1 - t) / t``.
     Two ordered lists that share o tokens share one of the first d - o + 1 of
-    each; the order is the rarest first within the reference's members. What u
-    shares beyond its first tokens is bounded by their number, so pairs with
-    too few meetings for ``o`` go before their tokens are fetched.
+    each; the order is the rarest first within the reference's members. First
+    every member of a bucket of such tokens meets one other member of it, which
+    joins most of what belongs together; then only members of different
+    components meet.
     """
-    t = s.percent
+    t, whole = s.percent, 100 + s.percent
     outside = stored(diffs.filter("not linked").groupBy("ref").agg(F.count(F.lit(1)).alias("outside")), "outside")
-    n, d = F.col("n"), F.col("d")
-    any_side = d - F.floor((d * (100 + t) + (F.col("n_ref") - n) * (100 - t)) / (2 * (100 + t)))
-    out_side = d - F.greatest(F.lit(1), F.ceil(d - n * (100 - t) / t)) + 1
-    rows = diffs.filter("members > 1").join(outside, "ref").withColumn("any_side", any_side).withColumn("out_side", F.when(~F.col("linked"), out_side).otherwise(0))
-    tokens = rows.select("ref", "node", "n", "d", "any_side", "out_side", F.explode("tokens").alias("token"))
-    several = tokens.groupBy("ref", "token").agg(F.count(F.lit(1)).alias("many"), F.max("out_side").alias("out"))
-    # tokens of one member only stand first whatever their order, so their number places the others
-    met = tokens.join(several.filter("many > 1"), ["ref", "token"])
-    place = Window.partitionBy("ref", "node").orderBy("many", "token")
-    alone = F.col("d") - F.count(F.lit(1)).over(Window.partitionBy("ref", "node"))
-    placed = met.withColumn("at", alone + F.row_number().over(place)).filter((F.col("out") > 0) & (F.col("at") <= F.greatest("any_side", "out_side")))
-    placed = stored(placed.select("ref", "token", "node", "n", "d", "any_side", "out_side", "at"), "first-tokens")
-    side = lambda end, first: placed.filter(F.col("at") <= F.col(first)).select("ref", "token", F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "d", "at", first)])
-    need = F.ceil(((F.col("d_u") + F.col("d_v")) * (100 + t) - (F.col("n_u") + F.col("n_v")) * (100 - t)) / (2 * (100 + t)))
+    adds = ((F.col("n") - F.col("n_ref") + F.col("d")) / 2).cast("int")
+    rows = diffs.filter("members > 1").join(outside, "ref").withColumn("adds", adds).withColumn("lacks", F.col("d") - F.col("adds")).withColumn("kept", F.col("n_ref") - F.col("lacks"))
+    a, lacks, n, kept = F.col("adds"), F.col("lacks"), F.col("n"), F.col("kept")
+    share = a + 1 - F.greatest(F.lit(1), F.ceil((n * t - kept * 100) / 100))
+    having = _first_tokens(rows, F.expr("slice(tokens, 1, adds)"), F.least(share, a - F.greatest(F.lit(0), F.floor((a - lacks) * t / whole))), share, "first-tokens")
+    slack = F.least(lacks, F.floor((kept * 100 - n * t) / t) + 1)
+    lacking = _first_tokens(rows, F.expr("slice(tokens, adds + 1, lacks)"), F.least(slack, F.ceil((lacks - a) * t / whole)), slack, "first-lacks")
+    met = stored(_pivots(having.select("ref", "token", "node").unionByName(lacking.select("ref", "token", "node"))), "pivots")
+    near = stored(_confirmed(met, diffs, s), "near-pivots")
+    by_ref = diffs.filter("linked").select(F.col("node").alias("u"), F.col("ref").alias("v"))
+    labels = components(near.unionByName(by_ref))
+    side = lambda first, end, which: first.join(labels, "node", "left").filter(F.col("at") <= F.col(which)).select("ref", "token", F.col("node").alias(end), F.coalesce("component", "node").alias(f"c_{end}"), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "kept")])
+    both = lambda first: side(first, "u", "any_side").join(side(first, "v", "out_side"), ["ref", "token"])
+    apart = F.col("c_u") != F.col("c_v")
+    asked, least = (F.col("n_u") + F.col("n_v")) * t, F.least("kept_u", "kept_v") * whole
     sized = F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * t
-    pairs = side("u", "any_side").join(side("v", "out_side"), ["ref", "token"]).filter((F.col("u") != F.col("v")) & sized & (need <= F.least("d_u", "d_v")))
-    rest = F.col("d_u") - F.col("any_side_u") + F.greatest(F.lit(0), F.col("d_v") - F.col("out_side_v"))
-    pairs = pairs.groupBy("ref", "u", "v").agg(F.count(F.lit(1)).alias("met"), F.first(need - rest).alias("least")).filter("met >= least")
-    pairs = stored(pairs.select("ref", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "across")
-    of = lambda end: diffs.select("ref", F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("d").alias(f"d_{end}"), F.col("tokens").alias(f"of_{end}"))
-    both = pairs.join(of("u"), ["ref", "u"]).join(of("v"), ["ref", "v"])
-    apart = F.col("d_u") + F.col("d_v") - 2 * F.size(F.array_intersect("of_u", "of_v"))
-    return both.filter(_close(apart, F.col("n_u") + F.col("n_v"), s)).select("u", "v")
+    enough = asked - least <= F.least(F.col("n_u") - F.col("kept_u"), F.col("n_v") - F.col("kept_v")) * whole
+    pair = ["ref", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")]
+    pairs = both(having).filter(apart & sized & enough).select(*pair).unionByName(both(lacking).filter(apart & (asked <= least)).select(*pair))
+    pairs = stored(pairs.distinct(), "across")
+    return near.unionByName(_confirmed(pairs, diffs, s))
 
 
 def members(docs: DataFrame, id_col: str, text_col: str, s: Near) -> DataFrame:

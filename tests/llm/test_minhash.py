@@ -155,3 +155,49 @@ def test_popular_changes(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for percent in (80, 90):
         check(df, rows, minhash.Near(percent=percent))
+
+
+def test_members_known_to_be_one_component_do_not_meet(spark, monkeypatch):
+    """Near copies of a text, of a part of it, and of it with a passage of their own that most of them
+    share; each group is linked within itself only, or nearly so."""
+    met = []
+    kept = minhash.stored
+
+    def counting(df, name, **options):
+        out = kept(df, name, **options)
+        if name == "across":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "stored", counting)
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(160)]
+    rows = []
+    for start, n in ((base, 120), (base[:100], 150), (base[:120] + [f"p{k}" for k in range(40)], 150)):
+        for _ in range(n):
+            text = list(start)
+            for _ in range(rng.randrange(3)):
+                text[rng.randrange(len(text))] = f"n{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(text)))
+    for near in (minhash.Near(), minhash.Near(shingle=5, percent=80)):
+        check(spark.createDataFrame(rows, "doc_id long, text string"), rows, near)
+    assert max(met) < 4 * len(rows)
+
+
+def test_words_taken_out_and_put_in(spark):
+    """Sets of uneven sizes around the threshold: members with more shingles than their reference, or fewer."""
+    rng = random.Random(21)
+    base = [f"w{k}" for k in range(90)]
+    rows = []
+    for i in range(160):
+        text = list(base)
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(text))
+            kind = rng.randrange(4)
+            text[at : at + rng.randrange(1, 4)] = [] if kind == 0 else [rng.choice("xyz")] if kind < 3 else ["p", "q", "r", f"n{i}"]
+        if rng.random() < 0.4:
+            text = text[: rng.randrange(40, 90)]
+        rows.append((i, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for near in (minhash.Near(percent=70), minhash.Near(), minhash.Near(shingle=5, percent=80)):
+        check(df, rows, near)
