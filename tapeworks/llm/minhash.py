@@ -51,6 +51,8 @@ SLICE_BYTES = 2 << 20
 LONG_WORD = 256
 #: Turns a shingle that the reference has and a member lacks into a token of its own.
 LACKS = 0x5851F42D4C957F2D
+#: Members of a bucket that meet whatever their x, and classes of x in a factor of two for more of them.
+SMALL, PARTS = 32, 6
 
 
 @dataclass(frozen=True)
@@ -259,10 +261,13 @@ def _close(apart: Column, sizes: Column, s: Near) -> Column:
 
 
 def _pivots(first: DataFrame) -> DataFrame:
-    """(ref, u, v): each member of a (ref, token) bucket with one member of it, another one for each token."""
-    pivot = F.max_by("node", F.xxhash64("node", "token")).alias("v")
-    chosen = first.groupBy("ref", "token").agg(pivot)
-    return first.select("ref", "token", F.col("node").alias("u")).join(chosen, ["ref", "token"]).filter("u <> v").select("ref", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    """(ref, u, v): each member of a (ref, token) bucket with two members of it, where they may be linked:
+    the one of least ``x``, whose few differences leave room for the others', and another one for each token."""
+    row, hashed = F.struct("node", "linked", "x", "y"), F.xxhash64("node", "token")
+    chosen = first.groupBy("ref", "token").agg(F.min_by(row, F.struct("x", hashed)).alias("nearest"), F.max_by(row, hashed).alias("other"))
+    met = first.join(chosen, ["ref", "token"]).withColumn("pivot", F.explode(F.array("nearest", "other")))
+    met = met.filter(~(F.col("linked") & F.col("pivot.linked")) & (F.col("pivot.x") <= F.col("y")) & (F.col("x") <= F.col("pivot.y")))
+    return met.withColumn("v", F.col("pivot.node")).filter("node <> v").select("ref", F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
 
 
 def _confirmed(pairs: DataFrame, diffs: DataFrame, s: Near) -> DataFrame:
@@ -273,67 +278,67 @@ def _confirmed(pairs: DataFrame, diffs: DataFrame, s: Near) -> DataFrame:
     return both.filter(_close(apart, F.col("n_u") + F.col("n_v"), s)).select("u", "v")
 
 
-def _first_tokens(rows: DataFrame, tokens: Column, any_side: Column, out_side: Column, name: str) -> DataFrame:
-    """(ref, token, node, n, kept, any_side, out_side, at): the first tokens of each member, the
-    rarest within its reference's members first; ``any_side`` and ``out_side`` say how many of them count."""
-    sides = rows.withColumn("token", tokens).withColumn("any_side", any_side).withColumn("out_side", F.when(~F.col("linked"), out_side).otherwise(0))
-    sides = sides.filter("any_side > 0 or out_side > 0").withColumn("own", F.size("token")).withColumn("token", F.explode("token"))
-    sides = sides.select("ref", "node", "n", "kept", "any_side", "out_side", "own", "token")
-    several = sides.groupBy("ref", "token").agg(F.count(F.lit(1)).alias("many"), F.max("out_side").alias("out"))
-    # tokens of one member only stand first whatever their order, so their number places the others
-    met = sides.join(several.filter("many > 1"), ["ref", "token"])
-    place = Window.partitionBy("ref", "node").orderBy("many", "token")
-    alone = F.col("own") - F.count(F.lit(1)).over(Window.partitionBy("ref", "node"))
-    placed = met.withColumn("at", alone + F.row_number().over(place)).filter((F.col("out") > 0) & (F.col("at") <= F.greatest("any_side", "out_side")))
-    return stored(placed.drop("many", "out", "own"), name)
+def _first_tokens(rows: DataFrame, s: Near) -> DataFrame:
+    """The differences of each member by which it may meet a partner, one a row, with their ``y``, the number
+    ``many`` of members that share them, and the classes ``at`` (as partner of larger x) and ``to`` (of ``at``
+    to ``to`` are the larger partners' classes); see ``_across``."""
+    t, whole = s.percent, 100 + s.percent
+    each = rows.withColumn("token", F.explode("tokens")).drop("tokens")
+    of_token = [F.count(F.lit(1)).alias("many"), F.min("x").alias("least"), F.min(F.when(~F.col("linked"), F.col("x"))).alias("least_out")]
+    several = each.groupBy("ref", "token").agg(*of_token).filter("many > 1 and least_out is not null")
+    rest = Window.partitionBy("ref", "node").orderBy(F.desc("many"), F.desc("token"))
+    met = each.join(several, ["ref", "token"]).withColumn("left", F.row_number().over(rest).cast("long"))
+    met = met.withColumn("y", 2 * whole * F.col("left") - F.col("x"))
+    asked = F.col("y") >= F.when(F.col("linked"), F.col("least_out")).otherwise(F.col("least"))
+    met = met.filter(asked & ((F.col("d") - F.col("left")) * t <= F.col("n") * (100 - t)))
+    part = lambda x: F.when(F.col("many") > SMALL, F.floor(F.log2(F.greatest(F.col(x), F.col("floor"))) * PARTS)).otherwise(0)
+    return stored(met.select("ref", "token", "node", "n", "kept", "linked", "x", "y", "many", part("x").alias("at"), part("y").alias("to")), "first-tokens")
 
 
 def _across(diffs: DataFrame, s: Near) -> DataFrame:
     """(u, v) of linked pairs of one reference, enough of them that the components are those of all links.
 
-    A member u has ``a_u`` shingles that its reference lacks and lacks ``l_u``
-    of the reference's, so it keeps ``r_u = n_ref - l_u`` of them. Two members
-    share ``o_a`` of what they have besides, and of the reference at most the
-    lesser of ``r_u`` and ``r_v``. With T = t / (1 + t) a link asks
-    ``T (n_u + n_v)`` shared shingles. So either
-
-    * they share what the reference lacks: ``o_a`` is 1 at least, and, as
-      ``n_u >= t n_v``, ``t n_v - r_v`` at least; as one of the two, v, is not
-      linked with the reference, it is more than ``T (a_u - l_u)`` too; or
-    * all that they share is the reference's: ``T (n_u + n_v)`` is at most
-      ``r_u`` and ``r_v``, and of what they lack they share
-      ``o_l = T (n_u + n_v) - n_ref + l_u + l_v`` or more. That is more than
-      ``l_u - T (l_u - a_u)``, and lacks at most ``r_v (1 + t) - n_v`` of
-      ``l_v``, in parts of t (as v's partner has no more than ``r_v / T - n_v``).
-
-    Two ordered lists that share o tokens share one of the first d - o + 1 of
-    each; the order is the rarest first within the reference's members. First
-    every member of a bucket of such tokens meets one other member of it, which
-    joins most of what belongs together; then only members of different
-    components meet.
+    Two members with ``d_u`` and ``d_v`` differences, ``o`` of them shared, are
+    apart by ``d_u + d_v - 2 o``. With ``x = (100 + t) d - (100 - t) n`` a link
+    asks ``x_u + x_v <= 2 (100 + t) o``, and a member is linked with the
+    reference if its x is below ``(100 - t) n_ref + 1``, the floor. A pair of two
+    such members is in one component already; the others' x is the larger.
+
+    Differences stand in one order, the rarest within the reference's members
+    first; those without an unlinked member besides count for none. A pair
+    meets at the first one that it shares. Having ``left`` of them from there
+    on, u shares no more, so with ``y = 2 (100 + t) left - x`` a link asks
+    ``x_v <= y_u`` and ``x_u <= y_v``. A difference that most members share
+    comes last, has few left, and lets only those meet that have hardly any
+    others. As x_u lies between x_v and y_v, or both are ranked as the floor,
+    members of large buckets meet by classes of x, a constant ratio wide; a
+    member's classes are a bounded number, as y_v - x_v is at most
+    ``2 (100 - t) n_v``.
+
+    First every member of a bucket meets two members of it, which joins most of
+    what belongs together; then only members of different components meet.
     """
     t, whole = s.percent, 100 + s.percent
-    outside = stored(diffs.filter("not linked").groupBy("ref").agg(F.count(F.lit(1)).alias("outside")), "outside")
+    outside = stored(diffs.filter("not linked").select("ref").distinct(), "outside")
     adds = ((F.col("n") - F.col("n_ref") + F.col("d")) / 2).cast("int")
-    rows = diffs.filter("members > 1").join(outside, "ref").withColumn("adds", adds).withColumn("lacks", F.col("d") - F.col("adds")).withColumn("kept", F.col("n_ref") - F.col("lacks"))
-    a, lacks, n, kept = F.col("adds"), F.col("lacks"), F.col("n"), F.col("kept")
-    share = a + 1 - F.greatest(F.lit(1), F.ceil((n * t - kept * 100) / 100))
-    having = _first_tokens(rows, F.expr("slice(tokens, 1, adds)"), F.least(share, a - F.greatest(F.lit(0), F.floor((a - lacks) * t / whole))), share, "first-tokens")
-    slack = F.least(lacks, F.floor((kept * 100 - n * t) / t) + 1)
-    lacking = _first_tokens(rows, F.expr("slice(tokens, adds + 1, lacks)"), F.least(slack, F.ceil((lacks - a) * t / whole)), slack, "first-lacks")
-    met = stored(_pivots(having.select("ref", "token", "node").unionByName(lacking.select("ref", "token", "node"))), "pivots")
+    rows = diffs.filter("members > 1").join(outside, "ref").select(
+        "ref", "node", "n", "d", "linked", "tokens", (F.col("n") - adds).alias("kept"), (F.col("d").cast("long") * whole - F.col("n").cast("long") * (100 - t)).alias("x"), (F.col("n_ref").cast("long") * (100 - t) + 1).alias("floor")
+    )
+    first = _first_tokens(rows, s)
+    met = stored(_pivots(first), "pivots")
     near = stored(_confirmed(met, diffs, s), "near-pivots")
     by_ref = diffs.filter("linked").select(F.col("node").alias("u"), F.col("ref").alias("v"))
-    labels = components(near.unionByName(by_ref))
-    side = lambda first, end, which: first.join(labels, "node", "left").filter(F.col("at") <= F.col(which)).select("ref", "token", F.col("node").alias(end), F.coalesce("component", "node").alias(f"c_{end}"), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "kept")])
-    both = lambda first: side(first, "u", "any_side").join(side(first, "v", "out_side"), ["ref", "token"])
-    apart = F.col("c_u") != F.col("c_v")
-    asked, least = (F.col("n_u") + F.col("n_v")) * t, F.least("kept_u", "kept_v") * whole
+    named = first.join(components(near.unionByName(by_ref)), "node", "left").withColumn("c", F.coalesce("component", "node"))
+    side = lambda of, end: of.select("ref", "token", "part", F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("c", "n", "kept", "linked", "x", "y")])
+    larger = side(named.filter("not linked").withColumn("part", F.col("at")), "u")
+    lesser = side(named.filter("at <= to").withColumn("part", F.explode(F.sequence("at", "to"))), "v")
+    ranked = F.col("linked_v") | (F.struct("x_u", "u") > F.struct(F.col("x_v").alias("x_u"), F.col("v").alias("u")))
+    apart = (F.col("c_u") != F.col("c_v")) & ranked & (F.col("x_v") <= F.col("y_u")) & (F.col("x_u") <= F.col("y_v"))
     sized = F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * t
+    asked, least = (F.col("n_u") + F.col("n_v")) * t, F.least("kept_u", "kept_v") * whole
     enough = asked - least <= F.least(F.col("n_u") - F.col("kept_u"), F.col("n_v") - F.col("kept_v")) * whole
-    pair = ["ref", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")]
-    pairs = both(having).filter(apart & sized & enough).select(*pair).unionByName(both(lacking).filter(apart & (asked <= least)).select(*pair))
-    pairs = stored(pairs.distinct(), "across")
+    pairs = larger.join(lesser, ["ref", "token", "part"]).filter(apart & sized & enough)
+    pairs = stored(pairs.select("ref", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "across")
     return near.unionByName(_confirmed(pairs, diffs, s))
 
 

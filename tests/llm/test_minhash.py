@@ -184,6 +184,34 @@ def test_members_known_to_be_one_component_do_not_meet(spark, monkeypatch):
     assert max(met) < 5 * len(rows)  # 1,900; 8,437 when all of them met
 
 
+def test_differences_that_all_members_share(spark, monkeypatch):
+    """The reference has a change of its own, so all members share three differences and lacks with each
+    other; most are linked neither with it nor among themselves, some with a later copy of theirs."""
+    met = {}
+    kept = minhash.stored
+
+    def counting(df, name, **options):
+        out = kept(df, name, **options)
+        met[name] = max(met.get(name, 0), out.count()) if name in ("pivots", "across") else 0
+        return out
+
+    monkeypatch.setattr(minhash, "stored", counting)
+    rng = random.Random(13)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(300):
+        text = list(base)
+        for at in rng.sample(range(2, 147, 3), 1 if i == 0 else rng.randrange(3, 7)):
+            text[at] = f"n{i}x{at}"
+        rows.append((i, " ".join(text)))
+        if i % 20 == 0:
+            text[rng.randrange(150)] = "later"
+            rows.append((1000 + i, " ".join(text)))
+    for near in (minhash.Near(), minhash.Near(shingle=5, percent=80)):
+        check(spark.createDataFrame(rows, "doc_id long, text string"), rows, near)
+    assert met["across"] < len(rows) and met["pivots"] < 4 * len(rows)
+
+
 def test_words_taken_out_and_put_in(spark):
     """Sets of uneven sizes around the threshold: members with more shingles than their reference, or fewer."""
     rng = random.Random(21)
