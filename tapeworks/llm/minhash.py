@@ -12,7 +12,7 @@ to it: signatures first, and only where they agree, or where the reference has
 further members, the sets. Two members that are both linked with the reference
 are in one component already. Any other pair that is linked must share a part
 of what sets its members apart from the reference, by exact bounds, so such
-pairs meet by those differences (see ``_across``), never by the text that
+pairs meet by those differences (see ``_linked``), never by the text that
 their whole group shares, only while their components are not known to be one,
 and are confirmed on all differences, which is the same as on the full sets.
 
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from . import bitmaps, hashing
 from .chunks import slices
 from .common import NOT_BLANK, stored
-from .components import components
+from .components import components, joined_on
 
 
 #: Text that a worker shingles at once.
@@ -198,34 +198,38 @@ def _stars(near: DataFrame, buckets: DataFrame) -> DataFrame:
     members' choices. So the buckets of a group of copies agree on one
     reference, which mostly is the text that the others were made from.
     """
+    of_each = F.collect_list("band").alias("bands")  # no more than a signature has
     rows = near.select("node", F.explode("bands").alias("band")).join(buckets, "band")
-    weights = rows.groupBy("node").agg(F.sum("members").alias("weight"))
-    rows = stored(rows.select("node", "band").join(weights, "node"), "bucket-rows")
+    weights = stored(rows.groupBy("node").agg(F.sum("members").alias("weight"), of_each), "weights")
+    rows = weights.select("node", "weight", F.explode("bands").alias("band"))
     heaviest = rows.groupBy("band").agg(F.max(F.struct("weight", "node")).alias("top"))
-    choices = stored(rows.join(heaviest, "band").groupBy("node").agg(F.max("top").alias("choice")), "choices")
-    chosen = stored(rows.select("band", "node").join(choices, "node"), "chosen")
-    refs = chosen.groupBy("band").agg(F.max("choice.weight").alias("weight"), F.max("choice").alias("ref"))
-    return chosen.select("band", "node").join(refs, "band").select("node", F.col("ref.node").alias("ref")).filter("node <> ref").distinct()
+    choices = stored(rows.join(heaviest, "band").groupBy("node").agg(F.max("top").alias("choice"), of_each), "choices")
+    rows = choices.select("node", "choice", F.explode("bands").alias("band"))
+    refs = rows.groupBy("band").agg(F.max("choice").alias("ref"))
+    return rows.join(refs, "band").select("node", F.col("ref.node").alias("ref")).filter("node <> ref").distinct()
 
 
 def _agreeing(stars: DataFrame, near: DataFrame, s: Near) -> DataFrame:
-    """(node, ref, alike): whether sizes and signatures allow a link."""
+    """(node, ref, id_node, id_ref, members, alike): whether sizes and signatures allow a link, and how many
+    members the reference has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in (2, 3))
+            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in (5, 6))
             alike = (left == right).mean(axis=1) >= s.least_agreement()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike)], ["node", "ref", "alike"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(alike)], ["node", "ref", "id_node", "id_ref", "members", "alike"])
 
-    sig = lambda end: near.select(F.col("node").alias(end), F.col("sig").alias(f"sig_{end}"))
-    both = stars.join(sig("node"), "node").join(sig("ref"), "ref")
-    return both.select("node", "ref", "sig_node", "sig_ref").mapInArrow(run, "node binary, ref binary, alike boolean")
+    of = lambda end: near.select(F.col("node").alias(end), F.col("id").alias(f"id_{end}"), F.col("sig").alias(f"sig_{end}"))
+    crowds = stars.groupBy("ref").agg(F.count(F.lit(1)).alias("members"))
+    both = stars.join(crowds, "ref").join(of("node"), "node").join(of("ref"), "ref")
+    both = both.select("node", "ref", "id_node", "id_ref", "members", "sig_node", "sig_ref")
+    return both.mapInArrow(run, "node binary, ref binary, id_node long, id_ref long, members long, alike boolean")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, s: Near) -> DataFrame:
-    """(node, shingles) of wanted nodes (id, node): a bounded bitmap of their ids picks the texts,
+    """(node, shingles) of the nodes with wanted ids (id): a bounded bitmap of them picks the texts,
     so a few nodes too many may stay."""
     log2 = bitmaps.log2_bits(wanted.count(), 24)
     marked = docs.sparkSession.sparkContext.broadcast(bitmaps.filled_cells(wanted.select(F.xxhash64("id").alias("h")), "h", 1, log2))
@@ -271,17 +275,17 @@ def _pivots(first: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, diffs: DataFrame, s: Near) -> DataFrame:
-    """(u, v) of those pairs (ref, u, v) that are linked, judged on all differences."""
+    """Those pairs (ref, u, v) that are linked, judged on all differences."""
     of = lambda end: diffs.select("ref", F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("d").alias(f"d_{end}"), F.col("tokens").alias(f"of_{end}"))
     both = pairs.join(of("u"), ["ref", "u"]).join(of("v"), ["ref", "v"])
     apart = F.col("d_u") + F.col("d_v") - 2 * F.size(F.array_intersect("of_u", "of_v"))
-    return both.filter(_close(apart, F.col("n_u") + F.col("n_v"), s)).select("u", "v")
+    return both.filter(_close(apart, F.col("n_u") + F.col("n_v"), s))
 
 
 def _first_tokens(rows: DataFrame, s: Near) -> DataFrame:
     """The differences of each member by which it may meet a partner, one a row, with their ``y``, the number
     ``many`` of members that share them, and the classes ``at`` (as partner of larger x) and ``to`` (of ``at``
-    to ``to`` are the larger partners' classes); see ``_across``."""
+    to ``to`` are the larger partners' classes); see ``_linked``."""
     t, whole = s.percent, 100 + s.percent
     each = rows.withColumn("token", F.explode("tokens")).drop("tokens")
     of_token = [F.count(F.lit(1)).alias("many"), F.min("x").alias("least"), F.min(F.when(~F.col("linked"), F.col("x"))).alias("least_out")]
@@ -295,8 +299,8 @@ def _first_tokens(rows: DataFrame, s: Near) -> DataFrame:
     return stored(met.select("ref", "token", "node", "n", "kept", "linked", "x", "y", "many", part("x").alias("at"), part("y").alias("to")), "first-tokens")
 
 
-def _across(diffs: DataFrame, s: Near) -> DataFrame:
-    """(u, v) of linked pairs of one reference, enough of them that the components are those of all links.
+def _linked(diffs: DataFrame, s: Near) -> DataFrame:
+    """(node, component) by the links to references and those between members of one reference.
 
     Two members with ``d_u`` and ``d_v`` differences, ``o`` of them shared, are
     apart by ``d_u + d_v - 2 o``. With ``x = (100 + t) d - (100 - t) n`` a link
@@ -316,19 +320,21 @@ def _across(diffs: DataFrame, s: Near) -> DataFrame:
     ``2 (100 - t) n_v``.
 
     First every member of a bucket meets two members of it, which joins most of
-    what belongs together; then only members of different components meet.
+    what belongs together; then only members of different components meet, and
+    the pairs that are linked join these components.
     """
     t, whole = s.percent, 100 + s.percent
-    outside = stored(diffs.filter("not linked").select("ref").distinct(), "outside")
+    outside = diffs.filter("not linked").select("ref").distinct()
     adds = ((F.col("n") - F.col("n_ref") + F.col("d")) / 2).cast("int")
     rows = diffs.filter("members > 1").join(outside, "ref").select(
         "ref", "node", "n", "d", "linked", "tokens", (F.col("n") - adds).alias("kept"), (F.col("d").cast("long") * whole - F.col("n").cast("long") * (100 - t)).alias("x"), (F.col("n_ref").cast("long") * (100 - t) + 1).alias("floor")
     )
     first = _first_tokens(rows, s)
     met = stored(_pivots(first), "pivots")
-    near = stored(_confirmed(met, diffs, s), "near-pivots")
+    near = _confirmed(met, diffs, s).select("u", "v")
     by_ref = diffs.filter("linked").select(F.col("node").alias("u"), F.col("ref").alias("v"))
-    named = first.join(components(near.unionByName(by_ref)), "node", "left").withColumn("c", F.coalesce("component", "node"))
+    found = components(near.unionByName(by_ref))
+    named = first.join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
     side = lambda of, end: of.select("ref", "token", "part", F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("c", "n", "kept", "linked", "x", "y")])
     larger = side(named.filter("not linked").withColumn("part", F.col("at")), "u")
     lesser = side(named.filter("at <= to").withColumn("part", F.explode(F.sequence("at", "to"))), "v")
@@ -338,8 +344,8 @@ def _across(diffs: DataFrame, s: Near) -> DataFrame:
     asked, least = (F.col("n_u") + F.col("n_v")) * t, F.least("kept_u", "kept_v") * whole
     enough = asked - least <= F.least(F.col("n_u") - F.col("kept_u"), F.col("n_v") - F.col("kept_v")) * whole
     pairs = larger.join(lesser, ["ref", "token", "part"]).filter(apart & sized & enough)
-    pairs = stored(pairs.select("ref", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "across")
-    return near.unionByName(_confirmed(pairs, diffs, s))
+    pairs = stored(pairs.select("ref", "u", "v", "c_u", "c_v").distinct(), "across")
+    return joined_on(found, _confirmed(pairs, diffs, s).select(F.col("c_u").alias("u"), F.col("c_v").alias("v")))
 
 
 def members(docs: DataFrame, id_col: str, text_col: str, s: Near) -> DataFrame:
@@ -350,15 +356,11 @@ def members(docs: DataFrame, id_col: str, text_col: str, s: Near) -> DataFrame:
     nodes = stored(worded.groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "nodes")
     buckets = stored(_bands(nodes, s).groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "buckets")
     near = stored(_in_buckets(nodes, buckets, s), "near")
-    stars = stored(_agreeing(stored(_stars(near, buckets), "stars"), near, s), "agreeing")
     # a member that its signature rules out is still of use if its reference has other members
-    crowds = stars.groupBy("ref").agg(F.count(F.lit(1)).alias("members"))
-    stars = stored(stars.join(crowds, "ref").filter("alike or members > 1"), "compared")
-    ends = stars.select("node").unionByName(stars.select(F.col("ref").alias("node"))).distinct()
-    wanted = stored(ends.join(near.select("node", "id"), "node"), "wanted")
+    stars = stored(_agreeing(stored(_stars(near, buckets), "stars"), near, s).filter("alike or members > 1"), "agreeing")
+    wanted = stars.select(F.explode(F.array("id_node", "id_ref")).alias("id"))
     diffs = stored(_differences(stars, stored(_sets_of(slim, wanted, s), "sets"), s), "differences")
-    links = diffs.filter("linked").select(F.col("node").alias("u"), F.col("ref").alias("v")).unionByName(_across(diffs, s))
-    labels = components(links)
+    labels = _linked(diffs, s)
     label = F.coalesce("component", "node")
     named = worded.select("id", "text_key", "n_shingles", "node").join(labels, "node", "left").select("id", "text_key", "n_shingles", label.alias("c"))
     return stored(named.unionByName(sketch.filter("node is null").select("id", "text_key", "n_shingles", F.lit(None).cast("binary").alias("c"))), "members")

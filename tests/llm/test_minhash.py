@@ -97,6 +97,29 @@ def test_components_equal_union_find(spark):
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
 
 
+def test_components_joined_on_equal_union_find(spark):
+    """Links between components, and nodes that have none yet, give what all links give at once."""
+    rng = random.Random(12)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(90)]
+    further = [(rng.randrange(260), rng.randrange(260)) for _ in range(60)] + [(300, 301), (301, 302)]
+    root = {x: x for e in edges + further for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges + further:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    found = components.components(spark.createDataFrame(edges, "u long, v long"))
+    of = dict(found.collect())
+    links = [(of.get(a, a), of.get(b, b)) for a, b in further]
+    got = components.joined_on(found, spark.createDataFrame(links, "u long, v long")).collect()
+    assert len(got) == len(dict(got))
+    assert all(dict(got).get(x, x) == find(x) for x in root)
+
+
 def test_long_words_that_sums_confuse(spark):
     """Thue-Morse words and their complements have equal running sums modulo 2**64."""
     word = "a"
@@ -212,6 +235,28 @@ def test_differences_that_all_members_share(spark, monkeypatch):
     assert met["across"] < len(rows) and met["pivots"] < 4 * len(rows)
 
 
+def test_components_are_made_once(spark, monkeypatch):
+    """Links between components start from these and not from all links anew, and few tables are written."""
+    written, edges = [], []
+    kept = minhash.stored
+
+    def counting(df, name, **options):
+        out = kept(df, name, **options)
+        written.append(name)
+        if name == "edges":
+            edges.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "stored", counting)
+    monkeypatch.setattr(components, "stored", counting)
+    rows = near_copies(200, share=0.04)
+    check(spark.createDataFrame(rows, "doc_id long, text string"), rows, minhash.Near())
+    first, second = edges
+    assert 10 * second < first
+    rounds = written.count("large-star")
+    assert rounds and len(written) <= 19 + 4 * rounds
+
+
 def test_words_taken_out_and_put_in(spark):
     """Sets of uneven sizes around the threshold: members with more shingles than their reference, or fewer."""
     rng = random.Random(21)
